@@ -143,6 +143,13 @@ def steps(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         first = last
 
 
+def short_batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches that hold about STEP_BYTES of column ``text``, or one row."""
+    for batch in batches:
+        for first, last in steps(text_buffer(batch.column(text))[1]):
+            yield batch.slice(first, last - first)
+
+
 def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each row), A-Z lower-cased, in text order.
 

@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexigrove.llm import language_id, quality_rules, source_mix, url_filters
+from lexigrove.llm import brown_lm, language_id, near_duplicates, quality_rules, source_mix, url_filters, vector_search
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_near_duplicates": near_duplicates.op3_near_duplicates,
+        "op4_brown_lm": brown_lm.op4_brown_lm,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op7_language_id": language_id.op7_language_id,
         "op8_source_mix": source_mix.op8_source_mix,
+        "op9_vector_search": vector_search.op9_vector_search,
         "op10_url_filters": url_filters.op10_url_filters,
     }
 
