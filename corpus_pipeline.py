@@ -1,6 +1,81 @@
-STAGES = []
+"""A corpus from raw documents to training batches: filter, deduplicate, mix and pack.
+
+Each stage gets all rows that its predecessor kept and decides on them with one operator. Between stages
+the rows are a Parquet table. All stages but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lexigrove.llm import common, language_id, length_buckets, near_duplicates, quality_rules, source_mix
+
+#: A document whose best language has less than this share of the posterior is rejected.
+LEAST_LANGUAGE_SCORE = 0.5
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: rejects what fails the base test or is more likely bad than good."""
+    return quality_rules.passed(docs)
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Language identification: rejects texts without a language, or of none in particular.
+
+    The model learns from the languages of the stage's own rows.
+    """
+    model = language_id.fit(docs, F.lit(False))
+    if not model.langs:
+        return docs
+    column = "__language"
+    while column in docs.columns:
+        column += "_"
+    told = language_id.predict(docs, model, column)
+    sure = (F.col(f"{column}.lang_pred") != language_id.NONE) & (F.col(f"{column}.score") >= LEAST_LANGUAGE_SCORE)
+    return told.where(sure).drop(column)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """MinHash near-duplicates, five words and a similarity of 0.8: the least id of each group stays.
+
+    Rows that repeat an id are one document. Rows without an id are not compared and stay.
+    """
+    kept = near_duplicates.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null").select("doc_id")
+    named = docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Source mix: every document as many times as the mix takes it, which may be none."""
+    column = "__copies"
+    while column in docs.columns:
+        column += "_"
+    taken = source_mix.mixed(docs).groupBy(F.col("doc_id").alias(f"{column}id")).agg(F.max("copies").alias(column))
+    rows = docs.join(taken.where(F.col(column) > 0), F.col("doc_id").eqNullSafe(F.col(f"{column}id")))
+    again = rows.withColumn(f"{column}no", F.explode(F.sequence(F.lit(1).cast("long"), F.col(column))))
+    return again.select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Length buckets: the batch and slot of every row."""
+    return length_buckets.packed(docs)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("language ID", language),
+    ("near-dedup", near_dedup),
+    ("source mix", mix),
+    ("packing", pack),
+]
+
+#: SQL cannot express the models and the components of the stages.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -150,6 +150,11 @@ def short_batches(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.R
             yield batch.slice(first, last - first)
 
 
+def is_blank(part: np.ndarray) -> np.ndarray:
+    """Which bytes are white space."""
+    return _SPACE[part]
+
+
 def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each row), A-Z lower-cased, in text order.
 

@@ -11,7 +11,7 @@ further columns, whatever their names, do not matter.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -81,6 +81,18 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, schema)
 
 
+def with_counts(docs: DataFrame, out: str) -> DataFrame:
+    """``docs`` with the COUNTS of the text as a struct column; all other columns stay in the JVM."""
+    common.small_batches(docs.sparkSession)
+
+    @F.arrow_udf("struct<" + ", ".join(f"{name}: long" for name in COUNTS) + ">")
+    def count(texts: pa.Array) -> pa.Array:
+        values = np.array([text_counts(t or "") for t in texts.to_pylist()], np.int64).reshape(len(texts), len(COUNTS))
+        return pa.StructArray.from_arrays([pa.array(values[:, i]) for i in range(len(COUNTS))], list(COUNTS))
+
+    return docs.withColumn(out, count.asNondeterministic()(F.col("text").cast("string")))
+
+
 @dataclass(frozen=True)
 class Rule:
     """Votes bad where ``bad`` holds, else good where ``good`` holds, else abstains."""
@@ -93,8 +105,9 @@ class Rule:
         return F.when(self.bad, -1).when(self.good, 1).otherwise(0)
 
 
-def standard_rules() -> list[Rule]:
-    n, c = F.col("n_words"), F.col
+def standard_rules(column: Callable[[str], Column] = F.col) -> list[Rule]:
+    """The rules of the query; ``column`` gives the Column of one of the COUNTS."""
+    n, c = column("n_words"), column
     return [
         Rule("length", n < 10, n >= 40),
         Rule("symbols", c("n_symbols") * 10 > n, c("n_symbols") * 50 <= n),
@@ -107,8 +120,8 @@ def standard_rules() -> list[Rule]:
     ]
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)
+def base_failed(column: Callable[[str], Column] = F.col) -> Column:
+    return (column("n_words") < 10) | (column("n_repeat_words") * 100 > column("n_words") * 20)
 
 
 def votes_of(counts: DataFrame, rules: Sequence[Rule]) -> DataFrame:
@@ -135,6 +148,25 @@ def judged(
     return out, model
 
 
+def passed(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns.
+
+    A first pass fits the model and gives each vote pattern its posterior; a second judges each row
+    where it is read, by its pattern, so no text is shuffled. There are at most 3 to the number of rules
+    patterns, so that their table can be broadcast.
+    """
+    judgement, _ = judged(docs)
+    patterns = judgement.groupBy(F.col("votes").alias("__votes")).agg(F.max("quality").alias("__quality"))
+    column = "__counts"
+    while column in docs.columns:
+        column += "_"
+    told = with_counts(docs, column)
+    at = lambda name: F.col(f"{column}.{name}")
+    votes = F.array(*(r.vote().cast("int") for r in standard_rules(at)))
+    good = patterns.where("__quality >= 0.5").select("__votes")
+    return told.where(~base_failed(at)).join(F.broadcast(good), votes == F.col("__votes"), "left_semi").select(docs.columns)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out, _ = judged(common.table(spark, sf_dir, "documents"))
     names = ["doc_id", *COUNTS[:5], "base_failed", "kept", "quality"]
