@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MAX_VOTERS = 10  # 59,049 patterns at most reach the driver
+MOST_FALSE = 0.005  # a voter's rate of bad votes on good rows, at most: what voters are taken to promise
 
 
 @dataclass(frozen=True)
@@ -60,7 +61,8 @@ def expectation_maximisation(
 
     It begins from "a row with a bad vote is bad in the way of that voter" and stops when the
     parameters settle. Rates and shares are smoothed by one row, so a vote that was never seen does
-    not decide by an infinite ratio. Without rows, all rates are even.
+    not decide by an infinite ratio. Without the bound on false bad votes, a kind of bad rows that one
+    voter alone sees could pass for good rows on which it errs. Without rows, rates are even but for that.
     """
     n_voters = len(names)
     weight = counts.astype(float)
@@ -75,6 +77,8 @@ def expectation_maximisation(
         mass = member.T @ weight + 1
         new_rates = np.einsum("kc,k,kjv->cjv", member, weight, hot) + 1 / 2
         new_rates /= new_rates.sum(-1, keepdims=True)
+        new_rates[0, :, 0] = np.minimum(new_rates[0, :, 0], MOST_FALSE)
+        new_rates[0, :, 1] = 1 - new_rates[0, :, 0]
         moved = np.abs(new_rates - rates).max() if rates.shape == new_rates.shape else 1.0
         shares, rates = mass / mass.sum(), new_rates
         scores = np.einsum("kjv,cjv->kc", hot, np.log(rates)) + np.log(shares)
