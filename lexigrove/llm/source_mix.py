@@ -67,14 +67,9 @@ def tilt_of(size: Column) -> Column:
 
 
 def mixed(docs: DataFrame, weights=QUERY_WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """doc_id, row_id, size, source_size, target, copies and taken of every document.
-
-    ``row_id`` is the column of that name if there is one, else null: a caller that has repeated
-    ``doc_id`` can tell its rows apart by it.
-    """
-    row_id = F.col("row_id").cast("long") if "row_id" in docs.columns else F.lit(None).cast("long")
+    """doc_id, size, source_size, target, copies and taken of every document."""
     src = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col("source").cast("string")))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_id.alias("row_id"), src.alias("src"), common.word_count(F.col("text")).alias("size"))
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), src.alias("src"), common.word_count(F.col("text")).alias("size"))
     sizes = common.stored(sizes.withColumn("tilt", tilt_of(F.col("size"))), "mix-sizes")
     targets = common.stored(source_targets(sizes, weights, most), "mix-targets")
 
@@ -96,12 +91,12 @@ def mixed(docs: DataFrame, weights=QUERY_WEIGHTS, most: int = MOST, seed: str =
     chosen = (F.col("rest") > 0) & (F.col("before") + F.col("upto") - F.col("size") / 2.0 <= F.col("rest"))
     copies = (F.col("whole") + chosen.cast("long")).cast("long")
     return rows.select(
-        "doc_id", "row_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
+        "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
     )
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixed(common.table(spark, sf_dir, "documents")).drop("row_id")
+    return mixed(common.table(spark, sf_dir, "documents"))
 
 
 def op8_sql() -> str:
