@@ -48,7 +48,8 @@ def has_letter(words: list[str]) -> bool:
 
 
 def grams(word: str, n: int) -> list[str]:
-    marked = f"<{word}>"
+    """Substrings of n characters with marks for the word's ends; single characters without marks."""
+    marked = f"<{word}>" if n > 1 else word
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
