@@ -9,6 +9,7 @@ from lexigrove.operators import index, synonyms
 from lexigrove.plans.common import INDEX, TOKENS, documents, table, text_index
 from lexigrove.sources import documents as source
 from lexigrove.sources import shared
+from lexigrove.sources.catalog import Catalog, Settings
 from lexigrove.sources.versions import Table
 from lexigrove.streaming import ingest
 
@@ -135,6 +136,17 @@ def snapshot_restore(spark, d):
     return kept.read()
 
 
+def collection_upkeep(spark, d):
+    """A collection through its life: documents added, some replaced, some deleted."""
+    docs = documents(spark, d).select("doc_id", "lang", "source")
+    kept = Catalog(spark, shared.new_path(spark, "catalog"))
+    kept.create("docs", Settings(key="doc_id"))
+    kept.add("docs", docs)
+    kept.add("docs", docs.where("doc_id % 4 = 0").withColumn("lang", F.lit("xx")))
+    kept.delete("docs", docs.where("doc_id % 10 = 1").select("doc_id"))
+    return kept.documents("docs").groupBy("lang").agg(F.count("*").alias("n"))
+
+
 def _event_stream(spark, d):
     schema = table(spark, d, "events").schema
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
@@ -232,6 +244,10 @@ SELECT term, count(*) AS n, min(candidate) AS low, max(candidate) AS high,
         "SELECT r_regionkey AS query_id, lower(r_name) AS term FROM region UNION SELECT n_regionkey, lower(n_name) FROM nation",
     ),
     "snapshot_restore": (snapshot_restore, "SELECT doc_id, lang, source FROM documents"),
+    "collection_upkeep": (
+        collection_upkeep,
+        "SELECT CASE WHEN doc_id % 4 = 0 THEN 'xx' ELSE lang END AS lang, count(*) AS n FROM documents WHERE doc_id % 10 <> 1 GROUP BY 1",
+    ),
     "stream_upsert": (stream_upsert, "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"),
     "stream_windows": (stream_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"),
 }

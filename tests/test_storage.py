@@ -45,3 +45,32 @@ def test_export(spark, tmp_path):
     with pytest.raises(ValueError):
         source.export(df, str(tmp_path / "x"), "xml")
     assert [r["doc_id"] for r in source.listed(df, 0, 2).collect()] == [1, 10]
+
+
+def test_catalog(spark, tmp_path):
+    from lexigrove.operators.search import Request
+    from lexigrove.sources.catalog import Catalog, Settings
+
+    catalog = Catalog(spark, f"file://{tmp_path}/c")
+    assert catalog.names() == [] and catalog.stats().count() == 0
+    catalog.create("a", Settings(key="id", searchable=("t",), stop_words=("the",)))
+    catalog.create("b")
+    for name in ("a", "no spaces"):
+        with pytest.raises(ValueError):
+            catalog.create(name)
+    rows = lambda *x: spark.createDataFrame(list(x), "id int, t string, u string")
+    catalog.add("a", rows((1, "the fox", "x"), (2, "a dog", "y")))
+    with pytest.raises(ValueError):
+        catalog.add("a", rows((3, "x", "x"), (3, "y", "y")))
+    catalog.add("a", rows((2, "a fox", None)), merge=True)
+    assert sorted(map(tuple, catalog.documents("a").collect())) == [(1, "the fox", "x"), (2, "a fox", "y")]
+    assert sorted(r["doc_id"] for r in catalog.collection("a").page(Request(terms=["fox"])).collect()) == [1, 2]
+    assert catalog.collection("a").page(Request(terms=["the"])).count() == 0
+    catalog.delete("a", rows((1, None, None)).select("id"))
+    catalog.change("a", stop_words=())
+    catalog.swap("a", "b")
+    assert catalog.documents("b").count() == 1 and catalog.settings("b").searchable == ("t",)
+    assert [tuple(r) for r in catalog.stats().collect()] == [("b", 1)]
+    catalog.drop("b")
+    with pytest.raises(KeyError):
+        catalog.documents("b")
