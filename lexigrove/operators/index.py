@@ -15,13 +15,19 @@ from lexigrove.sources import shared
 @dataclass(frozen=True)
 class Index:
     """postings (term, doc_id, field, tf), lengths (doc_id, field, length): a row for each document and
-    field, also with no words."""
+    field, also with no words. A stored index also keeps what follows from them: ``dictionary`` (what
+    ``terms`` gives), ``by_doc`` (what ``doc_lengths`` gives) and the ``numbers`` of ``stats``."""
 
     postings: DataFrame
     lengths: DataFrame
+    dictionary: DataFrame | None = None
+    by_doc: DataFrame | None = None
+    numbers: tuple[int, float] | None = None
 
     def terms(self) -> DataFrame:
         """(term, doc_freq, total_tf). A term's postings are summed by document before they meet."""
+        if self.dictionary is not None:
+            return self.dictionary
         by_doc = self.postings.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
         return by_doc.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("total_tf"))
 
@@ -31,6 +37,8 @@ class Index:
 
     def doc_lengths(self) -> DataFrame:
         """(doc_id, length over all fields)."""
+        if self.by_doc is not None:
+            return self.by_doc
         return self.lengths.groupBy("doc_id").agg(F.sum("length").alias("length"))
 
     def stats(self) -> DataFrame:
@@ -38,19 +46,33 @@ class Index:
         sums = self.doc_lengths().agg(F.count("*").alias("doc_count"), F.coalesce(F.sum("length"), F.lit(0)).alias("total_length"))
         return sums.withColumn("avg_length", F.when(F.col("doc_count") > 0, F.col("total_length") / F.col("doc_count")).otherwise(0.0))
 
+    def size(self) -> tuple[int, float]:
+        """Number of documents and their mean length."""
+        if self.numbers is not None:
+            return self.numbers
+        row = self.stats().first()
+        return row["doc_count"], row["avg_length"]
+
     def without(self, ids: DataFrame) -> Index:
         """The index less the documents of ``ids`` (column doc_id)."""
-        return replace(self, postings=self.postings.join(ids, "doc_id", "left_anti"), lengths=self.lengths.join(ids, "doc_id", "left_anti"))
+        return Index(self.postings.join(ids, "doc_id", "left_anti"), self.lengths.join(ids, "doc_id", "left_anti"))
 
     def plus(self, other: Index) -> Index:
-        return replace(self, postings=self.postings.unionByName(other.postings), lengths=self.lengths.unionByName(other.lengths))
+        return Index(self.postings.unionByName(other.postings), self.lengths.unionByName(other.lengths))
 
     def stored(self) -> Index:
-        """The tables written out, postings sorted by term within files so that reads of a term skip most."""
+        """The tables written out, sorted by term within files so that reads of a term skip most of them.
+
+        Statistics are taken from the tables once, so that a query reads its postings and the lengths of
+        its documents and nothing else.
+        """
         spark = self.postings.sparkSession
         path = shared.new_path(spark, "postings")
         self.postings.repartition("term").sortWithinPartitions("term").write.parquet(path)
-        return Index(spark.read.parquet(path), shared.stored(self.lengths, "lengths"))
+        kept = Index(spark.read.parquet(path), shared.stored(self.lengths, "lengths"))
+        terms = shared.stored(kept.terms().sortWithinPartitions("term"), "terms")
+        by_doc = shared.stored(kept.doc_lengths(), "doc-lengths")
+        return replace(kept, dictionary=terms, by_doc=by_doc, numbers=kept.size())
 
 
 def build(

@@ -18,14 +18,15 @@ def bm25(index: Index, terms: Sequence[str], k1: float = K1, b: float = B, weigh
     The filter on terms reaches the scan of the postings; documents' lengths join what is left. With
     weights, a field's term frequency counts by its weight (1 where none is given).
     """
-    stats = index.stats().first()
-    n, average = stats["doc_count"], stats["avg_length"]
+    n, average = index.size()
+    wanted = F.col("term").isin(sorted(set(terms)))
     tf = F.sum("tf")
     if weights:
         weight = F.coalesce(F.create_map(*(x for f, w in weights.items() for x in (F.lit(f), F.lit(float(w)))))[F.col("field")], F.lit(1.0))
         tf = F.sum(F.col("tf") * weight)
-    hits = index.postings.where(F.col("term").isin(sorted(set(terms)))).groupBy("term", "doc_id").agg(tf.alias("tf"))
-    freq = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each query term at most
+    hits = index.postings.where(wanted).groupBy("term", "doc_id").agg(tf.alias("tf"))
+    known = index.dictionary.where(wanted).select("term", F.col("doc_freq").alias("df")) if index.dictionary is not None else hits.groupBy("term").agg(F.count("*").alias("df"))
+    freq = F.broadcast(known)  # a row for each query term at most
     rows = hits.join(freq, "term").join(index.doc_lengths(), "doc_id", "left")
     length = F.coalesce("length", F.lit(0)) / F.lit(float(max(average, 1.0)))
     idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)

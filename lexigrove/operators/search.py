@@ -124,7 +124,11 @@ class Collection:
 
     def autocomplete(self, prefix: str, limit: int = 10) -> DataFrame:
         """(term, total_tf) of the first terms with a prefix; the filter reaches the scan of postings."""
-        found = self.index.postings.where(F.col("term").startswith(prefix)).groupBy("term").agg(F.sum("tf").alias("total_tf"))
+        starts = F.col("term").startswith(prefix)
+        if self.index.dictionary is not None:
+            found = self.index.dictionary.where(starts).select("term", "total_tf")
+        else:
+            found = self.index.postings.where(starts).groupBy("term").agg(F.sum("tf").alias("total_tf"))
         return found.orderBy("term").limit(min(limit, 100))
 
 
