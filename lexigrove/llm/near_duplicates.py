@@ -4,7 +4,7 @@ A document's set holds its distinct shingles of ``width`` words, A-Z lower-cased
 whole sequence is the one shingle. Documents are linked if 100 * |A and B| >= percent * |A or B|.
 
 1. One pass over the text gives each document a fingerprint of its whole set, the keys of its MinHash
-   bands, and an odd sketch (Mitzenmacher, Pagh & Pham, 2014): each of 1,024 bins of the hash range
+   bands, and an odd sketch (Mitzenmacher, Pagh & Pham, 2014): each of 4,096 bins of the hash range
    gives its least shingle as a sample, and each sample flips one of 2,048 bits. The samples that two
    documents do not share are what is left in the exclusive or of their bitmaps, so its population
    count tells high similarities apart much better than equal bands do.
@@ -19,8 +19,8 @@ whole sequence is the one shingle. Documents are linked if 100 * |A and B| >= pe
    deem similar leave it, to be confirmed on full sets. No bucket is cut or skipped.
 5. Connected components of all confirmed links, the least id naming each.
 
-The sketch test refuses a pair only if its estimate is below the threshold by six standard deviations,
-so it hardly ever refuses a link, and it never makes one.
+The sketch test refuses a pair only if its estimate is below the threshold by SIGMAS standard
+deviations, so it hardly ever refuses a link, and it never makes one.
 
 Edge cases: a null or empty text, or one of white space, has an empty set and is linked with nothing.
 A null ``doc_id`` takes no part: its component is null and it is kept. Rows that share a ``doc_id`` are
@@ -43,7 +43,8 @@ from lexigrove.llm.components import components
 
 ROWS_A_BAND = 4
 MISS = 1e-7
-BINS, SKETCH_BITS = 1024, 2048
+BINS, SKETCH_BITS = 4096, 2048
+SIGMAS = 5  # by which a sketch's estimate may fall short: a chance of 3e-7, near that of the bands
 CELL = 512  # members of one side of a cell
 _U = np.uint64
 _PLACE = mix(np.arange(1, 65, dtype=_U) * _U(0xD1342543DE82EF95)) | _U(1)  # odd factors by place in a shingle
@@ -89,7 +90,7 @@ def min_hash_bands(values: np.ndarray, starts: np.ndarray, bands: int, rows: int
 
 def odd_sketches(values: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """(bitmaps (rows, SKETCH_BITS / 8), number of samples of each row) of sorted sets."""
-    bins = row * BINS + (values >> _U(54)).astype(np.int64)
+    bins = row * BINS + (values >> _U(64 - BINS.bit_length() + 1)).astype(np.int64)
     first = np.ones(len(values), bool)
     first[1:] = bins[1:] != bins[:-1]
     place = (mix(values[first] ^ _U(0x5851F42D4C957F2D)) % _U(SKETCH_BITS)).astype(np.int64)
@@ -97,14 +98,21 @@ def odd_sketches(values: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[np.n
     return np.packbits(odd.reshape(n_rows, SKETCH_BITS).astype(np.uint8), axis=1), np.bincount(row[first], minlength=n_rows)
 
 
-def may_link(differing: np.ndarray, samples_a: np.ndarray, samples_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sketches that differ in so many bits may come from linked documents."""
+def may_link(differing: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, samples_a: np.ndarray, samples_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sketches that differ in so many bits may come from documents linked by ``percent``.
+
+    The differing bits give the samples that are not shared, and so the shared ones. A pair at the
+    threshold would share t of the bins that its union fills; the estimate may fall short of that by SIGMAS
+    standard deviations. Those are of sampling (less the more of the union is sampled) and of samples
+    that meet in one bit of the sketch.
+    """
+    t = percent / 100
     share = np.minimum(2 * differing / SKETCH_BITS, 0.999)
     apart = -SKETCH_BITS / 2 * np.log1p(-share)
-    most = np.maximum(np.maximum(samples_a, samples_b), 1)
-    t = percent / 100
-    slack = 0.03 + 6 * math.sqrt(t * (1 - t)) / np.sqrt(most)
-    return (samples_a + samples_b - apart) / 2 / most >= t - slack
+    union = (sizes_a + sizes_b) / (1 + t)
+    filled = BINS * -np.expm1(-union / BINS)
+    variance = filled * t * (1 - t) * (1 - filled / union) + (apart / (1 - share)) ** 2 / (2 * SKETCH_BITS) + 0.25
+    return (samples_a + samples_b - apart) / 2 >= t * filled - SIGMAS * np.sqrt(variance)
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int = ROWS_A_BAND) -> DataFrame:
@@ -183,13 +191,14 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similar_across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a bucket's members in different components whose odd sketches may link.
 
-    ``rows``: key, size, doc_id, component, samples, sketch. A bucket of more than CELL members is dealt
-    out in cells, each of which sees two blocks of members; all blocks meet.
+    ``rows``: key, size, doc_id, component, n_shingles, samples, sketch, bands. A bucket of more than CELL
+    members is dealt out in cells, each of which sees two blocks of members; all blocks meet. A pair that
+    shares several buckets comes from the first of its bands only.
     """
     blocks = F.ceil(F.col("size") / CELL).cast("int")
     dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("doc_id"), F.col("blocks")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "component", "samples", "sketch")
+    cells = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "component", "n_shingles", "samples", "sketch", "bands")
     cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def pairs_of(t: dict[str, np.ndarray], first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
@@ -203,21 +212,28 @@ def similar_across(rows: DataFrame, percent: int) -> DataFrame:
         for i in left:
             other = right[right > i] if left is right else right
             other = other[t["component"][other] != t["component"][i]]
+            if len(other):
+                fits = 100 * np.minimum(t["n_shingles"][other], t["n_shingles"][i]) >= percent * np.maximum(t["n_shingles"][other], t["n_shingles"][i])
+                other = other[fits]
             if len(other):
                 differing = np.bitwise_count(t["sketch"][other] ^ t["sketch"][i]).sum(1)
-                found.append((i, other[may_link(differing, t["samples"][other], t["samples"][i], percent)]))
+                other = other[may_link(differing, t["n_shingles"][other], t["n_shingles"][i], t["samples"][other], t["samples"][i], percent)]
+            if len(other):
+                shared = t["bands"][other] == t["bands"][i]
+                found.append((i, other[t["bands"][i][shared.argmax(1)] == t["key"][i]]))
         a = [np.full(len(o), t["doc_id"][i]) for i, o in found]
         b = [t["doc_id"][o] for _, o in found]
         return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
-        names = ["key", "low", "high", "block", "doc_id", "component", "samples"]
+        names = ["key", "low", "high", "block", "doc_id", "component", "n_shingles", "samples"]
 
         def run(table: pa.Table, whole: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
             table = table.combine_chunks()
             t = {n: table.column(n).to_numpy() for n in names}
             t["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), _U).reshape(len(table), SKETCH_BITS // 64)
+            t["bands"] = table.column("bands").chunk(0).flatten().to_numpy().reshape(len(table), -1)
             change = (np.diff(t["key"]) != 0) | (np.diff(t["low"]) != 0) | (np.diff(t["high"]) != 0)
             edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(table)]
             done = edges if whole else edges[:-1]  # the last cell may go on in the next batch
@@ -239,7 +255,7 @@ def similar_across(rows: DataFrame, percent: int) -> DataFrame:
         if rest is not None and len(rest):
             yield run(rest, whole=True)[0]
 
-    return cells.mapInArrow(compare, "a long, b long").distinct()
+    return cells.mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, miss: float = MISS) -> DataFrame:
@@ -254,7 +270,7 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, miss: fl
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = common.stored(buckets.join(sizes, "key"), "buckets")
     company = shared.groupBy("doc_id").agg(F.sum("size").alias("company"))
-    mates = common.stored(reps.join(company, "doc_id").select("doc_id", "company", "samples", "sketch"), "bucket-mates")
+    mates = common.stored(reps.join(company, "doc_id").select("doc_id", "company", "n_shingles", "samples", "sketch", "bands"), "bucket-mates")
 
     # One root for each bucket.
     ranked = shared.join(mates.select("doc_id", "company"), "doc_id")
@@ -269,9 +285,8 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, miss: fl
     found = components(links).select(F.col("node").alias("doc_id"), "component")
     labelled = shared.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rows = labelled.join(open_keys, "key", "left_semi").join(mates.select("doc_id", "samples", "sketch"), "doc_id")
-    rest = similar_across(rows, percent).join(star, ["a", "b"], "left_anti")
-    more = confirmed(rest, sets, percent)
+    rows = labelled.join(open_keys, "key", "left_semi").join(mates.drop("company"), "doc_id")
+    more = confirmed(common.stored(similar_across(rows, percent), "sketch-pairs"), sets, percent)
 
     final = components(links.union(more))
     final = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
