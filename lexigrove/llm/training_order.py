@@ -22,6 +22,7 @@ Edge cases: a null or empty text has no tokens but its end, one sequence. A null
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,7 +39,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LENGTH, SHARD_RECORDS, KEY = 256, 16_384, 20_240_607
 _HEADER = 16
-_MEMO = 250_000
+_MEMO = 500_000
 _ROUNDS = 4
 _U = np.uint64
 _encoders: dict[bytes, object] = {}  # of this worker, by vocabulary
@@ -95,7 +96,7 @@ class Encoder:
         self.memo: dict[str, bytes] = {}
 
     def raw(self, text: str) -> bytes:
-        return np.array(self.encoding.encode_ordinary(text), np.uint16).tobytes()
+        return array("H", self.encoding.encode_ordinary(text)).tobytes()
 
     def __call__(self, text: str) -> bytes:
         """Ids of the text and its end."""
@@ -105,16 +106,15 @@ class Encoder:
         first, *rest = text.split(" ")
         if "" in rest:
             return self.raw(text) + end
-        memo, out = self.memo, [self.raw(first)]
-        for word in rest:
-            ids = memo.get(word)
-            if ids is None:
-                if len(memo) >= _MEMO:
-                    memo.clear()
-                ids = memo[word] = self.raw(" " + word)
-            out.append(ids)
-        out.append(end)
-        return b"".join(out)
+        memo = self.memo
+        out = list(map(memo.get, rest))
+        if None in out:
+            for i, ids in enumerate(out):
+                if ids is None:
+                    out[i] = ids = self.raw(" " + rest[i])
+                    if len(memo) < _MEMO:  # common words come early; a full memory keeps them
+                        memo[rest[i]] = ids
+        return b"".join([self.raw(first), *out, end])
 
 
 def encoder(vocabulary: bytes) -> Encoder:
