@@ -112,6 +112,14 @@ def typo_candidates(spark, d):
     return each.groupBy("term").agg(F.count("*").alias("n"), F.min("candidate").alias("low"), F.max("candidate").alias("high"), F.max(typos.allowed(F.length("term"))).alias("allowed"))
 
 
+def typo_candidates_whole(spark, d):
+    """The candidates of every distinct word of whole texts, where ``typo_candidates`` takes three words a text, as its SQL does."""
+    words = text.tokens(documents(spark, d), ["text"]).select("term").distinct()
+    made = words.select("term", typos.substitutions(F.col("term")).alias("made"))
+    each = made.select("term", F.size("made").cast("long").alias("n"), F.array_min("made").alias("low"), F.array_max("made").alias("high"))
+    return each.withColumn("allowed", typos.allowed(F.length("term")))
+
+
 def typo_fuzzy_dict(spark, d):
     terms = text_index(spark, d).terms()
     asked = terms.orderBy(F.desc("total_tf"), "term").limit(50).select(F.concat("term", F.lit("xa")).alias("query"))
@@ -238,6 +246,7 @@ made AS (SELECT term, substr(term, 1, i - 1) || c || substr(term, i + 1) AS cand
 SELECT term, count(*) AS n, min(candidate) AS low, max(candidate) AS high,
        CASE WHEN length(term) >= 9 THEN 2 WHEN length(term) >= 5 THEN 1 ELSE 0 END AS allowed FROM made GROUP BY term""",
     ),
+    "typo_candidates_whole": (typo_candidates_whole, None),
     "typo_fuzzy_dict": (typo_fuzzy_dict, None),
     "synonym_terms": (
         synonym_terms,

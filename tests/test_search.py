@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions import typos
 from lexigrove.operators import boolean, facets, fusion, index, ranking, synonyms
+from lexigrove.plans import catalogue
 from lexigrove.operators.boolean import Phrase, Term
 from lexigrove.operators.search import Collection, Request, Rule, multi_search
 
@@ -115,6 +116,16 @@ def test_typos(spark):
     assert [(r["term"], r["distance"]) for r in found.collect()] == [("quikc", 0), ("quick", 1)]
 
 
+def test_typo_candidates_of_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "One two three fourthword caf\u00e9"), (2, "one"), (3, None), (4, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["term"]: (r["n"], r["low"], r["high"], r["allowed"]) for r in catalogue.queries()["typo_candidates_whole"](spark, str(tmp_path)).collect()}
+    want = {}
+    for w in ("one", "two", "three", "fourthword", "caf\u00e9"):
+        made = [w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in typos.LETTERS if c != w[i]]
+        want[w] = (len(made), min(made), max(made), 2 if len(w) >= 9 else int(len(w) >= 5))
+    assert got == want
+
+
 def test_synonyms(spark):
     groups = spark.createDataFrame([(1, "fast"), (1, "quick"), (2, "quick"), (2, "rapid")], "group int, word string")
     one_way = spark.createDataFrame([("phone", "mobile"), ("mobile", "cell")], "source string, word string")
