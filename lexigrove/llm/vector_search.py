@@ -2,14 +2,15 @@
 
 Unit vectors are sums of one code vector from each of several full-dimensional codebooks. The
 codebooks are fitted, each on what the ones before leave, on a bounded sample (SAMPLE vectors by a hash
-of the id); every vector is then encoded by a beam search over the residual codebooks, and the squared
-norm of its sum is stored with the codes. For a query, a table of its products with all code vectors
-scores a vector by as many look-ups as there are codebooks: the squared distance of unit vectors is
-1 - 2 q.x + |x|^2. The best SHORTLIST of each query are then ranked exactly, in double precision, on
-the original vectors.
+of the id); every vector is then encoded by a beam search over the residual codebooks, and the length
+of what its sum leaves is stored with the codes. For a query, a table of its products with all code
+vectors gives a vector's product by as many look-ups as there are codebooks, and by no more than that
+length the true cosine differs from it. A vector is ranked exactly, in double precision, unless this
+bound is below the exact k-th best of the vectors that look best: what is dropped cannot be among the k
+nearest, so the codes save work and do not change the result.
 
 Queries meet codes in blocks: blocks of queries and blocks of codes are dealt to numbered parts, and
-what leaves a pair of blocks is a shortlist for each query. Ties go to smaller ids at every step, so a
+what leaves a pair of blocks is the k nearest for each query. Ties go to smaller ids at every step, so a
 vector that is repeated thousands of times gives the smallest ids of its copies.
 
 Edge cases: vectors that are null, empty, zero, or hold nulls or non-finite components take no part, as
@@ -31,8 +32,10 @@ from pyspark.sql import functions as F
 from lexigrove.llm import common
 
 CODEBOOKS, CODES, BEAM, ROUNDS = 8, 256, 4, 6
-SAMPLE, SHORTLIST = 10_000, 150
-QUERY_BLOCK, CODE_BLOCK = 128, 16_384
+SAMPLE = 10_000
+QUERY_BLOCK, CODE_BLOCK = 1024, 2048
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+SLACK = 1e-9  # more than sums in double precision are off
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
@@ -50,7 +53,7 @@ def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
     """Unit vectors (rows, d) of a batch with columns id, v and norm."""
     flat = batch.column(column).flatten().to_numpy(zero_copy_only=False)
     m = flat.reshape(len(batch), -1) if len(batch) else np.zeros((0, 1))
-    return (m / batch.column("norm").to_numpy()[:, None]).astype(np.float32)
+    return m / batch.column("norm").to_numpy()[:, None]
 
 
 def fit_codebooks(sample: np.ndarray, books: int = CODEBOOKS, codes: int = CODES, rounds: int = ROUNDS) -> np.ndarray:
@@ -73,8 +76,9 @@ def fit_codebooks(sample: np.ndarray, books: int = CODEBOOKS, codes: int = CODES
     return out
 
 
-def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(codes uint8 (n, books), squared norms of the sums (n,)) by beam search."""
+def encode(vectors: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
+    """(codes uint8 (n, books), lengths of what the sums leave (n,)) by beam search."""
+    x = vectors.astype(np.float32)
     n, d = x.shape
     n_codes = books.shape[1]
     rest = x[:, None, :]  # (n, width, d)
@@ -89,7 +93,29 @@ def encode(x: np.ndarray, books: np.ndarray, beam: int = BEAM) -> tuple[np.ndarr
         parent, code = best // n_codes, best % n_codes
         rest = np.take_along_axis(rest, parent[:, :, None], 1) - book[code]
         codes = np.concatenate([np.take_along_axis(codes, parent[:, :, None], 1), code[:, :, None].astype(np.uint8)], axis=2)
-    return codes[:, 0], ((x - rest[:, 0]) ** 2).sum(1).astype(np.float32)
+    left = vectors.astype(float)
+    for b, book in enumerate(books.astype(float)):
+        left = left - book[codes[:, 0, b]]
+    return codes[:, 0], np.sqrt((left**2).sum(1))
+
+
+def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Products with the query, each row by itself, so that equal rows have equal products."""
+    return np.concatenate([(vectors[i : i + 4096] * query).sum(1) for i in range(0, len(vectors), 4096)] or [np.zeros(0)])
+
+
+def best_places(query: np.ndarray, near: np.ndarray, left: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, products) of the k vectors of the highest products with ``query``, as if all were computed.
+
+    ``near`` are the products with the sums of codes, ``left`` the lengths of what the sums leave.
+    """
+    at = np.arange(len(ids))
+    if len(ids) > k:
+        least = exact(vectors[np.argpartition(near, len(near) - k)[len(near) - k :]], query).min()
+        at = np.flatnonzero(near + left >= least - SLACK)
+    scores = exact(vectors[at], query)
+    best = shortlist(scores, ids[at], k)
+    return at[best], scores[best]
 
 
 def shortlist(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
@@ -125,25 +151,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     """
     spark = vectors.sparkSession
     common.small_batches(spark)
+    if spark.conf.get(BATCH_BYTES, None) is None:  # a row of a block of codes holds its vectors
+        spark.conf.set(BATCH_BYTES, "64m")
     rows = common.stored(usable(vectors, key, column), "vectors")
     n_rows = rows.count()
     books = spark.sparkContext.broadcast(_books(rows, n_rows))
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-
-        def out() -> pa.RecordBatch:
-            ids, codes, norms = (np.concatenate(x) for x in zip(*held, strict=True))
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (ids, codes, norms)], ["ids", "codes", "norms"])
-
         for batch in batches:
-            if len(batch):
-                held.append((batch.column("id").to_numpy(), *encode(_matrix(batch, "v"), books.value)))
-            if sum(len(h[0]) for h in held) >= CODE_BLOCK:
-                yield out()
-        if held:
-            yield out()
+            for first in range(0, len(batch), CODE_BLOCK):
+                part = batch.slice(first, CODE_BLOCK)
+                x = _matrix(part, "v")
+                blobs = (part.column("id").to_numpy(), *encode(x, books.value), x)
+                yield pa.RecordBatch.from_arrays([pa.array([b.tobytes()], pa.binary()) for b in blobs], ["ids", "codes", "lefts", "vectors"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,39 +173,35 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], ["query_ids", "queries"])
 
     parts = max(1, min(1024, -(-n_rows // CODE_BLOCK)))
-    coded = rows.mapInArrow(code, "ids binary, codes binary, norms binary").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
+    coded = rows.mapInArrow(code, "ids binary, codes binary, lefts binary, vectors binary").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
     coded = common.stored(coded, "codes")
     asked = rows.where(is_query).mapInArrow(pack, "query_ids binary, queries binary")
     asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(len(batch)):
+                row = {c: batch.column(c)[i].as_buffer() for c in batch.schema.names}
                 ids, query_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                norms = np.frombuffer(row["norms"], np.float32)
-                queries = np.frombuffer(row["queries"], np.float32).reshape(len(query_ids), -1)
-                lists = []
+                lefts = np.frombuffer(row["lefts"])
+                vectors = np.frombuffer(row["vectors"]).reshape(len(ids), -1)
+                queries = np.frombuffer(row["queries"]).reshape(len(query_ids), -1)
+                exact_books = books.value.astype(float)
+                found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
                 for q, vector in zip(query_ids, queries, strict=True):
-                    table = books.value @ vector  # (codebooks, codes)
-                    total = -norms
-                    for b in range(codes.shape[1]):
-                        total = total + 2 * table[b][codes[:, b]]
-                    total[ids == q] = -np.inf
-                    best = shortlist(total, ids, SHORTLIST)
-                    lists.append([{"far": float(-total[i]), "id": int(ids[i])} for i in best if np.isfinite(total[i])])
-                kind = pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())]))
-                yield pa.RecordBatch.from_arrays([pa.array(query_ids), pa.array(lists, kind)], ["query_id", "found"])
-
-    found = asked.join(coded, "part").select("query_ids", "queries", "ids", "codes", "norms").mapInArrow(score, "query_id long, found array<struct<far: double, id: long>>")
-    merged = found.groupBy("query_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, SHORTLIST).alias("found"))
-    pairs = merged.select("query_id", F.explode("found.id").alias("id"))
-    query = rows.select(F.col("id").alias("query_id"), F.col("v").alias("q"), F.col("norm").alias("q_norm"))
-    both = pairs.join(rows, "id").join(query, "query_id")
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    exact = both.select("query_id", F.col("id").alias("vec_id"), (dot / (F.col("q_norm") * F.col("norm"))).alias("score"))
+                    table = exact_books @ vector  # (codebooks, codes)
+                    near = sum(table[b][codes[:, b]] for b in range(codes.shape[1]))
+                    own = np.flatnonzero(ids == q)  # an id is in one block, so mostly none
+                    rest = [np.delete(x, own, 0) for x in (near, lefts, vectors, ids)] if len(own) else [near, lefts, vectors, ids]
+                    at, scores = best_places(vector, *rest, k)
+                    found.append((np.full(len(at), q), rest[3][at], scores))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+
+    met = asked.join(coded, "part").select("query_ids", "queries", "ids", "codes", "lefts", "vectors")
+    found = met.mapInArrow(score, "query_id long, vec_id long, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return exact.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,18 @@ def test_search(spark):
             assert s == pytest.approx(a @ b / np.linalg.norm(a) / np.linalg.norm(b), abs=1e-12)
 
 
+def test_near_copies_are_ranked_exactly(spark):
+    """Groups of thousands of near copies that quantise alike: the nearest are not those of the smallest ids."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(3, 16))
+    rows = {i: (centres[i % 3] + rng.normal(size=16) * 1e-4).tolist() for i in range(9000)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    got = {}
+    for r in vector_search.nearest(df, F.col("id") % 1000 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert got == {q: [i for i, _ in found] for q, found in brute(rows, 5, 1000).items()}
+
+
 def test_copies_and_few_candidates(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0, 0.0]) for i in range(400)] + [(500, [0.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
     rows = vector_search.nearest(df, F.col("id") == 50).orderBy("rank").collect()
