@@ -5,8 +5,9 @@ back to its longest character n-grams, with marks for the word's ends, of which
 shorter ones. A document's scores are the sums over all words of its whole text.
 
 The classifier is fitted on at most ``fit_docs`` documents of each language, taken by a hash of the
-id; their words are counted by Spark, and the words and n-grams kept have a documented bound, so the
-model's size does not depend on the input.
+id; their words are counted by Spark, and the words and n-grams kept of a language have a documented
+bound, so the model's size depends on the number of languages alone. Every value of ``lang`` that has words
+is learnt. Of words that are equally common where the bound falls, those that a hash puts first are kept.
 
 Edge cases: a null text, and one without a letter, is ``und`` with score 0; so is every text if there
 is nothing to learn from. Ties go to the language that sorts first. Only ``doc_id``, ``text`` and, for
@@ -31,7 +32,6 @@ FIT_DOCS = 20_000  # documents of a language that the classifier is fitted on, a
 WORDS = 30_000  # words kept for a language, at most
 GRAMS = 20_000  # n-grams kept for a language and length, at most
 LONGEST = 5
-MOST_LANGS = 200
 NONE = "und"
 _RUN = re.compile(r"[^\W\d_]+")
 _FLUSH = 200_000
@@ -102,7 +102,7 @@ def fit(docs: DataFrame, held_out, fit_docs: int = FIT_DOCS, words: int = WORDS)
     spark = docs.sparkSession
     common.small_batches(spark)
     train = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(F.col("lang").isNotNull() & ~held_out)
-    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS).collect()}
+    sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     if not sizes:
         return LanguageModel([])
     share = F.create_map(*(x for lang, n in sizes.items() for x in (F.lit(lang), F.lit(min(1.0, fit_docs / n)))))
@@ -126,21 +126,38 @@ def fit(docs: DataFrame, held_out, fit_docs: int = FIT_DOCS, words: int = WORDS)
 
     counts = train.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = common.stored(counts, "language-words")
-    # The least count at which a language keeps no more than its share of words, from a histogram.
+    # The least count at which a language keeps no more than its share of words, from a histogram; of the
+    # words of the next count, as many as there is room for, in the order of a hash.
     cut: dict[str, int] = {}
+    tied: dict[str, int] = {}
+    room: dict[str, int] = {}
+    share_of_tied: dict[str, float] = {}
     seen: dict[str, int] = defaultdict(int)
-    histogram = counts.groupBy("lang", F.least(F.col("n"), F.lit(10_000)).alias("n")).count()
-    for r in sorted(histogram.collect(), key=lambda r: (r["lang"], -r["n"])):
-        seen[r["lang"]] += r["count"]
-        if seen[r["lang"]] <= words:
-            cut[r["lang"]] = r["n"]
-    if not cut:
+    counts = counts.withColumn("bin", F.least(F.col("n"), F.lit(10_000))).withColumn("point", F.pmod(F.xxhash64("word"), F.lit(1 << 40)) / float(1 << 40))
+    for r in sorted(counts.groupBy("lang", "bin").count().collect(), key=lambda r: (r["lang"], -r["bin"])):
+        lang, left = r["lang"], words - seen[r["lang"]]
+        seen[lang] += r["count"]
+        if seen[lang] <= words:
+            cut[lang] = r["bin"]
+        elif left > 0:  # a little more than fits, so that a hash's unevenness leaves no room
+            tied[lang], room[lang] = r["bin"], left
+            share_of_tied[lang] = (left + 6 * left**0.5 + 40) / r["count"]
+    if not seen:
         return LanguageModel([])
-    least = F.create_map(*(x for lang, n in cut.items() for x in (F.lit(lang), F.lit(n))))
-    kept: dict[str, dict[str, int]] = {lang: {} for lang in cut}
-    for r in counts.where(F.col("n") >= least[F.col("lang")]).toLocalIterator():  # bounded: langs x words
-        if any(map(str.isalpha, r["word"])):
+
+    def of_lang(values: dict, default):
+        return F.coalesce(F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[F.col("lang")], F.lit(default)) if values else F.lit(default)
+
+    is_tied = (F.col("bin") == of_lang(tied, -1)) & (F.col("point") < of_lang(share_of_tied, 0.0))
+    kept: dict[str, dict[str, int]] = {lang: {} for lang in seen}
+    spare: dict[str, list[tuple[float, str, int]]] = defaultdict(list)
+    for r in counts.where((F.col("bin") >= of_lang(cut, 1 << 62)) | is_tied).toLocalIterator():  # bounded: langs x words
+        if r["bin"] == tied.get(r["lang"]):
+            spare[r["lang"]].append((r["point"], r["word"], r["n"]))
+        elif any(map(str.isalpha, r["word"])):
             kept[r["lang"]][r["word"]] = r["n"]
+    for lang, found in spare.items():
+        kept[lang].update((w, n) for _, w, n in sorted(found)[: room[lang]] if any(map(str.isalpha, w)))
     return model_from_counts(kept)
 
 
@@ -148,18 +165,20 @@ def predict(docs: DataFrame, model: LanguageModel, out: str = "language") -> Dat
     """``docs`` with the struct column ``out``: lang_pred and score, from the text alone."""
     spark = docs.sparkSession
     common.small_batches(spark)
-    shared = spark.sparkContext.broadcast(model)  # bounded by WORDS, GRAMS and MOST_LANGS
+    shared = spark.sparkContext.broadcast(model)  # for each language bounded by WORDS and GRAMS
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def language(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m: LanguageModel = shared.value
         known, n_rows, n_langs = m.words, len(m.table), len(m.langs)
-        room = np.zeros((n_rows + _MEMO, max(1, n_langs)), np.float32)
+        most = max(1000, min(_MEMO, 200 * _MEMO // max(1, n_langs)))  # words remembered
+        step = min(50_000, most)
+        room = np.zeros((n_rows + most, max(1, n_langs)), np.float32)
         room[:n_rows, :n_langs] = m.table
         memo: dict[str, int] = {}
 
         def row(word: str) -> int:
-            if len(memo) >= _MEMO:
+            if len(memo) >= most:
                 return -1
             at = memo[word] = n_rows + len(memo)
             room[at, :n_langs] = m.backoff(word)
@@ -174,9 +193,9 @@ def predict(docs: DataFrame, model: LanguageModel, out: str = "language") -> Dat
                     scores.append(0.0)
                     continue
                 total = np.zeros(max(1, n_langs))
-                for first in range(0, len(words), 50_000):
-                    part = words[first : first + 50_000]
-                    if len(memo) + len(part) > _MEMO:
+                for first in range(0, len(words), step):
+                    part = words[first : first + step]
+                    if len(memo) + len(part) > most:
                         memo.clear()
                     rows = []
                     for w in part:

@@ -131,6 +131,17 @@ def test_languages(spark, docs, texts):
     assert all(0 <= r["score"] <= 1 for r in out.values())
 
 
+def test_every_language_is_learnt(spark):
+    """More than 200 languages, and one whose words all occur equally often and do not all fit."""
+    rows = [(i, f"aa{chr(97 + i // 26)}{chr(97 + i % 26)}bb " * 3, f"l{i:03}") for i in range(230)]
+    df = spark.createDataFrame([*rows, (300, " ".join(f"q{a}{b}" for a in "abcdefgh" for b in "xyz"), "list")], "doc_id long, text string, lang string")
+    model = language_id.fit(df, F.lit(False), words=10)
+    assert set(model.langs) == {"list", *(f"l{i:03}" for i in range(230))}
+    assert sum(w.startswith("q") for w in model.words) == 10
+    told = {r["doc_id"]: r["language"]["lang_pred"] for r in language_id.predict(df, model).collect()}
+    assert told == {r["doc_id"]: r["lang"] for r in df.collect()}
+
+
 def test_unseen_words_fall_back_to_grams():
     model = language_id.model_from_counts({"x": {"abcab": 5, "bcabc": 3}, "y": {"rstrs": 4, "strst": 2}})
     assert model.backoff("abcabc").argmax() == 0 and model.backoff("rstr").argmax() == 1
