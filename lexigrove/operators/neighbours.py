@@ -7,9 +7,11 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexigrove.functions import vectors
+from lexigrove.sources import shared
 
 
 def nearest(rows: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -21,17 +23,15 @@ def nearest(rows: DataFrame, query: Sequence[float], k: int, metric: str = "cosi
 def nearest_batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", column: str = "embedding", blocks: int = 16) -> DataFrame:
     """(query_id, key, score) of the k best for each query (columns query_id, q).
 
-    Vectors fall into blocks by a hash, queries go to every block, and each block keeps its k best of a
-    query before they meet: what is sorted for a query is k times the number of blocks.
+    Vectors fall into blocks by a hash, queries go to every block, and a task keeps the k best of a query
+    that it holds before they meet: what is sorted for a query is k times the number of tasks.
     """
     dealt = rows.select(F.pmod(F.hash(key), F.lit(blocks)).alias("block"), key, column)
     asked = queries.select("query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    scored = asked.join(dealt, "block").select("query_id", "block", key, vectors.METRICS[metric](F.col(column), F.col("q")).alias("score"))
-    best = lambda by: F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), F.col(key).alias("id")))), 1, k)  # noqa: E731, ARG005
-    local = scored.groupBy("query_id", "block").agg(best("block").alias("b")).select("query_id", F.explode("b").alias("x"))
-    local = local.select("query_id", (-F.col("x.far")).alias("score"), F.col("x.id").alias(key))
-    final = local.groupBy("query_id").agg(best("query_id").alias("b")).select("query_id", F.explode("b").alias("x"))
-    return final.select("query_id", F.col("x.id").alias(key), (-F.col("x.far")).alias("score"))
+    scored = asked.join(dealt, "block").select("query_id", key, vectors.METRICS[metric](F.col(column), F.col("q")).alias("score"))
+    # Spark cuts groups before the shuffle for a rank that a filter bounds by a small number.
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy((-F.col("score")).asc(), F.col(key).asc()))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", key, "score")
 
 
 def scalar_ranges(rows: DataFrame, column: str = "embedding") -> DataFrame:
@@ -71,8 +71,15 @@ class ProductQuantiser:
         if not k:
             return self
         stride = max(1, n // k)
-        picks = rows.orderBy(key).select(column).limit(stride * (k - 1) + 1).select(column, F.monotonically_increasing_id().alias("i"))
-        firsts = [r[0] for r in picks.where(F.col("i") % stride == 0).orderBy("i").limit(k).collect()]
+        # Ids of a sorted table number the rows of each part of it; the parts' sizes give the rest of the place.
+        ordered = rows.select(key, column).orderBy(key, column).select(F.col(column), F.monotonically_increasing_id().alias("id"))
+        ordered = shared.stored(ordered, "sorted-vectors")
+        part, at = F.shiftright("id", 33), F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+        sizes = sorted((r["part"], r["count"]) for r in ordered.groupBy(part.alias("part")).count().collect())
+        before = dict(zip((p for p, _ in sizes), np.cumsum([0, *(c for _, c in sizes)]).tolist(), strict=False))
+        place = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[part] + at
+        picks = ordered.select(place.alias("place"), column).where((F.col("place") % stride == 0) & (F.col("place") < stride * k))
+        firsts = [r[column] for r in sorted(picks.collect(), key=lambda r: r["place"])]
         self.centres = np.array(firsts, float).reshape(len(firsts), self.parts, self.width).transpose(1, 0, 2)
         for _ in range(self.rounds):
             centres, width = self.centres, self.width

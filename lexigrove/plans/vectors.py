@@ -58,7 +58,7 @@ def scalar_quant_distance(spark, d):
 
 def product_quant_distance(spark, d):
     rows = table(spark, d, "embeddings")
-    model = neighbours.ProductQuantiser(64, codes=16, rounds=3).calibrate(rows)
+    model = neighbours.ProductQuantiser(64).calibrate(rows)
     return rows.select("vec_id", F.round(model.distance(QUERY, model.code(F.col("embedding"))), 4).alias("distance"))
 
 

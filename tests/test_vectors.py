@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions import vectors as v
 from lexigrove.operators import neighbours
+from lexigrove.plans import catalogue
 
 
 def value(spark, column):
@@ -64,3 +65,27 @@ def test_product_quantiser(rows):
         assert r["code"] == [int(((c - x) ** 2).sum(1).argmin()) for c, x in zip(model.centres, parts, strict=True)]
     with pytest.raises(ValueError):
         neighbours.ProductQuantiser(9, parts=8)
+
+
+def test_product_quantiser_begins_at_strided_rows(rows, spark):
+    """The first centres are every n/k-th vector by key, found without a sort of the table in one task."""
+    model = neighbours.ProductQuantiser(8, parts=4, codes=7, rounds=0).calibrate(rows.repartition(5))
+    by_key = [r["embedding"] for r in rows.orderBy("vec_id").collect()]
+    want = np.array([by_key[i * 8] for i in range(7)]).reshape(7, 4, 2).transpose(1, 0, 2)
+    assert np.array_equal(model.centres, want)
+
+
+def test_registered_quantiser_has_all_codes(spark, tmp_path, monkeypatch):
+    data = [(i, [((i * 31 + d * 7) % 101) / 101 for d in range(64)]) for i in range(300)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    made = []
+    calibrate = neighbours.ProductQuantiser.calibrate
+    monkeypatch.setattr(neighbours.ProductQuantiser, "calibrate", lambda self, *a, **b: made.append(self) or calibrate(self, *a, **b))
+    assert catalogue.queries()["product_quant_distance"](spark, str(tmp_path)).count() == 300
+    assert made[0].centres.shape == (8, 256, 8) and made[0].rounds == 8
+
+
+def test_nearest_batch_holds_no_lists(rows):
+    queries = rows.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    plan = neighbours.nearest_batch(rows, queries, 4, "euclidean")._jdf.queryExecution().toString()
+    assert "collect_list" not in plan and "WindowGroupLimit" in plan
