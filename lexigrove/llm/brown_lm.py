@@ -288,7 +288,6 @@ class BrownModel:
 def fit(train: DataFrame, core_size: int = CORE, head_size: int = HEAD, n_classes: int = CLASSES, sweeps: int = SWEEPS) -> BrownModel:
     """Counts words, clusters them and counts class transitions over all rows of ``train``."""
     spark = train.sparkSession
-    common.small_batches(spark)
     train = train.select(F.col("text").cast("string").alias("text"))
     counts = common.stored(word_counts(train), "word-counts")
     n_docs = train.count()
@@ -347,7 +346,6 @@ def scored(docs: DataFrame, model: BrownModel) -> DataFrame:
     before it, to the table of rare words; sums by document come back together at the end.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     total, n_symbols = model.base_total, len(model.follow)
     has_end = model.end_count > 0
     shared = spark.sparkContext.broadcast((model.head, model.head_counts, model.head_classes, model.follow, model.mass))

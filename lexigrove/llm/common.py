@@ -22,10 +22,8 @@ __all__ = ["new_path", "shared_folder", "stored"]
 #: The white space that separates words everywhere in this subpackage.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
-#: Rows that Spark hands to a Python worker at once. Texts can be long, so batches are short.
-BATCH_ROWS = 1000
-
-#: Text bytes that one numpy step works on; longer texts are a step of their own.
+#: Text bytes that one numpy step works on, out of a batch of what Spark's own limit on bytes lets in; longer
+#: texts are a step of their own.
 STEP_BYTES = 1 << 20
 
 
@@ -33,13 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches short, unless the session already has shorter ones."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > BATCH_ROWS or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(BATCH_ROWS))
-
-
 def word_count(text):
     """Column: the number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
@@ -66,14 +57,10 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def _byte_values() -> np.ndarray:
-    """A random 64-bit value for each byte; A-Z share those of a-z."""
-    values = mix(np.arange(1, 257, dtype=_U) * _U(_P))
-    values[ord("A") : ord("Z") + 1] = values[ord("a") : ord("z") + 1]
-    return values
-
-
-_BYTE = _byte_values()
+#: A random 64-bit value for each byte, and the same with A-Z sharing those of a-z.
+EXACT_BYTE = mix(np.arange(1, 257, dtype=_U) * _U(_P))
+_BYTE = EXACT_BYTE.copy()
+_BYTE[ord("A") : ord("Z") + 1] = _BYTE[ord("a") : ord("z") + 1]
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
@@ -131,11 +118,19 @@ def is_blank(part: np.ndarray) -> np.ndarray:
     return _SPACE[part]
 
 
+def span_hashes(part: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _BYTE) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: a polynomial in the bytes' ``values``, taken from prefix sums
+    modulo 2**64 and then mixed, so that no Python runs for a span."""
+    up, down = _POWERS.upto(len(part))
+    sums = np.zeros(len(part) + 1, _U)
+    np.cumsum(values[part] * up, out=sums[1:])
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
+
+
 def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word, number of words of each row), A-Z lower-cased, in text order.
 
-    ``offsets`` may begin anywhere in ``data``. The hash is a polynomial in the word's bytes, taken
-    from prefix sums modulo 2**64 and then mixed, so that no Python runs for a word.
+    ``offsets`` may begin anywhere in ``data``.
     """
     n_rows = len(offsets) - 1
     base, end = int(offsets[0]), int(offsets[-1])
@@ -148,9 +143,50 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     edge[inner] = True  # a row's end parts words like white space does
     starts = np.flatnonzero(word & (edge[:-1] | ~np.concatenate(([False], word[:-1]))))
     ends = np.flatnonzero(word & (edge[1:] | ~np.concatenate((word[1:], [False])))) + 1
-    up, down = _POWERS.upto(len(part))
-    sums = np.zeros(len(part) + 1, _U)
-    np.cumsum(_BYTE[part] * up, out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
     counts = np.diff(np.searchsorted(starts, inner))
-    return hashes, counts
+    return span_hashes(part, starts, ends), counts
+
+
+class HashTable:
+    """Numbers of 64-bit keys, in numpy arrays: open addressing, whole arrays of keys at a time."""
+
+    def __init__(self, bits: int = 12) -> None:
+        self.n = 0
+        self._room(bits)
+
+    def _room(self, bits: int) -> None:
+        self.mask = _U((1 << bits) - 1)
+        self.keys = np.zeros(1 << bits, _U)  # 0 is no key
+        self.numbers = np.zeros(1 << bits, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 for those that are not there."""
+        keys = np.where(keys == 0, _U(1), keys)
+        out = np.full(len(keys), -1, np.int64)
+        at = (keys & self.mask).astype(np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            there = self.keys[at]
+            hit = there == keys[open_]
+            out[open_[hit]] = self.numbers[at[hit]]
+            more = ~hit & (there != 0)
+            open_, at = open_[more], (at[more] + 1) & int(self.mask)
+        return out
+
+    def add(self, keys: np.ndarray) -> None:
+        """Gives new, distinct keys the next numbers, in their order."""
+        if 2 * (self.n + len(keys)) > len(self.keys):
+            full = self.keys != 0
+            old_keys, old_numbers = self.keys[full], self.numbers[full]
+            self._room(max(12, int(4 * (self.n + len(keys))).bit_length()))
+            self._put(old_keys, old_numbers)
+        self._put(np.where(keys == 0, _U(1), keys), np.arange(self.n, self.n + len(keys), dtype=np.int32))
+        self.n += len(keys)
+
+    def _put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        at = (keys & self.mask).astype(np.int64)
+        while len(keys):
+            free = self.keys[at] == 0
+            self.keys[at[free]], self.numbers[at[free]] = keys[free], numbers[free]  # of two at one place the last stays
+            rest = self.keys[at] != keys
+            keys, numbers, at = keys[rest], numbers[rest], (at[rest] + 1) & int(self.mask)

@@ -117,7 +117,6 @@ def may_link(differing: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, sa
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int = ROWS_A_BAND) -> DataFrame:
     """doc_id, n_shingles, f1 and f2 (fingerprint of the set), samples, sketch, bands."""
-    common.small_batches(docs.sparkSession)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -22,7 +22,7 @@ Edge cases: a null or empty text has no tokens but its end, one sequence. A null
 from __future__ import annotations
 
 import base64
-from array import array
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +37,12 @@ from lexigrove.llm import common
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed value: how the public byte-level vocabularies part a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LENGTH, SHARD_RECORDS, KEY = 256, 16_384, 20_240_607
+LENGTH, KEY = 256, 20_240_607
+SHARD_RECORDS, MOST_RECORDS, MOST_SHARDS = 16_384, 1 << 20, 10_000  # shards grow with the corpus, up to half a gigabyte
+READ_RECORDS = 4096  # of a range that is read at once
+LAYOUT = "layout.json"
 _HEADER = 16
-_MEMO = 500_000
+_MEMO = 1_000_000
 _ROUNDS = 4
 _U = np.uint64
 _encoders: dict[bytes, object] = {}  # of this worker, by vocabulary
@@ -80,11 +83,31 @@ def feistel(numbers: np.ndarray, n: int, key: int, inverse: bool = False) -> np.
 # ---------------------------------------------------------------- tokens
 
 
+#: White space beyond ASCII, as Unicode has it.
+_WIDE_BLANKS = "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+_BLANK = np.zeros(256, bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x20), 0x20]] = True
+
+
+def blanks(part: np.ndarray) -> np.ndarray:
+    """Which bytes of UTF-8 text belong to white space."""
+    out = _BLANK[part]
+    for lead, length in ((0xC2, 2), (0xE1, 3), (0xE2, 3), (0xE3, 3)):
+        at = np.flatnonzero(part[: len(part) - length + 1] == lead) if lead == 0xC2 or (part == lead).any() else np.empty(0, np.int64)
+        for blank in (c.encode() for c in _WIDE_BLANKS):
+            if blank[0] == lead and len(at):
+                here = at[np.logical_and.reduce([part[at + i] == blank[i] for i in range(1, length)])]
+                for i in range(length):
+                    out[here + i] = True
+    return out
+
+
 class Encoder:
-    """Token ids of a text as 16-bit numbers, with a memory of the words it has met.
+    """Token ids of many texts at once, with a memory of the pieces of text it has met.
 
-    The vocabulary's pattern always parts a text before a space that a non-space follows, so a text
-    without runs of spaces is encoded piece by piece; any other is encoded whole. Both give the same ids.
+    The vocabulary's pattern always parts a text before a space that no white space follows, and on both
+    sides of a line feed between other characters. Texts are cut at these places in numpy, pieces are
+    looked up by a 64-bit hash of their bytes, and only pieces that are not remembered reach the encoder.
     """
 
     def __init__(self, vocabulary: bytes) -> None:
@@ -93,28 +116,78 @@ class Encoder:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, vocabulary.splitlines())}
         self.end = len(ranks)  # the id after the vocabulary's last
         self.encoding = tiktoken.Encoding("shards", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.memo: dict[str, bytes] = {}
-
-    def raw(self, text: str) -> bytes:
-        return array("H", self.encoding.encode_ordinary(text)).tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        """Ids of the text and its end."""
-        end = np.uint16(self.end).tobytes()
-        if not text:
-            return end
-        first, *rest = text.split(" ")
-        if "" in rest:
-            return self.raw(text) + end
-        memo = self.memo
-        out = list(map(memo.get, rest))
-        if None in out:
-            for i, ids in enumerate(out):
-                if ids is None:
-                    out[i] = ids = self.raw(" " + rest[i])
-                    if len(memo) < _MEMO:  # common words come early; a full memory keeps them
-                        memo[rest[i]] = ids
-        return b"".join([self.raw(first), *out, end])
+        self.table = common.HashTable(16)
+        self.begin = np.zeros(1024, np.int64)  # of each remembered piece: where its ids are, and how many
+        self.size = np.zeros(1024, np.int64)
+        self.pool = np.zeros(4096, np.uint16)
+        self.filled = 0
+
+    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all rows, where each piece begins, the number of pieces before each row and after the last)."""
+        part, inner = data[int(offsets[0]) : int(offsets[-1])], offsets - offsets[0]
+        if not len(part):
+            return part, np.empty(0, np.int64), np.zeros(len(offsets), np.int64)
+        blank = blanks(part)
+        edge = np.zeros(len(part) + 1, bool)
+        edge[inner] = True
+        before, after = np.concatenate(([True], blank[:-1])) | edge[:-1], np.concatenate((blank[1:], [True])) | edge[1:]
+        cut = edge[:-1] | ((part == 0x20) & ~after)
+        line = np.flatnonzero((part == 0x0A) & ~before & ~after)
+        cut[line] = True
+        cut[line + 1] = True
+        starts = np.flatnonzero(cut)
+        return part, starts, np.searchsorted(starts, inner)
+
+    def numbers(self, part: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The number of each piece in ``begin`` and ``size``; new pieces are encoded and get numbers.
+
+        A full memory keeps what it has, as common pieces come early; numbers above it hold until the next call.
+        """
+        ends = np.append(starts[1:], len(part))
+        hashes = common.span_hashes(part, starts, ends, common.EXACT_BYTE)
+        found = self.table.find(hashes)
+        away = np.flatnonzero(found < 0)
+        if not len(away):
+            return found
+        fresh, first, which = np.unique(hashes[away], return_index=True, return_inverse=True)
+        texts = part.tobytes()
+        new = [self.encoding.encode_ordinary(texts[starts[i] : ends[i]].decode("utf-8", "replace")) for i in away[first].tolist()]
+        n, sizes = self.table.n, np.fromiter(map(len, new), np.int64, len(new))
+        total = int(sizes.sum())
+        self.begin, self.size = _grown(self.begin, n + len(new)), _grown(self.size, n + len(new))
+        self.pool = _grown(self.pool, self.filled + total)
+        self.pool[self.filled : self.filled + total] = np.fromiter((i for ids in new for i in ids), np.uint16, total)
+        self.begin[n : n + len(new)] = self.filled + np.cumsum(sizes) - sizes
+        self.size[n : n + len(new)] = sizes
+        found[away] = n + which.reshape(-1)
+        if n + len(new) <= _MEMO:
+            self.table.add(fresh)
+            self.filled += total
+        return found
+
+    def lengths(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """The number of ids of each row, its end included."""
+        part, starts, at = self.pieces(data, offsets)
+        found = self.numbers(part, starts) if len(starts) else starts
+        sums = np.concatenate(([0], np.cumsum(self.size[found])))
+        return np.diff(sums[at]) + 1
+
+    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, each row's followed by the end; their number for each row)."""
+        part, starts, at = self.pieces(data, offsets)
+        n_rows = len(offsets) - 1
+        found = self.numbers(part, starts) if len(starts) else starts
+        size, row = self.size[found], np.repeat(np.arange(n_rows), np.diff(at))
+        total = int(size.sum())
+        ids = np.full(total + n_rows, self.end, np.uint16)
+        before = np.cumsum(size) - size
+        ids[np.arange(total) + np.repeat(row, size)] = self.pool[np.arange(total) + np.repeat(self.begin[found] - before, size)]
+        return ids, np.bincount(row, size, n_rows).astype(np.int64) + 1
+
+
+def _grown(x: np.ndarray, n: int) -> np.ndarray:
+    """``x`` with room for n elements at least."""
+    return x if len(x) >= n else np.concatenate([x, np.zeros(max(n - len(x), len(x)), x.dtype)])
 
 
 def encoder(vocabulary: bytes) -> Encoder:
@@ -128,17 +201,36 @@ def encoder(vocabulary: bytes) -> Encoder:
 # ---------------------------------------------------------------- shards
 
 
+def records_of_shard(total: int) -> int:
+    """Records of a shard: a power of two, so many that there are at most MOST_SHARDS shards, between bounds."""
+    return min(MOST_RECORDS, max(SHARD_RECORDS, 1 << (-(-total // MOST_SHARDS) - 1).bit_length() if total else 0))
+
+
+def records(doc_ids: np.ndarray, ids: np.ndarray, sizes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes (n, stride) of the records of all rows, number of records of each row)."""
+    n = -(-sizes // length)
+    row, piece = np.repeat(np.arange(len(n)), n), np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    head = np.zeros((len(row), shard_bytes(length)), np.uint8)
+    head[:, :8] = doc_ids[row].astype("<i8").view(np.uint8).reshape(-1, 8)
+    head[:, 8:12] = piece.astype("<i4").view(np.uint8).reshape(-1, 4)
+    head[:, 12:16] = np.minimum(length, sizes[row] - piece * length).astype("<i4").view(np.uint8).reshape(-1, 4)
+    place = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    record = np.repeat(np.cumsum(n) - n, sizes) + place // length
+    flat = head.view("<u2").reshape(-1)
+    flat[record * (shard_bytes(length) // 2) + _HEADER // 2 + place % length] = ids
+    return head, n
+
+
 def write_shards(
-    docs: DataFrame, path: str, vocabulary: str = VOCABULARY, length: int = LENGTH, shard_records: int = SHARD_RECORDS, key: int = KEY
+    docs: DataFrame, path: str, vocabulary: str = VOCABULARY, length: int = LENGTH, shard_records: int | None = None, key: int = KEY
 ) -> int:
-    """Writes ``path``/shard-00000000.bin and so on; returns the number of sequences.
+    """Writes ``path``/shard-00000000.bin and so on, and their layout; returns the number of sequences.
 
     ``path`` is a URI that executors can write to. ``vocabulary`` is a file on the driver; its content,
     less than a megabyte, goes to the tasks. A shard is written under the attempt's own name and then
     renamed, so a task that runs again, or twice, leaves the same file.
     """
     spark = docs.sparkSession
-    common.small_batches(spark)
     with open(vocabulary, "rb") as f:
         shared = spark.sparkContext.broadcast(f.read())
     stride = shard_bytes(length)
@@ -147,30 +239,32 @@ def write_shards(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, n = encoder(shared.value), 0
         for batch in batches:
-            n += sum(-(-len(encode(t or "")) // (2 * length)) for t in batch.column(1).to_pylist())
+            data, offsets = common.text_buffer(batch.column(1))
+            for first, last in common.steps(offsets):
+                n += int((-(-encode.lengths(data, offsets[first : last + 1]) // length)).sum())
         yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([n], pa.int64())], ["part", "n"])
 
-    counts = source.mapInArrow(count, "part int, n long").collect()  # one row for each input partition
-    offsets, total = {}, 0
-    for r in sorted(counts, key=lambda r: r["part"]):
-        offsets[r["part"]] = total
-        total += r["n"]
+    counts = sorted((r["part"], r["n"]) for r in source.mapInArrow(count, "part int, n long").collect())  # one row for each input partition
+    total = sum(n for _, n in counts)
     if not total:
         return 0
+    per_shard = shard_records or records_of_shard(total)
+    ends = np.cumsum([n for _, n in counts]).tolist()
+    spans = spark.sparkContext.broadcast({p: (e - n, e) for (p, n), e in zip(counts, ends, strict=True)})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, at = encoder(shared.value), offsets[TaskContext.get().partitionId()]
-        for batch in common.short_batches(batches, 1):
-            records = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode(text or "")
-                for piece, first in enumerate(range(0, len(ids), 2 * length)):
-                    tokens = ids[first : first + 2 * length]
-                    head = np.array([doc_id], "<i8").tobytes() + np.array([piece, len(tokens) // 2], "<i4").tobytes()
-                    records.append((head + tokens).ljust(stride, b"\0"))
-            slots = feistel(np.arange(at, at + len(records)), total, key)
-            at += len(records)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // shard_records).astype(np.int32)), pa.array(records, pa.binary())], ["slot", "shard", "record"])
+        encode, (at, end) = encoder(shared.value), spans.value[TaskContext.get().partitionId()]
+        for batch in batches:
+            data, offsets = common.text_buffer(batch.column(1))
+            doc_ids = batch.column(0).to_numpy()
+            for first, last in common.steps(offsets):
+                rows, _ = records(doc_ids[first:last], *encode(data, offsets[first : last + 1]), length)
+                slots = feistel(np.arange(at, at + len(rows)), total, key)
+                at += len(rows)
+                blobs = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer((np.arange(len(rows) + 1) * stride).astype(np.int32)), pa.py_buffer(rows)])
+                yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array((slots // per_shard).astype(np.int32)), blobs], ["slot", "shard", "record"])
+        if at != end:
+            raise RuntimeError(f"{at - end:+} sequences in partition {TaskContext.get().partitionId()}: the input changed between two passes")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, folder = pa.fs.FileSystem.from_uri(path)
@@ -201,42 +295,57 @@ def write_shards(
     files, folder = pa.fs.FileSystem.from_uri(path)
     files.create_dir(folder, recursive=True)
     cuts = source.mapInArrow(cut, "slot long, shard int, record binary")
-    n_shards = -(-total // shard_records)
-    dealt = cuts.repartitionById(n_shards, F.col("shard")).sortWithinPartitions("slot")
+    dealt = cuts.repartitionById(-(-total // per_shard), F.col("shard")).sortWithinPartitions("slot")
     written = dealt.mapInArrow(write, "shard int, n long").agg(F.sum("n").alias("n")).first()["n"]
     if written != total:
-        raise RuntimeError(f"{written} of {total} sequences written: the input changed between two passes")
+        raise RuntimeError(f"{written} of {total} sequences written")
+    with files.open_output_stream(f"{folder}/{LAYOUT}") as out:
+        out.write(json.dumps({"sequences": total, "length": length, "shard_records": per_shard, "key": key}).encode())
     return total
 
 
-def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard_records: int = SHARD_RECORDS, first_slot: int = 0) -> DataFrame:
+def layout(path: str) -> dict[str, int]:
+    """sequences, length, shard_records and key of the shards in ``path``."""
+    files, folder = pa.fs.FileSystem.from_uri(path)
+    with files.open_input_stream(f"{folder}/{LAYOUT}") as f:
+        return json.loads(f.read())
+
+
+def read_shards(spark: SparkSession, path: str, first_slot: int = 0) -> DataFrame:
     """slot, shard, position (byte in the shard), doc_id, piece, n_tokens and tokens of every record from
-    ``first_slot`` on. A shard is one file of fixed size, so reading resumes at any slot."""
-    stride = shard_bytes(length)
+    ``first_slot`` on. Tasks read ranges of slots, each from the place in its shard that the slot gives."""
+    made = layout(path)
+    stride, per_shard, total = shard_bytes(made["length"]), made["shard_records"], made["sequences"]
+    at_once = READ_RECORDS
+    per_range = -(-per_shard // at_once)  # ranges of a shard
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, folder = pa.fs.FileSystem.from_uri(path)
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                shard = int(name.rsplit("-", 1)[1].split(".")[0])
-                every = np.frombuffer(content.as_buffer(), np.uint8).reshape(-1, stride)
-                for first in range(max(0, first_slot - shard * shard_records), len(every), 1000):
-                    rows = every[first : first + 1000]
-                    slots = shard * shard_records + first + np.arange(len(rows))
-                    sizes = np.ascontiguousarray(rows[:, 8:16]).view("<i4")
-                    tokens = [r[_HEADER : _HEADER + 2 * n].tobytes() for r, n in zip(rows, sizes[:, 1].tolist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(slots), pa.array(np.full(len(rows), shard, np.int32)), pa.array((slots - shard * shard_records) * stride),
-                            pa.array(np.ascontiguousarray(rows[:, :8]).view("<i8")[:, 0]), pa.array(sizes[:, 0].copy()), pa.array(sizes[:, 1].copy()),
-                            pa.array(tokens, pa.binary()),
-                        ],
-                        ["slot", "shard", "position", "doc_id", "piece", "n_tokens", "tokens"],
-                    )
+            for number in batch.column(0).to_pylist():
+                shard, place = number // per_range, number % per_range * at_once
+                slot = max(first_slot, shard * per_shard + place)
+                end = min(total, (shard + 1) * per_shard, shard * per_shard + place + at_once)
+                if slot >= end:
+                    continue
+                with files.open_input_file(f"{folder}/shard-{shard:08d}.bin") as f:
+                    f.seek((slot - shard * per_shard) * stride)
+                    for first in range(slot, end, 1000):
+                        n = min(1000, end - first)
+                        rows = np.frombuffer(f.read(n * stride), np.uint8).reshape(n, stride)
+                        sizes = np.ascontiguousarray(rows[:, 8:16]).view("<i4")
+                        tokens = [r[_HEADER : _HEADER + 2 * k].tobytes() for r, k in zip(rows, sizes[:, 1].tolist(), strict=True)]
+                        yield pa.RecordBatch.from_arrays(
+                            [
+                                pa.array(np.arange(first, first + n)), pa.array(np.full(n, shard, np.int32)), pa.array((np.arange(first, first + n) - shard * per_shard) * stride),
+                                pa.array(np.ascontiguousarray(rows[:, :8]).view("<i8")[:, 0]), pa.array(sizes[:, 0].copy()), pa.array(sizes[:, 1].copy()),
+                                pa.array(tokens, pa.binary()),
+                            ],
+                            ["slot", "shard", "position", "doc_id", "piece", "n_tokens", "tokens"],
+                        )
 
     schema = "slot long, shard int, position long, doc_id long, piece int, n_tokens int, tokens binary"
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard-*.bin").load(path).select("path", "content")
-    files = files.where(F.regexp_extract("path", r"shard-(\d+)\.bin$", 1).cast("long") >= first_slot // shard_records)
-    return files.mapInArrow(decode, schema)
+    return spark.range(first_slot // per_shard * per_range, -(-total // per_shard) * per_range).mapInArrow(decode, schema)
 
 
 def op1_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:

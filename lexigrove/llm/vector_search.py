@@ -150,7 +150,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     ``is_query`` is a condition on the column ``id``, which is ``key`` as a long.
     """
     spark = vectors.sparkSession
-    common.small_batches(spark)
     if spark.conf.get(BATCH_BYTES, None) is None:  # a row of a block of codes holds its vectors
         spark.conf.set(BATCH_BYTES, "64m")
     rows = common.stored(usable(vectors, key, column), "vectors")

@@ -1,12 +1,14 @@
 """Training-order shards as an exact round trip, and vector search against brute force."""
 
 import os
+import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lexigrove.llm import training_order, vector_search
+from lexigrove.llm import common, training_order, vector_search
 
 needs_vocabulary = pytest.mark.skipif(not os.path.exists(training_order.VOCABULARY), reason="no vocabulary here")
 
@@ -21,38 +23,58 @@ def test_feistel_is_a_permutation(n):
 
 
 @needs_vocabulary
-def test_encoder_is_the_vocabularys(texts):
+def test_encoder_is_the_vocabularys(texts, monkeypatch):
     with open(training_order.VOCABULARY, "rb") as f:
-        encode = training_order.Encoder(f.read())
-    extra = ["a  b", " a", "a ", "a\n b\t c \n", "it's we'll", "x \u00a0 y", "1 22,3 é", "\n", " "]
-    for t in [t for _, t, *_ in texts if t] + extra:
-        whole = encode.encoding.encode_ordinary(t)
-        assert np.frombuffer(encode(t), np.uint16).tolist() == [*whole, encode.end]
+        vocabulary = f.read()
+    dice = random.Random(3)
+    extra = ["a  b", " a", "a ", "a\n b\t c \n", "it's we'll", "x \u00a0 y", "1 22,3 é", "\n", " ", "a\nb\n\nc"]
+    extra += ["".join(dice.choice(["a", "b", " ", "\n", "é", "'s", "1", "-", "\t", "\x1c", "\u2003", "漢"]) for _ in range(dice.randint(0, 12))) for _ in range(2000)]
+    every = [t or "" for t in [*(t for _, t, *_ in texts), *extra]]
+    for most in (1_000_000, 40):  # a memory for all pieces, and one that is soon full
+        monkeypatch.setattr(training_order, "_MEMO", most)
+        encode = training_order.Encoder(vocabulary)
+        data, offsets = common.text_buffer(pa.array(every))
+        want = [[*encode.encoding.encode_ordinary(t), encode.end] for t in every]
+        for first, last in common.steps(offsets):
+            ids, sizes = encode(data, offsets[first : last + 1])
+            assert sizes.tolist() == encode.lengths(data, offsets[first : last + 1]).tolist() == [len(w) for w in want[first:last]]
+            assert ids.tolist() == [i for w in want[first:last] for i in w]
 
 
 @needs_vocabulary
-def test_round_trip(spark, docs, texts, tmp_path):
+@pytest.mark.parametrize(("per_shard", "at_once"), [(50, 4096), (50, 16), (None, 64)])
+def test_round_trip(spark, docs, texts, tmp_path, monkeypatch, per_shard, at_once):
+    monkeypatch.setattr(training_order, "READ_RECORDS", at_once)
     path = f"file://{tmp_path}/shards"
-    total = training_order.write_shards(docs.repartition(3, "text"), path, length=32, shard_records=50)
-    rows = training_order.read_shards(spark, path, length=32, shard_records=50).orderBy("slot").collect()
+    total = training_order.write_shards(docs.repartition(3, "text"), path, length=32, shard_records=per_shard)
+    per_shard = training_order.layout(path)["shard_records"]
+    rows = training_order.read_shards(spark, path).orderBy("slot").collect()
     assert [r["slot"] for r in rows] == list(range(total))
     names = sorted(os.listdir(tmp_path / "shards"))
     sizes = [os.path.getsize(tmp_path / "shards" / n) for n in names if n.endswith(".bin")]
-    assert set(sizes[:-1]) == {50 * training_order.shard_bytes(32)} and len(sizes) == -(-total // 50)
+    assert set(sizes[:-1]) <= {per_shard * training_order.shard_bytes(32)} and len(sizes) == -(-total // per_shard)
     with open(training_order.VOCABULARY, "rb") as f:
         encode = training_order.Encoder(f.read())
     pieces = {}
     for r in rows:
-        assert r["position"] == r["slot"] % 50 * training_order.shard_bytes(32)
+        assert r["position"] == r["slot"] % per_shard * training_order.shard_bytes(32) and r["shard"] == r["slot"] // per_shard
         pieces.setdefault(r["doc_id"], {}).setdefault(r["piece"], set()).add(bytes(r["tokens"]))
     for i, t, *_ in texts:
         got = b"".join(next(iter(v)) for _, v in sorted(pieces[-1 if i is None else i].items()))
         ids = np.frombuffer(got, np.uint16).tolist()
         assert ids[-1] == encode.end and encode.encoding.decode(ids[:-1]) == (t or "")
-    later = training_order.read_shards(spark, path, length=32, shard_records=50, first_slot=123).orderBy("slot").collect()
+    later = training_order.read_shards(spark, path, first_slot=123).orderBy("slot").collect()
     assert [r["slot"] for r in later] == list(range(123, total)) and later[0]["tokens"] == rows[123]["tokens"]
 
 
+def test_shards_grow_with_the_corpus():
+    assert training_order.records_of_shard(1) == training_order.SHARD_RECORDS
+    for total in (10**6, 10**9, 3 * 10**9):
+        per_shard = training_order.records_of_shard(total)
+        assert per_shard & (per_shard - 1) == 0 and -(-total // per_shard) <= training_order.MOST_SHARDS
+    assert training_order.records_of_shard(10**13) == training_order.MOST_RECORDS
+
+
 # ---------------------------------------------------------------- vectors
 
 
