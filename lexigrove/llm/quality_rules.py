@@ -11,6 +11,7 @@ further columns, whatever their names, do not matter.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
@@ -25,11 +26,13 @@ from lexigrove.llm.weak_labels import LabelModel, fit_label_model
 #: Counts of a text that rules can use, all long.
 COUNTS = (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-    "n_lines", "n_upper", "n_bare", "n_distinct",
+    "n_lines", "n_upper", "n_bare", "n_distinct", "n_odd",
 )
 
 _SYMBOLS = "#*$%&|<>"
 _BLANKS = "\x20\t\n\v\f\r"
+#: Digits, and marks that are rare inside prose.
+_ODD = re.compile(rb"[#*$%&|<>@_=+~^\\/{}\[\]0-9]")
 
 
 def repeated_words(words: Sequence, width: int = 5) -> int:
@@ -59,18 +62,18 @@ def text_counts(text: str) -> tuple[int, ...]:
     bare = {w for w in distinct if not w.isalnum() and not any(map(str.isalnum, w.decode("utf-8", "replace")))}
     n_bare = sum(map(words.count, bare)) if len(bare) < 8 else sum(w in bare for w in words)
     n_upper = sum(map(bytes.isupper, words))
+    odd = {w for w in distinct if _ODD.search(w)} if _ODD.search(raw) else ()
     return (
         len(words), n_chars, n_symbols, len(lines) - len(set(lines)), repeated_words(words),
-        len(lines), n_upper, n_bare, len(distinct),
+        len(lines), n_upper, n_bare, len(distinct), sum(w in odd for w in words) if odd else 0,
     )
 
 
 def counted(docs: DataFrame) -> DataFrame:
     """doc_id and the COUNTS of every whole text."""
-    common.small_batches(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.short_batches(batches, 1):
             rows = [text_counts(t or "") for t in batch.column(1).to_pylist()]
             values = np.array(rows, np.int64).reshape(len(rows), len(COUNTS))
             yield pa.RecordBatch.from_arrays(
@@ -83,11 +86,10 @@ def counted(docs: DataFrame) -> DataFrame:
 
 def with_counts(docs: DataFrame, out: str) -> DataFrame:
     """``docs`` with the COUNTS of the text as a struct column; all other columns stay in the JVM."""
-    common.small_batches(docs.sparkSession)
 
     @F.arrow_udf("struct<" + ", ".join(f"{name}: long" for name in COUNTS) + ">")
     def count(texts: pa.Array) -> pa.Array:
-        values = np.array([text_counts(t or "") for t in texts.to_pylist()], np.int64).reshape(len(texts), len(COUNTS))
+        values = np.array([text_counts(t.as_py() or "") for t in texts], np.int64).reshape(len(texts), len(COUNTS))
         return pa.StructArray.from_arrays([pa.array(values[:, i]) for i in range(len(COUNTS))], list(COUNTS))
 
     return docs.withColumn(out, count.asNondeterministic()(F.col("text").cast("string")))
@@ -106,17 +108,22 @@ class Rule:
 
 
 def standard_rules(column: Callable[[str], Column] = F.col) -> list[Rule]:
-    """The rules of the query; ``column`` gives the Column of one of the COUNTS."""
+    """The rules of the query; ``column`` gives the Column of one of the COUNTS.
+
+    They differ in how much they can be trusted, which is for the model to find out: most bad ways are seen
+    by two rules or more, while a short text, say, has often nothing else against it.
+    """
     n, c = column("n_words"), column
     return [
-        Rule("length", n < 10, n >= 40),
+        Rule("length", n < 20, n >= 40),
         Rule("symbols", c("n_symbols") * 10 > n, c("n_symbols") * 50 <= n),
+        Rule("odd_words", c("n_odd") * 5 > n, c("n_odd") * 20 <= n),
         Rule("shouting", c("n_upper") * 10 > n * 3, c("n_upper") * 20 <= n),
         Rule("repeats", c("n_repeat_words") * 100 > n * 20, c("n_repeat_words") * 20 <= n),
         Rule("lines", c("n_dup_lines") * 2 > c("n_lines"), c("n_dup_lines") == 0),
         Rule("bare_tokens", c("n_bare") * 10 > n, c("n_bare") * 50 <= n),
-        Rule("variety", c("n_distinct") * 12 < n, c("n_distinct") * 4 > n),
-        Rule("word_length", (c("word_chars") < n * 2) | (c("word_chars") > n * 15), c("word_chars").between(n * 3, n * 10)),
+        Rule("variety", c("n_distinct") * 5 < n * 2, c("n_distinct") * 2 > n),
+        Rule("word_length", (c("word_chars") < n * 3) | (c("word_chars") > n * 11), c("word_chars").between(n * 4, n * 8)),
     ]
 
 
