@@ -134,7 +134,6 @@ def filter_urls(
     pages: DataFrame, rules: Sequence[UrlRule], default: str = "allow", url: str = "url", key: str = "page_id"
 ) -> DataFrame:
     """key, host, path, rule (the winner's name, null if it has none or none fits) and verdict."""
-    common.small_batches(pages.sparkSession)
     order = sorted(range(len(rules)), key=lambda i: (-rules[i].rank, i))
     ranked = [rules[i] for i in order]
     names = [r.name for r in ranked] + [None]
