@@ -8,23 +8,30 @@ whole sequence is the one shingle. Documents are linked if 100 * |A and B| >= pe
    gives its least shingle as a sample, and each sample flips one of 2,048 bits. The samples that two
    documents do not share are what is left in the exclusive or of their bitmaps, so its population
    count tells high similarities apart much better than equal bands do.
-2. Documents with equal sets become one class, of which the one with the least id goes on. However
-   many exact copies there are, they cost one aggregation and never become pairs.
+2. Documents with equal sets become one class, of which one row goes on. However many exact copies or
+   repeated rows there are, they cost one aggregation and never become pairs.
 3. The number of bands makes the chance that a pair at the threshold shares none at most ``miss``. In
    each bucket every member is paired with one root, the member with the most company in all its
    buckets, and these pairs are confirmed on full sets. That joins most of a group with as many pairs
    as members.
 4. What is left are pairs of a bucket that lie in different components. Each such bucket is dealt out
-   in cells of bounded size, and a cell compares its members' odd sketches; only pairs that the sketches
-   deem similar leave it, to be confirmed on full sets. No bucket is cut or skipped.
-5. Connected components of all confirmed links, the least id naming each.
+   in cells of bounded size that meet two blocks of members; members of one large component have blocks of
+   their own, which never meet each other, so a large group that its root has joined costs one visit for
+   each block of what is outside it. A cell compares its members' odd sketches; only pairs that the
+   sketches deem similar leave it, to be confirmed on full sets. No bucket is cut or skipped.
+5. Connected components of all confirmed links and of the classes that share an id, the least id naming each.
 
 The sketch test refuses a pair only if its estimate is below the threshold by SIGMAS standard
 deviations, so it hardly ever refuses a link, and it never makes one.
 
 Edge cases: a null or empty text, or one of white space, has an empty set and is linked with nothing.
 A null ``doc_id`` takes no part: its component is null and it is kept. Rows that share a ``doc_id`` are
-one node. Texts of any length are taken whole. Only ``doc_id`` and ``text`` are read.
+one document with several texts: what links with one of them is linked with all, and all have one
+component, an empty one among them included. Texts of any length are taken whole. Only ``doc_id`` and
+``text`` are read.
+
+What grows faster than the input is the number of pairs in one bucket that lie below the threshold in
+different components, which the cells must compare.
 """
 
 from __future__ import annotations
@@ -45,7 +52,7 @@ ROWS_A_BAND = 4
 MISS = 1e-7
 BINS, SKETCH_BITS = 4096, 2048
 SIGMAS = 5  # by which a sketch's estimate may fall short: a chance of 3e-7, near that of the bands
-CELL = 512  # members of one side of a cell
+CELL = 1024  # members of one side of a cell, about
 _U = np.uint64
 _PLACE = mix(np.arange(1, 65, dtype=_U) * _U(0xD1342543DE82EF95)) | _U(1)  # odd factors by place in a shingle
 _FACTOR = mix(np.arange(1, 4097, dtype=_U) * _U(0xA24BAED4963EE407)) | _U(1)  # of the MinHash functions
@@ -77,6 +84,17 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return (np.concatenate(sets) if sets else np.empty(0, _U)), np.array([len(s) for s in sets], np.int64)
 
 
+def fingerprints(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit numbers for each set that tell it from all others; 0 and 0 for an empty set."""
+    full = np.flatnonzero(counts)
+    f1, f2 = np.zeros(len(counts), _U), np.zeros(len(counts), _U)
+    if len(full):
+        starts = (np.cumsum(counts) - counts)[full]
+        f1[full] = np.add.reduceat(mix(values ^ _U(0x2545F4914F6CDD1D)), starts)
+        f2[full] = np.bitwise_xor.reduceat(mix(values ^ _U(0x9FB21C651E98DF25)), starts)
+    return f1.view(np.int64), f2.view(np.int64)
+
+
 def min_hash_bands(values: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """int64 (sets, bands): keys of the bands of sets that begin at ``starts``, none of them empty."""
     keys = np.empty((len(starts), bands), _U)
@@ -126,20 +144,18 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int = ROWS_A_BAND)
                 full = np.flatnonzero(counts)
                 starts = (np.cumsum(counts) - counts)[full]
                 row = np.repeat(np.arange(len(full)), counts[full])
-                f1, f2 = np.zeros(len(counts), _U), np.zeros(len(counts), _U)
+                f1, f2 = fingerprints(values, counts)
                 keys: list = [None] * len(counts)
                 sketches: list = [None] * len(counts)
                 samples = np.zeros(len(counts), np.int32)
                 if len(full):
-                    f1[full] = np.add.reduceat(mix(values ^ _U(0x2545F4914F6CDD1D)), starts)
-                    f2[full] = np.bitwise_xor.reduceat(mix(values ^ _U(0x9FB21C651E98DF25)), starts)
                     found = min_hash_bands(values, starts, bands, rows)
                     bitmaps, samples[full] = odd_sketches(values, row, len(full))
                     for i, at in enumerate(full.tolist()):
                         keys[at], sketches[at] = found[i], bitmaps[i].tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, last - first), pa.array(counts), pa.array(f1.view(np.int64)), pa.array(f2.view(np.int64)),
+                        batch.column(0).slice(first, last - first), pa.array(counts), pa.array(f1), pa.array(f2),
                         pa.array(samples), pa.array(sketches, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                     ],
                     ["doc_id", "n_shingles", "f1", "f2", "samples", "sketch", "bands"],
@@ -151,7 +167,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int = ROWS_A_BAND)
 
 
 def full_sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id and shingles: the whole set of each document, as sorted 64-bit values."""
+    """doc_id, n_shingles, f1, f2 and shingles: the whole set of each row, as sorted 64-bit values."""
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,9 +176,12 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
                 values, counts = shingle_sets(data, offsets[first : last + 1], width)
                 ends = np.cumsum(counts)
                 blobs = [values[e - c : e].tobytes() for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.array(blobs, pa.binary())], ["doc_id", "shingles"])
+                f1, f2 = fingerprints(values, counts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(first, last - first), pa.array(counts), pa.array(f1), pa.array(f2), pa.array(blobs, pa.binary())], ["doc_id", "n_shingles", "f1", "f2", "shingles"]
+                )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(collect, "doc_id long, shingles binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(collect, "doc_id long, n_shingles long, f1 long, f2 long, shingles binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -181,8 +200,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
+    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("set_a"))
+    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("set_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b")
     return both.mapInArrow(test, "a long, b long")
 
@@ -190,23 +209,40 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def similar_across(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of a bucket's members in different components whose odd sketches may link.
 
-    ``rows``: key, size, doc_id, component, n_shingles, samples, sketch, bands. A bucket of more than CELL
-    members is dealt out in cells, each of which sees two blocks of members; all blocks meet. A pair that
-    shares several buckets comes from the first of its bands only.
+    ``rows``: key, size, node, component, n_shingles, samples, sketch, bands. A pair that shares several
+    buckets comes from the first of its bands only.
     """
-    blocks = F.ceil(F.col("size") / CELL).cast("int")
-    dealt = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.hash("doc_id"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = dealt.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "doc_id", "component", "n_shingles", "samples", "sketch", "bands")
-    cells = cells.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    spread = rows.where(F.col("size") > CELL)
+    parts = spread.groupBy("key", "component").agg(F.count("*").alias("n"))
+    # Blocks of a bucket: one or more for each component of more than CELL members, and those that the others share.
+    large = parts.where(F.col("n") > CELL).select("key", "component", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
+    mixed = parts.where(F.col("n") <= CELL).groupBy("key").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("blocks"))
+    mixed = mixed.select("key", F.lit(None).cast("long").alias("component"), "blocks")
+    blocks = large.unionByName(mixed).withColumn("no", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    named = blocks.select("key", F.concat_ws("-", F.coalesce(F.col("component").cast("string"), F.lit("")), F.col("no").cast("string")).alias("block"), "component")
+    # A component's own blocks do not meet; all others do, and the shared ones also meet themselves.
+    met = named.alias("x").join(named.alias("y"), "key").where("x.component is null or y.component is null or x.component <> y.component")
+    others = met.groupBy("key", F.col("x.block").alias("block")).agg(F.collect_list("y.block").alias("others"))  # a name for each CELL members
+    members = spread.join(large.withColumnRenamed("blocks", "own"), ["key", "component"], "left").join(mixed.select("key", F.col("blocks").alias("shared")), "key", "left")
+    block = F.when(F.col("own").isNotNull(), F.concat(F.col("component").cast("string"), F.lit("-"), F.pmod(F.hash("node"), F.col("own")).cast("string")))
+    block = F.coalesce(block, F.concat(F.lit("-"), F.pmod(F.hash("component"), F.col("shared")).cast("string")))
+    dealt = members.withColumn("block", block).join(others, ["key", "block"]).withColumn("other", F.explode("others"))
+    columns = ["key", "low", "high", "block", "node", "component", "n_shingles", "samples", "sketch", "bands"]
+    dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).select(columns)
+    whole = rows.where(F.col("size") <= CELL)
+    for name in ("low", "high", "block"):
+        whole = whole.withColumn(name, F.lit("-0"))
+    cells = whole.select(columns).unionByName(dealt)
+    cells = cells.withColumn("cell", F.xxhash64("key", "low", "high")).withColumn("is_low", F.col("block") == F.col("low")).withColumn("alone", F.col("low") == F.col("high"))
+    cells = cells.select("cell", "key", "is_low", "alone", "node", "component", "n_shingles", "samples", "sketch", "bands")
+    cells = cells.repartition("cell").sortWithinPartitions("cell", "key", "alone")
 
     def pairs_of(t: dict[str, np.ndarray], first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
         at = np.arange(first, last)
-        if t["low"][first] == t["high"][first]:
+        if t["alone"][first]:
             left = right = at
         else:
-            is_low = t["block"][at] == t["low"][first]
-            left, right = at[is_low], at[~is_low]
+            left, right = at[t["is_low"][at]], at[~t["is_low"][at]]
         found = []
         for i in left:
             other = right[right > i] if left is right else right
@@ -220,20 +256,20 @@ def similar_across(rows: DataFrame, percent: int) -> DataFrame:
             if len(other):
                 shared = t["bands"][other] == t["bands"][i]
                 found.append((i, other[t["bands"][i][shared.argmax(1)] == t["key"][i]]))
-        a = [np.full(len(o), t["doc_id"][i]) for i, o in found]
-        b = [t["doc_id"][o] for _, o in found]
+        a = [np.full(len(o), t["node"][i]) for i, o in found]
+        b = [t["node"][o] for _, o in found]
         return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.int64),) * 2
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
-        names = ["key", "low", "high", "block", "doc_id", "component", "n_shingles", "samples"]
+        names = ["cell", "key", "is_low", "alone", "node", "component", "n_shingles", "samples"]
 
         def run(table: pa.Table, whole: bool) -> tuple[pa.RecordBatch, pa.Table | None]:
             table = table.combine_chunks()
             t = {n: table.column(n).to_numpy() for n in names}
             t["sketch"] = np.frombuffer(b"".join(table.column("sketch").to_pylist()), _U).reshape(len(table), SKETCH_BITS // 64)
             t["bands"] = table.column("bands").chunk(0).flatten().to_numpy().reshape(len(table), -1)
-            change = (np.diff(t["key"]) != 0) | (np.diff(t["low"]) != 0) | (np.diff(t["high"]) != 0)
+            change = (np.diff(t["cell"]) != 0) | (np.diff(t["key"]) != 0) | (np.diff(t["alone"].astype(np.int8)) != 0)
             edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(table)]
             done = edges if whole else edges[:-1]  # the last cell may go on in the next batch
             a, b = [], []
@@ -261,36 +297,55 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, miss: fl
     """doc_id, n_shingles, component_id (least id reachable over links, itself included) and kept."""
     sig = common.stored(signatures(docs, width, band_count(percent, miss=miss)), "minhash")
     real = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = common.stored(real.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "set-classes")
+    sets_of = ["f1", "f2", "n_shingles"]
+    classes = real.groupBy(*sets_of).agg(F.min("doc_id").alias("rep"))
+    classes = common.stored(classes.withColumn("node", F.monotonically_increasing_id()), "set-classes")  # numbered once, when written
 
-    # Buckets of class representatives, without those that hold one member only.
-    reps = real.join(classes.select(F.col("rep").alias("doc_id"), "f1", "f2"), ["doc_id", "f1", "f2"], "left_semi").dropDuplicates(["doc_id", "f1", "f2"])
-    buckets = reps.select("doc_id", F.explode("bands").alias("key"))
+    # Buckets of classes, without those that hold one member only. Rows of a class are alike, so one stands for it.
+    reps = real.join(classes, sets_of).where(F.col("doc_id") == F.col("rep")).dropDuplicates(["node"])
+    buckets = reps.select("node", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = common.stored(buckets.join(sizes, "key"), "buckets")
-    company = shared.groupBy("doc_id").agg(F.sum("size").alias("company"))
-    mates = common.stored(reps.join(company, "doc_id").select("doc_id", "company", "n_shingles", "samples", "sketch", "bands"), "bucket-mates")
+    company = shared.groupBy("node").agg(F.sum("size").alias("company"))
+    mates = common.stored(reps.join(company, "node").select("node", "rep", "company", *sets_of, "samples", "sketch", "bands"), "bucket-mates")
 
     # One root for each bucket.
-    ranked = shared.join(mates.select("doc_id", "company"), "doc_id")
-    roots = ranked.groupBy("key").agg(F.max(F.struct("company", (-F.col("doc_id")).alias("minus"))).alias("top"))
+    ranked = shared.join(mates.select("node", "company"), "node")
+    roots = ranked.groupBy("key").agg(F.max(F.struct("company", (-F.col("node")).alias("minus"))).alias("top"))
     roots = roots.select("key", (-F.col("top.minus")).alias("root"))
-    star = shared.join(roots, "key").where(F.col("doc_id") != F.col("root"))
-    star = common.stored(star.select(F.least("doc_id", "root").alias("a"), F.greatest("doc_id", "root").alias("b")).distinct(), "root-pairs")
-    sets = common.stored(full_sets(docs.join(mates.select("doc_id"), "doc_id", "left_semi"), width), "sets")
+    star = shared.join(roots, "key").where(F.col("node") != F.col("root"))
+    star = common.stored(star.select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")).distinct(), "root-pairs")
+    sets = full_sets(docs.join(mates.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
+    sets = sets.join(mates.select("node", F.col("rep").alias("doc_id"), *sets_of), ["doc_id", *sets_of])
+    sets = common.stored(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
     links = common.stored(confirmed(star, sets, percent), "root-links")
 
     # Pairs of a bucket that the roots have not joined.
-    found = components(links).select(F.col("node").alias("doc_id"), "component")
-    labelled = shared.join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    found = components(links)
+    labelled = shared.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    rows = labelled.join(open_keys, "key", "left_semi").join(mates.drop("company"), "doc_id")
-    more = confirmed(common.stored(similar_across(rows, percent), "sketch-pairs"), sets, percent)
-
-    final = components(links.union(more))
-    final = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component"))
-    out = sig.select("doc_id", "n_shingles", "f1", "f2").join(final, ["f1", "f2", "n_shingles"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    rows = labelled.join(open_keys, "key", "left_semi").join(mates.select("node", "n_shingles", "samples", "sketch", "bands"), "node")
+    more = confirmed(common.stored(similar_across(common.stored(rows, "open-buckets"), percent), "sketch-pairs"), sets, percent)
+
+    # Classes that share an id are linked, and a component is named by the least id of its classes.
+    several = real.groupBy("doc_id").agg(*(g(c).alias(f"{n}_{c}") for c in sets_of for n, g in (("min", F.min), ("max", F.max))))
+    several = several.where(" or ".join(f"min_{c} <> max_{c}" for c in sets_of)).select("doc_id")
+    twice = real.join(several, "doc_id", "left_semi").join(classes, sets_of).select("doc_id", "node").distinct()
+    twice = twice.join(twice.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+    final = components(links.union(more).union(twice))
+    linked = classes.join(final, "node")
+    names = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
+    linked = linked.join(names, "component").select("node", "component_id")
+    named = classes.join(linked, "node", "left").select(*sets_of, F.coalesce("component_id", "rep").alias("component_id"))
+    out = sig.select("doc_id", *sets_of).join(named, sets_of, "left")
+
+    # An empty text has the component of its id's other texts, if there are any.
+    empty = F.col("n_shingles") == 0
+    full_too = out.where(~empty).join(out.where(empty).select("doc_id").distinct(), "doc_id", "left_semi")
+    full_too = full_too.groupBy("doc_id").agg(F.min("component_id").alias("other"))
+    blank = out.where(empty).join(full_too, "doc_id", "left").withColumn("component_id", F.coalesce("other", "doc_id")).drop("other")
+    out = out.where(~empty).unionByName(blank)
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))
     )

@@ -49,13 +49,43 @@ def test_cells_lose_no_pair(spark, monkeypatch):
     base = [f"w{i}" for i in range(300)]
     texts = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(30)]
     df = spark.createDataFrame(texts, "doc_id long, text string")
-    sig = near_duplicates.signatures(df, 3, 8).withColumn("component", common.F.col("doc_id")).withColumn("key", common.F.element_at("bands", 1)).withColumn("size", common.F.lit(30))
+    sig = near_duplicates.signatures(df, 3, 8).withColumn("node", common.F.col("doc_id")).withColumn("component", common.F.col("doc_id")).withColumn("key", common.F.element_at("bands", 1)).withColumn("size", common.F.lit(30))
     sizes = sig.groupBy("key").count().collect()
     expected = sum(r["count"] * (r["count"] - 1) // 2 for r in sizes)
     got = near_duplicates.similar_across(sig, 85)
     assert got.count() == got.distinct().count() == expected > 0
 
 
+def test_large_components_do_not_meet_themselves(spark, monkeypatch):
+    """A bucket with a large component, a middling one and single members: every pair across them, none inside, each once."""
+    monkeypatch.setattr(near_duplicates, "CELL", 4)
+    base = [f"w{i}" for i in range(300)]
+    texts = [(i, " ".join(base[:i] + [f"x{i}"] + base[i + 1 :])) for i in range(40)]
+    part = {i: 100 if i < 20 else 200 if i < 28 else i for i in range(40)}
+    df = spark.createDataFrame([(i, t, part[i]) for i, t in texts], "doc_id long, text string, component long")
+    sig = near_duplicates.signatures(df, 3, 1).withColumnRenamed("doc_id", "node").join(df.select(common.F.col("doc_id").alias("node"), "component"), "node")
+    rows = sig.withColumn("key", common.F.lit(7).cast("long")).withColumn("bands", common.F.array("key")).withColumn("size", common.F.lit(40))
+    got = sorted((r["a"], r["b"]) for r in near_duplicates.similar_across(rows, 85).collect())
+    assert got == [(a, b) for a, b in combinations(range(40), 2) if part[a] != part[b]]
+
+
+def test_shared_ids_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(5, a), (5, b), (3, b), (7, a), (9, c), (9, ""), (8, c), (4, None), (3, "")]
+    out = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["component_id"], r["kept"]) for r in out} == {(5, 3, False), (3, 3, True), (7, 3, False), (9, 8, False), (8, 8, True), (4, 4, True)}
+    assert len(out) == len(rows)
+
+
+def test_repeated_rows_are_linear(spark):
+    """Two near copies, each row 2,000 times: the pair is confirmed once."""
+    base = [f"w{i}" for i in range(200)]
+    one, two = " ".join(base), " ".join(["x", *base[1:]])
+    df = spark.createDataFrame([(1, one), (2, two)] * 2000, "doc_id long, text string")
+    out = near_duplicates.near_duplicates(df).groupBy("doc_id", "component_id").count().collect()
+    assert sorted(map(tuple, out)) == [(1, 1, 2000), (2, 1, 2000)]
+
+
 def test_sketch_test_keeps_links():
     rng = np.random.default_rng(0)
     for n in (5, 40, 400, 4000):
