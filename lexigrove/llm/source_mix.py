@@ -6,13 +6,17 @@ its size takes floor(r) certain copies of every document. The rest of its target
 sample of fixed size (in words) with unequal inclusion probabilities: documents are ranked by random
 odds divided by inclusion odds (Rosen, 1997) and taken in that order until the words are there.
 
-The ranking never sorts a source in one task. Documents fall into buckets by rank value; words of
-the buckets are summed before the shuffle, a running sum over buckets places each bucket, and only
-then rows are ranked inside their bucket.
+The ranking never sorts a source in one task. Documents fall into buckets by the logarithm of their rank;
+words of the buckets are summed before the shuffle, a running sum over buckets places each bucket, and
+only then rows are ranked inside their bucket. The logarithm of a rank is that of random odds moved by a
+constant, and random odds' logarithm has no density above 1/4, so whatever the inclusion odds are, a
+bucket is expected to hold no more than one in 4 * STEPS rows of its source. Sources that need no sample are
+not ranked.
 
 Edge cases: a null text has size 0, and a document of size 0 takes no words; a null source is a
-source of its own, last in order. Repeated rows are documents of their own and tie by ``doc_id`` and
-size, in which case they are interchangeable. Without rows the result is empty.
+source of its own, last in order. Random odds depend on id and text, so rows without an id are drawn
+each by itself. Repeated rows are documents of their own and tie, in which case they are interchangeable.
+Without rows the result is empty.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from lexigrove.llm import common
 
 QUERY_WEIGHTS = (5, 2, 1)
 MOST = 3
-BUCKETS = 4096
+STEPS = 1024  # buckets for each unit of the logarithm of the rank
 SEED = "mix"
 _LEAST = 1e-9
 
@@ -51,9 +55,10 @@ def source_targets(sizes: DataFrame, weights=QUERY_WEIGHTS, most: int = MOST) ->
     return by.select("src", "source_size", "tilted_size", "target")
 
 
-def uniform(doc_id: Column, seed: str = SEED) -> Column:
-    """Column: a number in (0, 1) that depends on the id and the seed only."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def uniform(doc_id: Column, text: Column, seed: str = SEED) -> Column:
+    """Column: a number in (0, 1) that depends on id, text and seed only."""
+    own = F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), own).cast("binary"))
     return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
@@ -66,10 +71,15 @@ def tilt_of(size: Column) -> Column:
     return F.floor(F.lit(65536.0) / F.sqrt(F.sqrt(F.lit(1.0) + size)))
 
 
-def mixed(docs: DataFrame, weights=QUERY_WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken of every document."""
+def mixed(docs: DataFrame, weights=QUERY_WEIGHTS, most: int = MOST, seed: str = SEED, row_key: Column | None = None) -> DataFrame:
+    """doc_id, size, source_size, target, copies and taken of every document.
+
+    ``row_key``, a Column over ``docs``, is carried along as ``row_key`` if it is given.
+    """
     src = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("a"), F.col("source").cast("string")))
-    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), src.alias("src"), common.word_count(F.col("text")).alias("size"))
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    carried = [] if row_key is None else [row_key.alias("row_key")]
+    sizes = docs.select(doc_id.alias("doc_id"), src.alias("src"), common.word_count(text).alias("size"), uniform(doc_id, text, seed).alias("u"), *carried)
     sizes = common.stored(sizes.withColumn("tilt", tilt_of(F.col("size"))), "mix-sizes")
     targets = common.stored(source_targets(sizes, weights, most), "mix-targets")
 
@@ -77,22 +87,46 @@ def mixed(docs: DataFrame, weights=QUERY_WEIGHTS, most: int = MOST, seed: str =
     targets = targets.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     share = F.col("rest") * F.col("tilt") / F.nullif(F.col("tilted_size"), F.lit(0))
     inclusion = F.greatest(F.lit(_LEAST), F.least(F.lit(1 - _LEAST), F.coalesce(share, F.lit(0.0))))
-    u = uniform(F.col("doc_id"), seed)
-    rank = (u / (1.0 - u)) * ((1.0 - F.col("inclusion")) / F.col("inclusion"))
-    rows = sizes.join(targets, "src").withColumn("inclusion", inclusion).withColumn("rank", rank)
-    rows = rows.withColumn("bucket", F.floor(F.col("rank") / (1.0 + F.col("rank")) * BUCKETS))
+    rank = (F.col("u") / (1.0 - F.col("u"))) * ((1.0 - F.col("inclusion")) / F.col("inclusion"))
+    rows = sizes.join(targets, "src")
+    ranked = rows.where("rest > 0").withColumn("inclusion", inclusion).withColumn("rank", rank)
+    ranked = ranked.withColumn("bucket", F.floor(F.log("rank") * STEPS))
 
-    sums = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
+    sums = ranked.groupBy("src", "bucket").agg(F.sum("size").alias("words"))
     running = W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("src", "bucket", F.coalesce(F.sum("words").over(running), F.lit(0)).alias("before"))
     inside = W.partitionBy("src", "bucket").orderBy("rank", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
-    rows = rows.withColumn("upto", F.sum("size").over(inside)).join(sums, ["src", "bucket"])
+    ranked = ranked.withColumn("upto", F.sum("size").over(inside)).join(sums, ["src", "bucket"])
     # A document whose middle word lies within the rest is in: the sum ends within half a document of it.
-    chosen = (F.col("rest") > 0) & (F.col("before") + F.col("upto") - F.col("size") / 2.0 <= F.col("rest"))
-    copies = (F.col("whole") + chosen.cast("long")).cast("long")
-    return rows.select(
-        "doc_id", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken")
-    )
+    chosen = F.col("before") + F.col("upto") - F.col("size") / 2.0 <= F.col("rest")
+    names = ["doc_id", "size", "source_size", "target", "whole", *(["row_key"] if carried else [])]
+    out = ranked.select(*names, chosen.cast("long").alias("more")).unionByName(rows.where("not rest > 0").select(*names, F.lit(0).cast("long").alias("more")))
+    copies = (F.col("whole") + F.col("more")).cast("long")
+    return out.withColumn("copies", copies).withColumn("taken", F.col("copies") * F.col("size")).drop("whole", "more")
+
+
+def taken(docs: DataFrame, weights=QUERY_WEIGHTS, most: int = MOST, seed: str = SEED) -> DataFrame:
+    """The rows of ``docs``, each as many times as the mix takes it.
+
+    Rows are told apart by a hash of all their columns (but maps, which have none), so rows without an id, or with
+    one id and different texts, get what is theirs. Rows that are alike share their copies.
+    """
+    column = "__mix"
+    while any(c.startswith(column) for c in docs.columns):
+        column += "_"
+    key = F.xxhash64(*(F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")))
+    by_key = mixed(docs, weights, most, seed, key).groupBy("doc_id", "row_key").agg(F.sum("copies").alias(column), F.count("*").alias(f"{column}rows"))
+    by_key = common.stored(by_key.withColumnRenamed("doc_id", f"{column}id").withColumnRenamed("row_key", f"{column}key").where(F.col(column) > 0), "mix-copies")
+
+    def found(some: DataFrame) -> DataFrame:
+        same = F.col("doc_id").cast("long").eqNullSafe(F.col(f"{column}id")) & (key == F.col(f"{column}key"))
+        return docs.join(some, same)
+
+    rows = found(by_key.where(F.col(f"{column}rows") == 1))
+    alike = by_key.where(F.col(f"{column}rows") > 1)
+    if not alike.isEmpty():
+        rows = rows.unionByName(found(alike).dropDuplicates([f"{column}id", f"{column}key"]))
+    return rows.withColumn(f"{column}no", F.explode(F.sequence(F.lit(1).cast("long"), F.col(column)))).select(docs.columns)
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +137,7 @@ def op8_sql() -> str:
     weights = ", ".join(map(str, QUERY_WEIGHTS))
     return rf"""
 WITH sizes AS (
-  SELECT doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS src,
+  SELECT doc_id, text, CASE WHEN source IS NULL THEN 'n' ELSE 'a' || source END AS src,
          coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 tilted AS (SELECT *, floor(65536.0::DOUBLE / sqrt(sqrt(1.0::DOUBLE + size)))::BIGINT AS tilt FROM sizes),
 by_source AS (
@@ -120,7 +154,7 @@ rests AS (
          target - coalesce(floor(target / nullif(source_size, 0)), 0) * source_size AS rest FROM targets),
 drawn AS (
   SELECT t.doc_id, t.size, r.*, greatest(1e-9::DOUBLE, least((1 - 1e-9)::DOUBLE, coalesce(r.rest * t.tilt / nullif(r.tilted_size, 0), 0))) AS inclusion,
-         (('0x' || substr(md5('{SEED}' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+         (('0x' || substr(md5('{SEED}' || coalesce(doc_id::VARCHAR, '') || md5(coalesce(text, ''))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
   FROM tilted t JOIN rests r USING (src)),
 ranked AS (
   SELECT *, sum(size) OVER (PARTITION BY src ORDER BY (u / (1 - u)) * ((1 - inclusion) / inclusion), doc_id, size
