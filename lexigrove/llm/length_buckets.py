@@ -5,9 +5,10 @@ of all lengths chooses the bucket boundaries that minimise padding over the whol
 boundary is the greatest length, so nothing is cut. Inside a bucket, batches take as many sequences as
 fit the budget of tokens, one at least.
 
-A sequence's place in its bucket is a row number over a hash of its id, computed in two steps so that
-no bucket is sorted in one task: hash ranges are counted, a running sum over the ranges places each, and
-rows are numbered inside their range. The number of ranges follows the number of rows.
+A sequence's place in its bucket is a row number over a hash of its id, length and place in the table of
+lengths, computed in two steps so that no bucket is sorted in one task: hash ranges are counted, a running
+sum over the ranges places each, and rows are numbered inside their range. The number of ranges follows
+the number of rows, and rows with one id, or none, spread over all of them.
 
 Edge cases: a null or empty text is a sequence of one token, its end. Repeated rows are sequences of
 their own; they tie and are interchangeable. Without rows the result is empty. Only ``doc_id`` and
@@ -97,7 +98,7 @@ def packed(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS
     driver has a row for each distinct length.
     """
     tokens = sequence_length(F.col("text").cast("string")) if length is None else length
-    rows = common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.cast("long").alias("n_tokens")), "lengths")
+    rows = common.stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens.cast("long").alias("n_tokens"), F.monotonically_increasing_id().alias("row")), "lengths")
     histogram = rows.groupBy("n_tokens").count().orderBy("n_tokens").collect()
     lengths = np.array([r["n_tokens"] for r in histogram], np.int64)
     counts = np.array([r["count"] for r in histogram], np.int64)
@@ -108,13 +109,13 @@ def packed(docs: DataFrame, length: Column | None = None, buckets: int = BUCKETS
         bucket = F.when(F.col("n_tokens") > edge, F.lit(i + 1)).otherwise(bucket) if i == 0 else F.when(F.col("n_tokens") > edge, i + 1).otherwise(bucket)
     padded = F.element_at(F.array(*(F.lit(e).cast("long") for e in edges or [1])), F.col("bucket") + 1)
     ranges = max(1, -(-int(counts.sum()) // RANGE_ROWS))
-    key = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    key = F.pmod(F.xxhash64("doc_id", "n_tokens", "row"), F.lit(1 << 40))
     rows = rows.withColumn("bucket", bucket.cast("int")).withColumn("key", key)
     rows = rows.withColumn("part", F.floor(F.col("key") * F.lit(ranges) / F.lit(1 << 40)).cast("int"))
     sums = rows.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     running = W.partitionBy("bucket").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     sums = sums.select("bucket", "part", F.coalesce(F.sum("n").over(running), F.lit(0)).alias("before"))
-    inside = F.row_number().over(W.partitionBy("bucket", "part").orderBy("key", "doc_id", "n_tokens")) - 1
+    inside = F.row_number().over(W.partitionBy("bucket", "part").orderBy("key", "row")) - 1
     rows = rows.withColumn("inside", inside).join(sums, ["bucket", "part"])
     place = F.col("before") + F.col("inside")
     per_batch = F.greatest(F.lit(1), F.floor(F.lit(budget) / F.col("bucket_tokens"))).cast("long")

@@ -7,7 +7,7 @@ features then learns the labels, so that it also judges texts on which the label
 Features: single words and pairs of neighbouring words, A-Z lower-cased, the shape of each word (case,
 digits, symbols) and its last character, hashed to DIMENSIONS weights; the values are counts by the root
 of their sum of squares. The scorer is fitted on at most about FIT_DOCS documents, half of them by a hash
-of the id among likely bad ones and half among the others, weighted back to the corpus; labels,
+of id and text among likely bad ones and half among the others, weighted back to the corpus; labels,
 accuracies and scores cover all documents.
 
 Edge cases: a null or empty text has no features and is rejected. Without rows, or with one kind of label
@@ -103,18 +103,19 @@ def fit_linear(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, we
 def fit_scorer(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) -> tuple[np.ndarray, float]:
     """Weights and bias, fitted in one task on a bounded sample of labelled rows.
 
-    ``labels``: doc_id and quality. Likely bad documents are rarer, so they are sampled at a higher
-    rate, and each row of the sample weighs as many rows as it stands for.
+    ``labels``: row_key and quality. Likely bad documents are rarer, so they are sampled at a higher
+    rate, and each row of the sample weighs as many rows as it stands for; rows that are alike are one.
     """
     sizes = {r["bad"]: r["count"] for r in labels.groupBy((F.col("quality") < 0.5).alias("bad")).count().collect()}
     if not sizes:
         return np.zeros(DIMENSIONS), 0.0
     rate = {bad: min(1.0, fit_docs / 2 / max(1, sizes.get(bad, 0))) for bad in (True, False)}
     bad = F.col("quality") < 0.5
-    point = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 20)) / float(1 << 20)
+    point = F.pmod(F.xxhash64("row_key", F.lit(11)), F.lit(1 << 52)) / float(1 << 52)
     chosen = labels.where(point < F.when(bad, rate[True]).otherwise(rate[False]))
-    chosen = chosen.select("doc_id", "quality", F.when(bad, 1 / rate[True]).otherwise(1 / rate[False]).alias("weight")).dropDuplicates(["doc_id"])
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")  # fit_docs rows, about
+    chosen = chosen.select("row_key", "quality", F.when(bad, 1 / rate[True]).otherwise(1 / rate[False]).alias("weight")).dropDuplicates(["row_key"])
+    rows = docs.select(quality_rules.row_key().alias("row_key"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "row_key")  # fit_docs rows, about
+    rows = rows.dropDuplicates(["row_key"])
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.short_batches(batches, 1):
@@ -123,7 +124,7 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
             cut = lambda x: pa.array([x[a:b].tobytes() for a, b in zip(edges, edges[1:], strict=False)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), batch.column(3), cut(feature.astype(np.int32)), cut(value.astype(np.float32))],
-                ["doc_id", "quality", "weight", "feature", "value"],
+                ["row_key", "quality", "weight", "feature", "value"],
             )
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,8 +138,8 @@ def fit_scorer(docs: DataFrame, labels: DataFrame, fit_docs: int = FIT_DOCS) ->
         w, bias = fit_linear(rows, np.array(labels), np.array(weights) * scale)
         yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([bias], pa.float64())], ["w", "bias"])
 
-    sample = rows.select("doc_id", "text", "quality", "weight").mapInArrow(extract, "doc_id long, quality double, weight double, feature binary, value binary")
-    found = sample.repartition(1).sortWithinPartitions("doc_id", "feature").mapInArrow(learn, "w binary, bias double").first()
+    sample = rows.select("row_key", "text", "quality", "weight").mapInArrow(extract, "row_key long, quality double, weight double, feature binary, value binary")
+    found = sample.repartition(1).sortWithinPartitions("row_key").mapInArrow(learn, "w binary, bias double").first()
     return np.frombuffer(bytes(found["w"])), float(found["bias"])
 
 
@@ -149,7 +150,7 @@ def classified(docs: DataFrame, keep_at: float = 0.5) -> tuple[DataFrame, LabelM
     """
     spark = docs.sparkSession
     labels, model = quality_rules.judged(docs, labellers())
-    w, bias = fit_scorer(docs, labels.select("doc_id", "quality"))
+    w, bias = fit_scorer(docs, labels.select("row_key", "quality"))
     shared = spark.sparkContext.broadcast((w, bias))  # DIMENSIONS numbers
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, offset = shared.value

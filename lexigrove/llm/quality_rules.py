@@ -69,19 +69,24 @@ def text_counts(text: str) -> tuple[int, ...]:
     )
 
 
+def row_key() -> Column:
+    """Column: a hash of a document's id and text."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def counted(docs: DataFrame) -> DataFrame:
-    """doc_id and the COUNTS of every whole text."""
+    """doc_id, the COUNTS of every whole text, and ``row_key``, a hash of id and text."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.short_batches(batches, 1):
             rows = [text_counts(t or "") for t in batch.column(1).to_pylist()]
             values = np.array(rows, np.int64).reshape(len(rows), len(COUNTS))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(values[:, i]) for i in range(len(COUNTS)))], ["doc_id", *COUNTS]
+                [batch.column(0), *(pa.array(values[:, i]) for i in range(len(COUNTS))), batch.column(2)], ["doc_id", *COUNTS, "row_key"]
             )
 
-    schema = "doc_id long, " + ", ".join(f"{name} long" for name in COUNTS)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, schema)
+    schema = "doc_id long, " + ", ".join(f"{name} long" for name in COUNTS) + ", row_key long"
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), row_key()).mapInArrow(count, schema)
 
 
 def with_counts(docs: DataFrame, out: str) -> DataFrame:
