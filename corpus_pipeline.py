@@ -23,11 +23,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language identification: rejects texts without a language, or of none in particular.
 
-    The model learns from the languages of the stage's own rows.
+    The model learns from the languages of the stage's own rows. If none of them says its language, only texts
+    without a letter are rejected.
     """
     model = language_id.fit(docs, F.lit(False))
     if not model.langs:
-        return docs
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     column = "__language"
     while column in docs.columns:
         column += "_"
@@ -39,22 +40,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """MinHash near-duplicates, five words and a similarity of 0.8: the least id of each group stays.
 
-    Rows that repeat an id are one document. Rows without an id are not compared and stay.
+    Of rows that repeat an id, the one stays whose text comes first in the order of a hash, then of the text.
+    Rows without an id are not compared and stay.
     """
-    kept = near_duplicates.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null").select("doc_id")
-    named = docs.join(kept.distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    kept = near_duplicates.near_duplicates(docs, width=5, percent=80).where("kept and doc_id is not null")
+    kept = common.stored(kept.groupBy("doc_id").agg(F.count("*").alias("rows")), "kept-ids")
+    out = docs.join(kept.where("rows = 1").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    several = kept.where("rows > 1").select("doc_id")
+    if not several.isEmpty():
+        some = docs.join(several, "doc_id", "left_semi").select(docs.columns)
+        struct = F.struct(F.xxhash64("text"), *(F.col(c) for c, kind in docs.dtypes if not kind.startswith("map")))
+        first = some.groupBy("doc_id").agg(F.min_by(F.struct(*docs.columns), struct).alias("row"))
+        out = out.unionByName(first.select("row.*"))
+    return out.unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Source mix: every document as many times as the mix takes it, which may be none."""
-    column = "__copies"
-    while column in docs.columns:
-        column += "_"
-    taken = source_mix.mixed(docs).groupBy(F.col("doc_id").alias(f"{column}id")).agg(F.max("copies").alias(column))
-    rows = docs.join(taken.where(F.col(column) > 0), F.col("doc_id").eqNullSafe(F.col(f"{column}id")))
-    again = rows.withColumn(f"{column}no", F.explode(F.sequence(F.lit(1).cast("long"), F.col(column))))
-    return again.select(docs.columns)
+    return source_mix.taken(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
