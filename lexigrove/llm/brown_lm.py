@@ -9,13 +9,15 @@ Classes come from exchange clustering (Kneser & Ney, 1993; distributed as in Usz
 Spark counts, over all training texts, which classes stand left and right of each of the CORE commonest
 words; a sweep then moves each word to the class that gains most likelihood, with the counts of the
 neighbours' classes as they were when the sweep began, and the next sweep counts anew. When the core
-has settled, every other word of the vocabulary, however rare, moves to its best class by its own
-neighbours in one distributed step. As a predecessor, a word outside the core is of one class of its
-own kind, so that a text can be scored without looking up the class of a rare word's successor first.
+has settled, the HEAD commonest words move to their best classes by their own neighbours, and then every
+other word of the vocabulary, however rare, does so by its neighbours of the head, each in one
+distributed step. h(v) is the class of a word of the head; as predecessors, all other words are of one
+kind, so that a text can be scored without looking up the class of a rare word's successor first.
 
 What is bounded: the core, the classes, and the HEAD words that each task holds in memory. All else,
 counts and classes of all other words, stays in tables and meets the texts in a shuffle; rare words are
-spread evenly, and common ones never get there.
+spread evenly, and common ones never get there. What is gathered of a word is at most a count for each
+symbol left and right of it.
 
 Probabilities of all known words, the end and one unknown word sum to 1 after any predecessor, as those
 of the base do. Edge cases: a null or empty text is its end alone. Repeated rows are scored each. With
@@ -30,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,9 @@ SWEEPS, INNER = 3, 2
 MIX, PRIOR = 0.95, 50.0
 _FLUSH = 200_000
 _CHUNK = 64  # core words of one row of counts
+_GROUP = 64  # tasks whose counts meet first
+_WORDS = 5_000  # words that are settled at once
+_HELD = 1 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -61,7 +67,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
             seen.clear()
             return made
 
-        for batch in batches:
+        for batch in common.short_batches(batches, 0):
             for text in batch.column(0).to_pylist():
                 seen.update(words_of(text))
                 if len(seen) > _FLUSH:
@@ -71,8 +77,8 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def commonest(counts: DataFrame, most: int) -> tuple[list[bytes], int]:
-    """The commonest words, commonest first, at most ``most`` of them, and their least count.
+def commonest(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray, int]:
+    """The commonest words, commonest first, at most ``most`` of them, with their counts, and the least count.
 
     Words with equal counts are in or out together; the count comes from a histogram of counts.
     """
@@ -86,19 +92,19 @@ def commonest(counts: DataFrame, most: int) -> tuple[list[bytes], int]:
         cut = r["n"]
     rows = counts.where(F.col("n") >= cut).select("word", "n").collect()  # ``most`` rows at most
     rows.sort(key=lambda r: (-r["n"], bytes(r["word"])))
-    return [bytes(r["word"]) for r in rows], cut
+    return [bytes(r["word"]) for r in rows], np.array([r["n"] for r in rows], np.int64), cut
 
 
 # ---------------------------------------------------------------- exchange clustering
 
 
-def core_ids(train: DataFrame, core: list[bytes]) -> DataFrame:
-    """For each batch of texts, the ids of their words as 16-bit numbers.
+def head_ids(train: DataFrame, head: list[bytes]) -> DataFrame:
+    """For each batch of texts, the ids of their words as 32-bit numbers.
 
-    A core word is its rank, any other word len(core), and an end, before the first text and after
-    each, is len(core) + 1.
+    A word of the head is its rank, any other word len(head), and an end, before the first text and after
+    each, is len(head) + 1.
     """
-    shared = train.sparkSession.sparkContext.broadcast(core)
+    shared = train.sparkSession.sparkContext.broadcast(head)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = {w: i for i, w in enumerate(shared.value)}
@@ -109,27 +115,36 @@ def core_ids(train: DataFrame, core: list[bytes]) -> DataFrame:
             for text in batch.column(0).to_pylist():
                 flat.extend([get(w, other) for w in words_of(text)])
                 flat.append(end)
-            yield pa.RecordBatch.from_arrays([pa.array([np.array(flat, np.uint16).tobytes()], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.array(flat, np.int32).tobytes()], pa.binary())], ["ids"])
 
     return train.select("text").mapInArrow(number, "ids binary")
 
 
-def neighbour_counts(ids: DataFrame, of_core: np.ndarray, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(counts (core, 2 * symbols) of the classes left and right of each core word,
-    counts (symbols, symbols) of neighbouring classes), over all texts.
+def symbols_of(classes: np.ndarray, n_head: int, n_classes: int) -> np.ndarray:
+    """The symbol of each id: 0 the end, 1 to n_classes the classes of the first words of the head, n_classes + 1
+    all words that have no class yet."""
+    symbol = np.full(n_head + 2, n_classes + 1, np.int64)
+    symbol[: len(classes)] = classes
+    symbol[n_head + 1] = 0
+    return symbol
+
 
-    Symbols: 0 the end, 1 to n_classes the classes, n_classes + 1 any word outside the core.
+def neighbour_counts(ids: DataFrame, symbol: np.ndarray, n_core: int, n_classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """(counts (core, 2 * symbols) of the symbols left and right of each core word,
+    counts (symbols, symbols) of neighbouring symbols), over all texts.
+
+    Tasks add up what they read; the sums of up to _GROUP tasks meet first, then those of all.
     """
-    n_core, symbols = len(of_core), n_classes + 2
-    symbol = np.concatenate([of_core, [n_classes + 1, 0]]).astype(np.int64)
+    symbols = n_classes + 2
+    shared = ids.sparkSession.sparkContext.broadcast(symbol)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_word = np.zeros(n_core * 2 * symbols, np.int64)
         by_class = np.zeros(symbols * symbols, np.int64)
         for batch in batches:
             for blob in batch.column(0).to_pylist():
-                word = np.frombuffer(blob, np.uint16).astype(np.int64)
-                cls = symbol[word]
+                word = np.frombuffer(blob, np.int32).astype(np.int64)
+                cls = shared.value[word]
                 by_class += np.bincount(cls[:-1] * symbols + cls[1:], minlength=len(by_class))
                 left = np.flatnonzero(word[1:] < n_core) + 1
                 right = np.flatnonzero(word[:-1] < n_core)
@@ -138,19 +153,21 @@ def neighbour_counts(ids: DataFrame, of_core: np.ndarray, n_classes: int) -> tup
                     minlength=len(by_word),
                 )
         table = by_word.reshape(n_core, 2 * symbols)
-        chunks = [(i // _CHUNK, table[i : i + _CHUNK].astype(np.uint32).tobytes()) for i in range(0, n_core, _CHUNK)]
-        chunks.append((-1, by_class.astype(np.uint32).tobytes()))
-        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunks], pa.int32()), pa.array([b for _, b in chunks], pa.binary())], ["chunk", "counts"])
+        chunks = [(i // _CHUNK, table[i : i + _CHUNK].tobytes()) for i in range(0, n_core, _CHUNK)]
+        chunks.append((-1, by_class.tobytes()))
+        group = pa.array(np.full(len(chunks), TaskContext.get().partitionId() // _GROUP, np.int32))
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in chunks], pa.int32()), group, pa.array([b for _, b in chunks], pa.binary())], ["chunk", "part", "counts"])
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for batch in batches:
             for blob in batch.column("counts").to_pylist():
-                part = np.frombuffer(blob, np.uint32).astype(np.int64)
+                part = np.frombuffer(blob, np.int64)
                 total = part if total is None else total + part
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "counts"])
 
-    parts = ids.mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
+    parts = ids.mapInArrow(count, "chunk int, part int, counts binary")
+    parts = parts.groupBy("chunk", "part").applyInArrow(add, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
     found = {r["chunk"]: np.frombuffer(bytes(r["counts"]), np.int64) for r in parts.collect()}  # CORE x 2 x symbols numbers
     by_word = np.concatenate([found[c].reshape(-1, 2 * symbols) for c in sorted(found) if c >= 0] or [np.zeros((0, 2 * symbols), np.int64)])
     return by_word, found.get(-1, np.zeros(symbols * symbols, np.int64)).reshape(symbols, symbols)
@@ -190,74 +207,112 @@ def exchange(features: np.ndarray, classes: np.ndarray, n_classes: int, inner: i
 # ---------------------------------------------------------------- the other words
 
 
-def other_words(train: DataFrame, core: list[bytes], of_core: np.ndarray, fit: np.ndarray) -> DataFrame:
-    """word, cls, n for each word outside the core; word null: n words of class cls after symbol h.
+def class_likelihoods(by_word: np.ndarray, classes: np.ndarray, n_classes: int) -> np.ndarray:
+    """(2 * symbols, classes): log likelihood of the symbol left or right of a word, given the word's class."""
+    table = np.zeros((n_classes + 1, by_word.shape[1]))
+    np.add.at(table, classes, by_word)
+    share = np.log((table[1:] + 0.5) / (table[1:].sum(1, keepdims=True) / 2 + 0.25 * by_word.shape[1]))
+    return share.T.copy()
+
+
+def best_classes(gathered: DataFrame, likely: np.ndarray) -> DataFrame:
+    """word, cls, n for each word of ``gathered`` (word, code, n), the symbols next to it with their numbers; word
+    null: n words of class cls after symbol h. Codes below the number of symbols are left of the word.
 
-    fit (symbols, symbols, classes): log likelihood of the classes for a word between two symbols. A
-    task gathers the neighbours of each word before the shuffle; a word's rows then meet in one task.
+    All rows of a word are a count for each code at most, so its list is short however common it is.
     """
-    spark = train.sparkSession
-    shared = spark.sparkContext.broadcast((core, of_core))
-    fit_shared = spark.sparkContext.broadcast(fit)
-    symbols, _, n_classes = fit.shape
+    shared = gathered.sparkSession.sparkContext.broadcast(likely)
+    symbols, n_classes = len(likely) // 2, likely.shape[1]
+    kind = gathered.schema["word"].dataType.simpleString()
+    none = pa.binary() if kind == "binary" else pa.int32()
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        after = np.zeros((symbols, n_classes), np.int64)
+        for batch in batches:
+            for first in range(0, len(batch), _WORDS):
+                part = batch.slice(first, _WORDS)
+                found = part.column("found")
+                sizes = np.diff(found.offsets.to_numpy())
+                flat = found.flatten()
+                code, n = flat.field("code").to_numpy(), flat.field("n").to_numpy()
+                starts = np.cumsum(sizes) - sizes
+                best = np.add.reduceat(shared.value[code] * n[:, None], starts, axis=0).argmax(1)
+                left = code < symbols
+                np.add.at(after, (code[left], np.repeat(best, sizes)[left]), n[left])
+                total = np.add.reduceat(np.where(left, n, 0), starts)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("word"), pa.array((best + 1).astype(np.int32)), pa.array(total), pa.nulls(len(best), pa.int32())], ["word", "cls", "n", "h"]
+                )
+        h, c = np.nonzero(after)
+        yield pa.RecordBatch.from_arrays(
+            [pa.nulls(len(h), none), pa.array((c + 1).astype(np.int32)), pa.array(after[h, c]), pa.array(h.astype(np.int32))], ["word", "cls", "n", "h"]
+        )
+
+    each = gathered.repartition("word").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    lists = each.groupBy("word").agg(F.collect_list(F.struct("code", "n")).alias("found"))
+    return lists.mapInArrow(settle, f"word {kind}, cls int, n long, h int")
+
+
+def head_neighbours(ids: DataFrame, symbol: np.ndarray, first: int, last: int, n_classes: int) -> DataFrame:
+    """word (its id), code, n for the words of the head from ``first`` to ``last`` - 1; tasks sum before the shuffle."""
+    codes = 2 * (n_classes + 2)
+    shared = ids.sparkSession.sparkContext.broadcast(symbol)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def out() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held) if held else np.empty(0, np.int64), return_counts=True)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array((keys // codes).astype(np.int32)), pa.array((keys % codes).astype(np.int32)), pa.array(n)], ["word", "code", "n"])
+
+        for batch in batches:
+            for blob in batch.column(0).to_pylist():
+                word = np.frombuffer(blob, np.int32).astype(np.int64)
+                cls = shared.value[word]
+                at = np.flatnonzero((word >= first) & (word < last))  # an end stands before and after every word
+                held.append(word[at] * codes + cls[at - 1])
+                held.append(word[at] * codes + codes // 2 + cls[at + 1])
+            if sum(map(len, held)) > _HELD:
+                yield out()
+        yield out()
+
+    return ids.mapInArrow(gather, "word int, code int, n long")
+
+
+def rare_neighbours(train: DataFrame, head: list[bytes], symbol: np.ndarray, n_classes: int) -> DataFrame:
+    """word, code, n for the words outside the head; tasks sum before the shuffle."""
+    symbols, n_head = n_classes + 2, len(head)
+    shared = train.sparkSession.sparkContext.broadcast((head, symbol))
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, classes = shared.value
-        symbol = dict(zip(words, classes.tolist(), strict=True))
-        outside = n_classes + 1
-        seen: dict[bytes, list[int]] = defaultdict(list)
+        words, known = shared.value
+        get = dict(zip(words, known[:n_head].tolist(), strict=True)).get
+        seen: defaultdict = defaultdict(int)
 
         def out() -> pa.RecordBatch:
-            codes = [np.array(v, np.uint16).tobytes() for v in seen.values()]
-            made = pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()), pa.array(codes, pa.binary())], ["word", "codes"])
+            keys = list(seen)
+            made = pa.RecordBatch.from_arrays(
+                [pa.array([w for w, _ in keys], pa.binary()), pa.array([c for _, c in keys], pa.int32()), pa.array(seen.values(), pa.int64())], ["word", "code", "n"]
+            )
             seen.clear()
             return made
 
-        get = symbol.get
-        for batch in batches:
+        for batch in common.short_batches(batches, 0):
             for text in batch.column(0).to_pylist():
                 ws = words_of(text)
-                hs = [get(w, outside) for w in ws]
+                hs = [get(w, -1) for w in ws]
                 for i, h in enumerate(hs):
-                    if h == outside:
-                        seen[ws[i]].append((hs[i - 1] if i else 0) * symbols + (hs[i + 1] if i + 1 < len(hs) else 0))
+                    if h < 0:
+                        left = hs[i - 1] if i else 0
+                        right = hs[i + 1] if i + 1 < len(hs) else 0
+                        seen[ws[i], left if left >= 0 else symbols - 1] += 1
+                        seen[ws[i], symbols + (right if right >= 0 else symbols - 1)] += 1
                 if len(seen) > _FLUSH:
                     yield out()
         yield out()
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = fit_shared.value.reshape(symbols * symbols, n_classes)
-        after = np.zeros((symbols, n_classes + 1), np.int64)
-        for batch in batches:
-            blobs = [b"".join(x) for x in batch.column("codes").to_pylist()]
-            sizes = np.array([len(b) // 2 for b in blobs], np.int64)
-            if not len(sizes):
-                continue
-            codes = np.frombuffer(b"".join(blobs), np.uint16).astype(np.int64)
-            best = np.empty(len(sizes), np.int32)
-            ends = np.cumsum(sizes)
-            first = 0
-            while first < len(sizes):  # so many words that the gathered table stays small
-                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + 100_000, side="right")))
-                low, high = int(ends[first] - sizes[first]), int(ends[last - 1])
-                pairs, where = codes[low:high], np.repeat(np.arange(last - first), sizes[first:last])
-                if last - first == 1:  # a common word: sum by kind of neighbours
-                    kinds, n = np.unique(pairs, return_counts=True)
-                    best[first] = 1 + int((table[kinds] * n[:, None]).sum(0).argmax())
-                else:
-                    best[first:last] = 1 + np.add.reduceat(table[pairs], ends[first:last] - sizes[first:last] - low, axis=0).argmax(1)
-                np.add.at(after, (pairs // symbols, best[first:last][where]), 1)
-                first = last
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("word"), pa.array(best), pa.array(sizes), pa.nulls(len(sizes), pa.int32())], ["word", "cls", "n", "h"]
-            )
-        h, c = np.nonzero(after)
-        yield pa.RecordBatch.from_arrays(
-            [pa.nulls(len(h), pa.binary()), pa.array(c.astype(np.int32)), pa.array(after[h, c]), pa.array(h.astype(np.int32))], ["word", "cls", "n", "h"]
-        )
-
-    gathered = train.select("text").mapInArrow(gather, "word binary, codes binary")
-    return gathered.groupBy("word").agg(F.collect_list("codes").alias("codes")).mapInArrow(settle, "word binary, cls int, n long, h int")
+    return train.select("text").mapInArrow(gather, "word binary, code int, n long")
 
 
 # ---------------------------------------------------------------- the model
@@ -274,7 +329,6 @@ class BrownModel:
     head: list[bytes]
     head_counts: np.ndarray
     head_classes: np.ndarray
-    core_size: int
     rest: DataFrame
     follow: np.ndarray
     mass: np.ndarray
@@ -287,55 +341,50 @@ class BrownModel:
 
 def fit(train: DataFrame, core_size: int = CORE, head_size: int = HEAD, n_classes: int = CLASSES, sweeps: int = SWEEPS) -> BrownModel:
     """Counts words, clusters them and counts class transitions over all rows of ``train``."""
-    spark = train.sparkSession
     train = train.select(F.col("text").cast("string").alias("text"))
     counts = common.stored(word_counts(train), "word-counts")
     n_docs = train.count()
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    head, cut = commonest(counts, head_size)
-    core = head[: min(core_size, 65_000)]
-    symbols = n_classes + 2
+    head, head_counts, cut = commonest(counts, head_size)
+    n_core, n_head, symbols = min(core_size, len(head)), len(head), n_classes + 2
 
-    ids = common.stored(core_ids(train, core), "core-ids")
-    classes = (np.arange(len(core)) % n_classes + 1).astype(np.int64)
+    ids = common.stored(head_ids(train, head), "head-ids")
+    classes = (np.arange(n_core) % n_classes + 1).astype(np.int64)
     for _ in range(sweeps):
-        by_word, _ = neighbour_counts(ids, classes, n_classes)
+        by_word, _ = neighbour_counts(ids, symbols_of(classes, n_head, n_classes), n_core, n_classes)
         classes = exchange(by_word, classes, n_classes)
-    by_word, after = neighbour_counts(ids, classes, n_classes)
-
-    table = np.zeros((n_classes + 1, 2 * symbols))
-    np.add.at(table, classes, by_word)
-    share = np.log((table[1:] + 0.5) / (table[1:].sum(1, keepdims=True) / 2 + 0.5 * symbols))
-    likely = (share[:, :symbols].T[:, None, :] + share[:, symbols:].T[None, :, :]).astype(np.float32)
-    settled = common.stored(other_words(train, core, classes, likely), "word-classes")
+    by_word, _ = neighbour_counts(ids, symbols_of(classes, n_head, n_classes), n_core, n_classes)
+
+    likely = class_likelihoods(by_word, classes, n_classes)
+    near = head_neighbours(ids, symbols_of(classes, n_head, n_classes), n_core, n_head, n_classes)
+    found = best_classes(near, likely).where(F.col("word").isNotNull()).select("word", "cls").collect()  # ``head_size`` rows at most
+    head_classes = np.concatenate([classes, np.zeros(n_head - n_core, np.int64)])
+    head_classes[np.array([r["word"] for r in found], np.int64)] = [r["cls"] for r in found]
+
+    # With classes for the whole head: transitions, and the classes of all other words.
+    symbol = symbols_of(head_classes, n_head, n_classes)
+    by_word, after = neighbour_counts(ids, symbol, n_core, n_classes)
+    likely = class_likelihoods(by_word, classes, n_classes)
+    settled = common.stored(best_classes(rare_neighbours(train, head, symbol, n_classes), likely), "word-classes")
     rest = settled.where(F.col("word").isNotNull()).select("word", "n", "cls")
-
-    # Transitions: to the end and to core words from the core counts, to other words from their step.
     follow = np.zeros((symbols, n_classes + 1))
-    follow[:, : n_classes + 1] += after[:, : n_classes + 1]
+    follow += after[:, : n_classes + 1]
     for r in settled.where(F.col("word").isNull()).groupBy("h", "cls").agg(F.sum("n").alias("n")).collect():  # symbols x classes
         follow[r["h"], r["cls"]] += r["n"]
-    types = np.zeros(n_classes + 1)
-    np.add.at(types, classes, 1)
-    n_by_class = np.zeros(n_classes + 1)
+    types = np.bincount(head_classes, minlength=n_classes + 1).astype(float)
+    n_by_class = np.bincount(head_classes, head_counts, n_classes + 1)
     for r in rest.groupBy("cls").agg(F.count("*").alias("v"), F.sum("n").alias("n")).collect():  # one row a class
         types[r["cls"]] += r["v"]
         n_by_class[r["cls"]] += r["n"]
-    np.add.at(n_by_class, classes, by_word[:, :symbols].sum(1))
     types[0], n_by_class[0] = (1, n_docs) if n_docs else (0, 0)
     # The unknown word is one more type, dealt out to the word classes by their number of types.
     unknown = 0.5 * types * (np.arange(n_classes + 1) > 0) / max(1.0, types[1:].sum())
     mass = n_by_class + 0.5 * types + unknown
     level = mass / max(mass.sum(), 1e-300)
     follow = (follow + PRIOR * level) / (follow.sum(1, keepdims=True) + PRIOR)
-
-    in_head = rest.where(F.col("n") >= cut).collect()  # ``head_size`` rows at most
-    known = {w: (int(by_word[i, :symbols].sum()), int(classes[i])) for i, w in enumerate(core)}
-    known |= {bytes(r["word"]): (r["n"], r["cls"]) for r in in_head}
     return BrownModel(
         train_tokens=int(totals["n"]) + n_docs, types=int(totals["v"]) + (n_docs > 0), end_count=n_docs, head=head,
-        head_counts=np.array([known[w][0] for w in head], np.int64), head_classes=np.array([known[w][1] for w in head], np.int64),
-        core_size=len(core), rest=rest.where(F.col("n") < cut), follow=follow, mass=mass, unknown=unknown,
+        head_counts=head_counts, head_classes=head_classes, rest=rest, follow=follow, mass=mass, unknown=unknown,
     )
 
 
@@ -349,7 +398,7 @@ def scored(docs: DataFrame, model: BrownModel) -> DataFrame:
     total, n_symbols = model.base_total, len(model.follow)
     has_end = model.end_count > 0
     shared = spark.sparkContext.broadcast((model.head, model.head_counts, model.head_classes, model.follow, model.mass))
-    core_size, end_count = model.core_size, model.end_count
+    end_count = model.end_count
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, counts, classes, follow, mass = shared.value
@@ -359,7 +408,7 @@ def scored(docs: DataFrame, model: BrownModel) -> DataFrame:
         n = np.concatenate([counts, [0, end_count]]) + 0.5  # by id; k any other word, k + 1 the end
         cls = np.concatenate([classes, [0, 0]]).astype(np.int64)
         symbol = np.full(k + 2, n_symbols - 1, np.int64)
-        symbol[:core_size] = classes[:core_size]
+        symbol[:k] = classes
         symbol[k + 1] = 0
         base = n / total
         within = n / np.maximum(mass[cls], 1e-300)

@@ -156,7 +156,8 @@ def test_probabilities_sum_to_one(small):
 def test_scores_match_the_model(small, texts):
     model, rows = small
     known = {w: (n, c) for w, n, c in zip(model.head, model.head_counts, model.head_classes, strict=True)} | {bytes(r["word"]): (r["n"], r["cls"]) for r in model.rest.collect()}
-    core = dict(zip(model.head[: model.core_size], model.head_classes, strict=False))
+    head = dict(zip(model.head, model.head_classes, strict=True))
+    assert len(head) > 50 and model.rest.count() > 50
     unknown = (model.follow * model.unknown / np.maximum(model.mass, 1e-300)).sum(1)
     by_id = {r["doc_id"]: r for r in rows}
     for i, t, *_ in texts:
@@ -165,7 +166,7 @@ def test_scores_match_the_model(small, texts):
             n, c = (model.end_count, 0) if w is None else known.get(w, (0, None))
             p = unknown[h] if c is None else model.follow[h, c] * (n + 0.5) / model.mass[c]
             total += math.log10(brown_lm.MIX * p + (1 - brown_lm.MIX) * (n + 0.5) / model.base_total)
-            h = core.get(w, len(model.follow) - 1)
+            h = head.get(w, len(model.follow) - 1)
         assert by_id[i]["score"] == pytest.approx(total, rel=1e-6)
 
 
@@ -175,3 +176,47 @@ def test_exchange_finds_two_kinds_of_words():
     features = np.array([rng.multinomial(200, [0.45, 0.45, 0.05, 0.05] if k else [0.05, 0.05, 0.45, 0.45]) for k in kind])
     classes = brown_lm.exchange(features, np.arange(40) // 2 % 2 + 1, 2, inner=4)
     assert len({(k, c) for k, c in zip(kind.tolist(), classes.tolist(), strict=True)}) == 2
+
+
+def test_other_words_move_to_their_best_classes(small, spark, docs):
+    """Classes and transitions of all words outside the core, recounted text by text in plain Python."""
+    model, _ = small
+    n_classes, symbols = 6, 8
+    train = [words(r["text"]) for r in docs.where(~brown_lm.held_out(docs.doc_id)).collect()]
+    head = dict(zip(model.head, model.head_classes.tolist(), strict=True))
+    core = set(model.head[:100])
+    outside = n_classes + 1
+
+    def around(known):
+        for ws in train:
+            hs = [0, *(known.get(w, outside) for w in ws), 0]
+            for i, w in enumerate(ws):
+                yield w, hs[i], hs[i + 2]
+
+    def likelihoods(known):
+        table = np.zeros((n_classes + 1, 2 * symbols))
+        for w, left, right in around(known):
+            if w in core:
+                table[head[w], left] += 1
+                table[head[w], symbols + right] += 1
+        return np.log((table[1:] + 0.5) / (table[1:].sum(1, keepdims=True) / 2 + 0.5 * symbols))
+
+    def best(known, wanted):
+        table, gain = likelihoods(known), {}
+        for w, left, right in around(known):
+            if wanted(w):
+                gain[w] = gain.get(w, 0) + table[:, left] + table[:, symbols + right]
+        return gain
+
+    rest = {bytes(r["word"]): r["cls"] for r in model.rest.collect()}
+    first = best({w: c for w, c in head.items() if w in core}, lambda w: w in head and w not in core)
+    second = best(head, lambda w: w not in head)
+    assert set(second) == set(rest) and set(first) == set(head) - core
+    for w, gain in [*first.items(), *second.items()]:
+        assert gain[(head | rest)[w] - 1] == pytest.approx(gain.max(), rel=1e-9)
+    follow = np.zeros((symbols, n_classes + 1))
+    for ws in train:
+        for v, w in zip([None, *ws], [*ws, None], strict=True):
+            follow[0 if v is None else head.get(v, outside), 0 if w is None else (head | rest)[w]] += 1
+    level = model.mass / model.mass.sum()
+    assert np.allclose(model.follow, (follow + brown_lm.PRIOR * level) / (follow.sum(1, keepdims=True) + brown_lm.PRIOR))
