@@ -1,22 +1,30 @@
 """Approximate nearest neighbours by additive quantisation (operator 9).
 
 Unit vectors are sums of one code vector from each of several full-dimensional codebooks. The
-codebooks are fitted, each on what the ones before leave, on a bounded sample (SAMPLE vectors by a hash
-of the id); every vector is then encoded by a beam search over the residual codebooks, and the length
-of what its sum leaves is stored with the codes. For a query, a table of its products with all code
-vectors gives a vector's product by as many look-ups as there are codebooks, and by no more than that
-length the true cosine differs from it. A vector is ranked exactly, in double precision, unless this
-bound is below the exact k-th best of the vectors that look best: what is dropped cannot be among the k
-nearest, so the codes save work and do not change the result.
-
-Queries meet codes in blocks: blocks of queries and blocks of codes are dealt to numbered parts, and
-what leaves a pair of blocks is the k nearest for each query. Ties go to smaller ids at every step, so a
-vector that is repeated thousands of times gives the smallest ids of its copies.
+codebooks are fitted, each on what the ones before leave, on a bounded sample (about SAMPLE vectors of a
+length, by a hash of the id); every vector is then encoded by a beam search over the residual codebooks,
+and the length of what its sum leaves is stored with the codes. For a query, a table of its products with
+all code vectors gives a vector's product by as many look-ups as there are codebooks, and by no more than
+that length the true cosine differs from it. A vector is ranked exactly, in double precision, unless this
+bound is below the exact k-th best of the vectors that look best.
+
+Vectors also fall into coarse cells around centres of the same sample, at most CELLS of them; a cell keeps
+the widest angle of its vectors to its centre. A query first searches its own cell. Of all other cells it
+visits those in which, by their angle, a vector could be nearer than the k-th best so far. Whatever the codes
+and cells rule out cannot be among the k nearest, so they save work and do not change the result. How much
+cells save depends on the data: nothing for vectors that lie evenly in all directions, in which case
+the work is that of all queries with all codes.
+
+Queries meet codes in blocks: a cell is dealt out in numbered parts of about CODE_BLOCK vectors, queries go to
+each part of a cell in blocks, and what leaves a pair of blocks is the k nearest for each query. Ties go
+to smaller ids at every step, so a vector that is repeated thousands of times gives the smallest ids of
+its copies.
 
 Edge cases: vectors that are null, empty, zero, or hold nulls or non-finite components take no part, as
-query or candidate; nor do rows without an id. Vectors of a length other than the commonest one (the
-smaller of two equally common ones) take no part either, as no cosine is defined. Rows that repeat an
-id and its vector are one candidate. With k candidates or fewer, all are returned.
+query or candidate; nor do rows without an id. Vectors of different lengths have no cosine: each is searched
+for among those of its own length (without codes where there are fewer than FIT_FROM of them). Of rows that
+repeat an id, the vector that comes first in the order of arrays counts. With k candidates or fewer, all
+are returned.
 """
 
 from __future__ import annotations
@@ -33,20 +41,20 @@ from lexigrove.llm import common
 
 CODEBOOKS, CODES, BEAM, ROUNDS = 8, 256, 4, 6
 SAMPLE = 10_000
+FIT_FROM = 500
+CELLS, CELL_ROWS = 256, 4096  # at most so many cells, each of about so many vectors or more
 QUERY_BLOCK, CODE_BLOCK = 1024, 2048
-BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 SLACK = 1e-9  # more than sums in double precision are off
 
 
 def usable(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """id, v (doubles) and norm of the vectors that take part."""
+    """id, d (length), v (doubles) and norm of the vectors that take part."""
     v = F.col(column).cast("array<double>")
     rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & (F.size("v") > 0))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     rows = rows.where(finite).withColumn("norm", norm).where((F.col("norm") > 0) & (F.col("norm") < float("inf")))
-    common_size = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.where(F.size("v") == (common_size["d"] if common_size else 0)).dropDuplicates(["id"])
+    return rows.groupBy("id").agg(F.min("v").alias("v"), F.min_by("norm", "v").alias("norm")).withColumn("d", F.size("v"))
 
 
 def _matrix(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -104,15 +112,16 @@ def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     return np.concatenate([(vectors[i : i + 4096] * query).sum(1) for i in range(0, len(vectors), 4096)] or [np.zeros(0)])
 
 
-def best_places(query: np.ndarray, near: np.ndarray, left: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_places(query: np.ndarray, near: np.ndarray, left: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int, floor: float = -2.0) -> tuple[np.ndarray, np.ndarray]:
     """(places, products) of the k vectors of the highest products with ``query``, as if all were computed.
 
-    ``near`` are the products with the sums of codes, ``left`` the lengths of what the sums leave.
+    ``near`` are the products with the sums of codes, ``left`` the lengths of what the sums leave. Products
+    below ``floor`` are of no use.
     """
-    at = np.arange(len(ids))
+    least = floor
     if len(ids) > k:
-        least = exact(vectors[np.argpartition(near, len(near) - k)[len(near) - k :]], query).min()
-        at = np.flatnonzero(near + left >= least - SLACK)
+        least = max(floor, exact(vectors[np.argpartition(near, len(near) - k)[len(near) - k :]], query).min())
+    at = np.flatnonzero(near + left >= least - SLACK)
     scores = exact(vectors[at], query)
     best = shortlist(scores, ids[at], k)
     return at[best], scores[best]
@@ -127,21 +136,33 @@ def shortlist(scores: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
     return at[np.lexsort((ids[at], -scores[at]))][:most]
 
 
-def _books(rows: DataFrame, n_rows: int) -> np.ndarray:
-    """Codebooks fitted in one task on at most about SAMPLE rows."""
-    share = min(1.0, SAMPLE / max(n_rows, 1))
-    chosen = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(int(share * (1 << 20)))).repartition(1).sortWithinPartitions("id")
+def fit_centres(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndarray:
+    """(cells, d): unit vectors around which the sample gathers."""
+    return _unit(fit_codebooks(sample, 1, cells, rounds)[0].astype(float), sample[:1])
 
-    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [_matrix(b, "v") for b in batches if len(b)]
-        if parts:
-            books = fit_codebooks(np.concatenate(parts))
-            yield pa.RecordBatch.from_arrays([pa.array([books.tobytes()], pa.binary()), pa.array([books.shape[2]], pa.int32())], ["books", "d"])
 
-    found = chosen.mapInArrow(train, "books binary, d int").first()
-    if found is None:
-        return np.zeros((CODEBOOKS, CODES, 1), np.float32)
-    return np.frombuffer(bytes(found["books"]), np.float32).reshape(CODEBOOKS, CODES, found["d"])
+def _unit(rows: np.ndarray, default: np.ndarray) -> np.ndarray:
+    norms = np.sqrt((rows**2).sum(1, keepdims=True))
+    return np.where(norms > 0, rows / np.maximum(norms, 1e-300), default)
+
+
+def fitted(rows: DataFrame, sizes: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Centres and codebooks by length of vectors. A task fits one length, on about SAMPLE rows at most."""
+    shares = [(d, min(1.0, SAMPLE / n), max(1, min(CELLS, n // CELL_ROWS))) for d, n in sizes.items() if n >= FIT_FROM]
+    if not shares:
+        return {}
+    shares_of = F.broadcast(rows.sparkSession.createDataFrame(shares, "d int, share double, cells int"))  # a row for each length
+    point = F.pmod(F.xxhash64("id"), F.lit(1 << 52)) / float(1 << 52)
+    chosen = rows.join(shares_of, "d").where(point < F.col("share"))
+
+    def train(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(b.column("id").to_numpy(), _matrix(b, "v"), b.column("cells")[0].as_py()) for b in batches if len(b)]
+        sample = np.concatenate([x for _, x, _ in parts])[np.argsort(np.concatenate([i for i, _, _ in parts]), kind="stable")]
+        made = (fit_centres(sample, parts[0][2]), fit_codebooks(sample))
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in made)], ["d", "centres", "books"])
+
+    found = chosen.groupBy("d").applyInArrow(train, "d int, centres binary, books binary").collect()
+    return {r["d"]: (np.frombuffer(bytes(r["centres"])).reshape(-1, r["d"]), np.frombuffer(bytes(r["books"]), np.float32).reshape(CODEBOOKS, CODES, r["d"])) for r in found}
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -150,57 +171,114 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id
     ``is_query`` is a condition on the column ``id``, which is ``key`` as a long.
     """
     spark = vectors.sparkSession
-    if spark.conf.get(BATCH_BYTES, None) is None:  # a row of a block of codes holds its vectors
-        spark.conf.set(BATCH_BYTES, "64m")
     rows = common.stored(usable(vectors, key, column), "vectors")
-    n_rows = rows.count()
-    books = spark.sparkContext.broadcast(_books(rows, n_rows))
+    sizes = {r["d"]: r["count"] for r in rows.groupBy("d").count().collect()}  # a row for each length
+    model = spark.sparkContext.broadcast(fitted(rows, sizes))
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, len(batch), CODE_BLOCK):
-                part = batch.slice(first, CODE_BLOCK)
-                x = _matrix(part, "v")
-                blobs = (part.column("id").to_numpy(), *encode(x, books.value), x)
-                yield pa.RecordBatch.from_arrays([pa.array([b.tobytes()], pa.binary()) for b in blobs], ["ids", "codes", "lefts", "vectors"])
+            d = batch.column("d").to_numpy()
+            cell, near = np.zeros(len(batch), np.int32), np.full(len(batch), -1.0)
+            for size in np.unique(d).tolist():
+                if size in model.value:
+                    at = np.flatnonzero(d == size)
+                    products = _matrix(batch.take(pa.array(at)), "v") @ model.value[size][0].T
+                    cell[at], near[at] = products.argmax(1), products.max(1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "d", "v", "norm")), pa.array(cell), pa.array(near)], ["id", "d", "v", "norm", "cell", "near"])
+
+    placed = common.stored(rows.select("id", "d", "v", "norm").mapInArrow(place, "id long, d int, v array<double>, norm double, cell int, near double"), "cells")
+    cells = {(r["d"], r["cell"]): (r["n"], r["near"]) for r in placed.groupBy("d", "cell").agg(F.count("*").alias("n"), F.min("near").alias("near")).collect()}  # CELLS rows a length
+    parts_of = {c: -(-n // CODE_BLOCK) for c, (n, _) in cells.items()}
+    named = F.broadcast(spark.createDataFrame([(d, c, p) for (d, c), p in parts_of.items()] or [(0, 0, 0)], "d int, cell int, parts int"))
+    angles = spark.sparkContext.broadcast({c: float(np.arccos(np.clip(near - SLACK, -1, 1))) for c, (_, near) in cells.items()})
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first in range(0, len(batch), QUERY_BLOCK):
-                part = batch.slice(first, QUERY_BLOCK)
-                blobs = (part.column("id").to_numpy().tobytes(), _matrix(part, "v").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in blobs], ["query_ids", "queries"])
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (d, cell, no) in _runs(batches, ["d", "cell", "part"], CODE_BLOCK):
+            x = _matrix(part, "v")
+            codes, lefts = encode(x, model.value[d][1]) if d in model.value else (np.zeros((len(x), 0), np.uint8), np.ones(len(x)))
+            blobs = (part.column("id").to_numpy(), codes, lefts, x)
+            yield pa.RecordBatch.from_arrays([*(pa.array([i], pa.int32()) for i in (d, cell, no)), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], ["d", "cell", "part", "ids", "codes", "lefts", "vectors"])
+
+    dealt = placed.join(named, ["d", "cell"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    dealt = dealt.select("d", "cell", "part", "id", "v", "norm").repartition("d", "cell", "part").sortWithinPartitions("d", "cell", "part")
+    coded = common.stored(dealt.mapInArrow(code, "d int, cell int, part int, ids binary, codes binary, lefts binary, vectors binary"), "codes")
 
-    parts = max(1, min(1024, -(-n_rows // CODE_BLOCK)))
-    coded = rows.mapInArrow(code, "ids binary, codes binary, lefts binary, vectors binary").withColumn("part", F.pmod(F.xxhash64("ids"), F.lit(parts)).cast("int"))
-    coded = common.stored(coded, "codes")
-    asked = rows.where(is_query).mapInArrow(pack, "query_ids binary, queries binary")
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, (d, cell) in _runs(batches, ["d", "cell"], QUERY_BLOCK):
+            blobs = (part.column("id").to_numpy(), _matrix(part, "v"), part.column("floor").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([cell], pa.int32()), *(pa.array([b.tobytes()], pa.binary()) for b in blobs)], ["d", "cell", "query_ids", "queries", "floors"])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(len(batch)):
-                row = {c: batch.column(c)[i].as_buffer() for c in batch.schema.names}
+                row = {c: batch.column(c)[i].as_buffer() for c in ("query_ids", "queries", "floors", "ids", "codes", "lefts", "vectors")}
+                d = batch.column("d")[i].as_py()
                 ids, query_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["query_ids"], np.int64)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                lefts = np.frombuffer(row["lefts"])
-                vectors = np.frombuffer(row["vectors"]).reshape(len(ids), -1)
-                queries = np.frombuffer(row["queries"]).reshape(len(query_ids), -1)
-                exact_books = books.value.astype(float)
+                lefts, floors = np.frombuffer(row["lefts"]), np.frombuffer(row["floors"])
+                vectors, queries = np.frombuffer(row["vectors"]).reshape(len(ids), d), np.frombuffer(row["queries"]).reshape(len(query_ids), d)
+                exact_books = model.value[d][1].astype(float) if codes.shape[1] else None
                 found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-                for q, vector in zip(query_ids, queries, strict=True):
-                    table = exact_books @ vector  # (codebooks, codes)
-                    near = sum(table[b][codes[:, b]] for b in range(codes.shape[1]))
+                for q, vector, floor in zip(query_ids, queries, floors, strict=True):
+                    near = np.zeros(len(ids))
+                    if exact_books is not None:
+                        table = exact_books @ vector  # (codebooks, codes)
+                        near = sum(table[b][codes[:, b]] for b in range(codes.shape[1]))
                     own = np.flatnonzero(ids == q)  # an id is in one block, so mostly none
                     rest = [np.delete(x, own, 0) for x in (near, lefts, vectors, ids)] if len(own) else [near, lefts, vectors, ids]
-                    at, scores = best_places(vector, *rest, k)
+                    at, scores = best_places(vector, *rest, k, floor)
                     found.append((np.full(len(at), q), rest[3][at], scores))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
 
-    met = asked.join(coded, "part").select("query_ids", "queries", "ids", "codes", "lefts", "vectors")
-    found = met.mapInArrow(score, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    def searched(queries: DataFrame) -> DataFrame:
+        """query_id, vec_id, score of the candidates in the cells that ``queries`` (d, cell, id, v, norm, floor) name."""
+        salt = F.pmod(F.xxhash64("id"), F.lit(64))  # many queries may want one cell
+        packed = queries.repartition("d", "cell", salt).sortWithinPartitions("d", "cell").mapInArrow(pack, "d int, cell int, query_ids binary, queries binary, floors binary")
+        asked = packed.join(named, ["d", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        return asked.join(coded, ["d", "cell", "part"]).drop("cell", "part").mapInArrow(score, "query_id long, vec_id long, score double")
+
+    def best(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    queries = placed.where(is_query)
+    first = common.stored(best(searched(queries.withColumn("floor", F.lit(-2.0)))), "own-cells")
+    if all(c == 0 for _, c in cells):
+        return first
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            d = batch.column("d").to_numpy()
+            for size in np.unique(d).tolist():
+                if size not in model.value:
+                    continue
+                part = batch.take(pa.array(np.flatnonzero(d == size)))
+                turn = np.arccos(np.clip(_matrix(part, "v") @ model.value[size][0].T, -1, 1))
+                for cell in range(turn.shape[1]):
+                    if (size, cell) in angles.value:
+                        bound = np.cos(np.maximum(0, turn[:, cell] - angles.value[size, cell]))
+                        wanted = (bound >= part.column("floor").to_numpy() - SLACK) & (part.column("cell").to_numpy() != cell)
+                        some = part.filter(pa.array(wanted))
+                        yield some.set_column(some.schema.get_field_index("cell"), "cell", pa.array(np.full(len(some), cell, np.int32)))
+
+    # The k-th best of a query's own cell; without k candidates there, every cell is of use.
+    floors = first.groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("floor"))
+    asked = queries.join(floors, F.col("id") == F.col("query_id"), "left").select("d", "cell", "id", "v", "norm", F.coalesce("floor", F.lit(-2.0)).alias("floor"))
+    more = searched(asked.mapInArrow(others, "d int, cell int, id long, v array<double>, norm double, floor double"))
+    return best(first.drop("rank").unionByName(more))
+
+
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str], most: int) -> Iterator[tuple[pa.RecordBatch, tuple[int, ...]]]:
+    """Rows of sorted batches that agree in ``keys``, at most ``most`` at once, with the keys' values; a run that
+    goes on in the next batch may come in two."""
+    for batch in batches:
+        if not len(batch):
+            continue
+        values = [batch.column(c).to_numpy() for c in keys]
+        change = np.flatnonzero(np.logical_or.reduce([np.diff(v) != 0 for v in values])) + 1
+        for first, last in zip([0, *change.tolist()], [*change.tolist(), len(batch)], strict=True):
+            for at in range(first, last, most):
+                yield batch.slice(at, min(most, last - at)), tuple(int(v[at]) for v in values)
 
 
 def op9_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:

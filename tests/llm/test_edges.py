@@ -21,6 +21,27 @@ def test_no_rows(spark, empty_folder, name):
     assert entries.queries()[name](spark, empty_folder).count() == 0
 
 
+def test_odd_and_no_urls(spark, tmp_path):
+    """Columns that clash, repeated pages, null urls, and no pages at all."""
+    schema = "page_id long, url string, html string, host string, path string, rule string, verdict string, hit int"
+    rows = [(1, "http://a.org/x", None, "h", "p", "r", "v", 1), (1, "http://a.org/x", "", "h", "p", "r", "v", 1), (2, None, "x", *"hprv", 0), (None, "http://b.com/de/" + "z" * 9000, "x", *"hprv", 0)]
+    for name, some in (("full", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(str(tmp_path / name / "pages.parquet"))
+    out = entries.queries()["op10_url_filters"](spark, str(tmp_path / "full")).select("page_id", "host", "rule", "verdict").collect()
+    assert sorted(map(str, map(tuple, out))) == sorted(map(str, [(1, "a.org", "org/", "allow"), (1, "a.org", "org/", "allow"), (2, "", None, out[0]["verdict"]), (None, "b.com", "com/de/", "block")]))
+    assert entries.queries()["op10_url_filters"](spark, str(tmp_path / "none")).count() == 0
+
+
+def test_odd_and_no_vectors(spark, tmp_path):
+    schema = "vec_id long, embedding array<float>, id int, v string, d int, cell string, score string, rank string"
+    rows = [(i, v, 1, "x", 2, "y", "z", "w") for i, v in ((0, [1.0, 0.0]), (50, [1.0, 0.1]), (7, [0.0, 1.0]), (9, None), (11, []), (None, [1.0, 1.0]))]
+    for name, some in (("full", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(str(tmp_path / name / "embeddings.parquet"))
+    out = entries.queries()["op9_vector_search"](spark, str(tmp_path / "full")).orderBy("query_id", "rank").collect()
+    assert [(r["query_id"], r["rank"], r["vec_id"]) for r in out] == [(0, 1, 50), (0, 2, 7), (50, 1, 0), (50, 2, 7)]
+    assert entries.queries()["op9_vector_search"](spark, str(tmp_path / "none")).count() == 0
+
+
 def test_stages(spark, docs, no_docs):
     rows = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -94,12 +94,13 @@ def test_search(spark):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(20, 32))
     rows = {i: (centres[i % 20] + rng.normal(size=32) * 0.4).astype(np.float32).tolist() for i in range(1500)}
-    odd = [(5001, None), (5050, []), (5100, [0.0] * 32), (5150, [1.0] * 31 + [None]), (5200, [float("nan")] * 32), (5250, [float("inf")] * 32), (5300, [1.0, 2.0]), (None, [1.0] * 32)]
+    odd = [(5001, None), (5050, []), (5100, [0.0] * 32), (5150, [1.0] * 31 + [None]), (5200, [float("nan")] * 32), (5250, [float("inf")] * 32), (5300, [1.0, 2.0]), (5301, [2.0, 1.0]), (5302, [3.0, 1.0]), (None, [1.0] * 32)]
     data = [(i, v, "x", 1) for i, v in [*rows.items(), *odd, (0, rows[0])]]
     df = spark.createDataFrame(data, "vec_id long, embedding array<float>, score string, rank int")
     got = {}
     for r in vector_search.nearest(df, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert [i for i, _ in got.pop(5300)] == [5301, 5302]  # vectors of another length are searched among themselves
     want = brute(rows, 5, 50)
     assert set(got) == set(want) and all(len(v) == 5 for v in got.values())
     hits = sum(len({i for i, _ in got[q]} & {i for i, _ in want[q]}) for q in want)
@@ -123,6 +124,30 @@ def test_near_copies_are_ranked_exactly(spark):
     assert got == {q: [i for i, _ in found] for q, found in brute(rows, 5, 1000).items()}
 
 
+def test_cells_lose_no_neighbour(spark, monkeypatch):
+    """Many cells over clusters, even directions and a hot group of copies give what brute force gives."""
+    monkeypatch.setattr(vector_search, "CELL_ROWS", 100)
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(12, 8))
+    rows = {i: (centres[i % 12] + rng.normal(size=8) * 0.1).tolist() for i in range(1500)}
+    rows |= {i: rng.normal(size=8).tolist() for i in range(1500, 2200)}
+    rows |= {i: rows[3] for i in range(2200, 3000)}
+    df = spark.createDataFrame(list(rows.items()), "vec_id long, embedding array<double>")
+    got = {}
+    for r in vector_search.nearest(df, F.col("id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], round(r["score"], 9)))
+    want = {q: [(i, round(s, 9)) for i, s in found] for q, found in brute(rows, 5, 50).items()}
+    assert {q: [s for _, s in v] for q, v in got.items()} == {q: [s for _, s in v] for q, v in want.items()}
+    assert {q: v for q, v in got.items() if q < 2200} == {q: v for q, v in want.items() if q < 2200}
+
+
+def test_one_id_with_two_vectors(spark):
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [0.0, 1.0]), (3, [0.1, 1.0])]
+    for some in (rows, rows[::-1]):
+        df = spark.createDataFrame(some, "vec_id long, embedding array<double>")
+        assert [r["vec_id"] for r in vector_search.nearest(df, F.col("id") == 2).orderBy("rank").collect()] == [3, 1]
+
+
 def test_copies_and_few_candidates(spark):
     df = spark.createDataFrame([(i, [1.0, 2.0, 0.0]) for i in range(400)] + [(500, [0.0, 1.0, 0.0])], "vec_id long, embedding array<double>")
     rows = vector_search.nearest(df, F.col("id") == 50).orderBy("rank").collect()
