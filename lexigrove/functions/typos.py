@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,15 +43,15 @@ def substitutions(term: Column) -> Column:
 
 def edits(a: str, b: str) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours, no part edited twice."""
-    before, row = None, np.arange(len(b) + 1)
+    last, before, row = [], [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
-        last, before, row = before, row, np.empty_like(row)
-        row[0] = i
+        last, before, row = before, row, [i]
         for j, y in enumerate(b, 1):
-            row[j] = min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y))
-            if last is not None and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                row[j] = min(row[j], last[j - 2] + (x != y))
-    return int(row[-1])
+            best = before[j - 1] if x == y else 1 + min(before[j - 1], before[j], row[-1])
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y and last[j - 2] + 1 < best:
+                best = last[j - 2] + 1
+            row.append(best)
+    return row[-1]
 
 
 @F.pandas_udf(T.IntegerType())
@@ -59,16 +59,38 @@ def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else edits(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
-def fuzzy(queries: DataFrame, terms: DataFrame, level: str = "default", most: int = 8) -> DataFrame:
-    """(query, term, distance): for each query its best dictionary terms within the allowed edits.
+def without_one(word: Column) -> Column:
+    """Array of the words that are left when one character is dropped."""
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
 
-    Plain Levenshtein distance in the JVM goes first: a swap counts two there, so a pair further apart
-    than twice the allowance cannot be within it, and only the few pairs left reach the exact distance.
-    ``queries`` (column query) are the words of requests; both sides meet by length.
+
+def shortened(word: Column, most: int) -> Column:
+    """Array of the distinct words that are left when up to ``most`` (0 to 2) characters are dropped."""
+    out = F.array(word)
+    for _ in range(most):
+        out = F.array_distinct(F.concat(out, F.flatten(F.transform(F.filter(out, lambda w: w != ""), without_one))))
+    return out
+
+
+def fuzzy(queries: DataFrame, terms: DataFrame, level: str = "default", most: int | None = 8) -> DataFrame:
+    """(query, term, distance): for each query (column query) its best terms within the allowed edits; ``terms`` has
+    term and total_tf. Ties go to commoner terms, then by term. Without ``most``, all of them.
+
+    Words within so many edits of each other share a word that is left when each drops as many characters, so both
+    sides meet by such words, an equality with many small keys, and never by length. Plain Levenshtein distance in
+    the JVM then goes first: a swap counts two there, so a pair further apart than twice the allowance cannot be
+    within it, and only the few pairs left reach the exact distance.
     """
-    q = queries.withColumn("room", allowed(F.length("query"), level)).withColumn("len", F.explode(F.sequence(F.length("query") - F.col("room"), F.length("query") + F.col("room"))))
-    pairs = q.join(terms.withColumn("len", F.length("term")), "len")
+    q = queries.select("query").distinct().withColumn("room", allowed(F.length("query"), level))
+    lengths = q.select(F.explode(F.sequence(F.length("query") - F.col("room"), F.length("query") + F.col("room"))).alias("length"), "room").distinct()
+    rooms = terms.select("term", "total_tf", F.length("term").alias("length")).join(F.broadcast(lengths), "length")  # a row for each length of a word
+    variants = lambda word: F.when(F.col("room") == 0, F.array(word)).when(F.col("room") == 1, shortened(word, 1)).otherwise(shortened(word, 2))
+    asked = q.withColumn("left", F.explode(variants(F.col("query"))))
+    known = rooms.withColumn("left", F.explode(variants(F.col("term")))).drop("length")
+    pairs = asked.join(known, ["room", "left"]).select("query", "term", "total_tf", "room").distinct()
     near = pairs.where(F.levenshtein("query", "term", 4).between(0, 2 * F.col("room")))
     near = near.withColumn("distance", edit_distance("query", "term")).where(F.col("distance") <= F.col("room"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct("distance", (-F.col("total_tf")).alias("minus"), "term"))), 1, most)
-    return near.groupBy("query").agg(best.alias("b")).select("query", F.explode("b").alias("x")).select("query", "x.term", "x.distance")
+    if most is not None:
+        place = F.row_number().over(W.partitionBy("query").orderBy(F.col("distance").asc(), F.desc("total_tf"), F.col("term").asc()))
+        near = near.withColumn("place", place).where(F.col("place") <= most)
+    return near.select("query", "term", "distance")

@@ -83,6 +83,26 @@ def max_similarity(query: Column, document: Column) -> Column:
     return _sum(F.transform(query, best))
 
 
+def similarity(a: Column, b: Column, metric: str = "cosine") -> Column:
+    """Similarity of two structs ``dense`` (array), ``sparse`` (map) and ``multi`` (array of arrays), of which one is
+    set. Dense pairs go by the metric, sparse ones by cosine or product (0 under any other), multi-vectors always by
+    late interaction; of different kinds it is 0."""
+    sparse_by = {"cosine": sparse_cosine, "dot": sparse_dot}.get(metric, lambda x, y: F.lit(0.0))
+    both = lambda kind: a[kind].isNotNull() & b[kind].isNotNull()
+    return (
+        F.when(both("dense"), METRICS[metric](a["dense"], b["dense"]))
+        .when(both("sparse"), sparse_by(a["sparse"], b["sparse"]))
+        .when(both("multi"), max_similarity(a["multi"], b["multi"]))
+        .otherwise(0.0)
+    )
+
+
+def embedding_dimension(a: Column) -> Column:
+    """Dimensions of a struct like that of ``similarity``; of multi-vectors, those of the first."""
+    first = F.size(F.get(a["multi"], F.lit(0)))
+    return F.coalesce(F.when(a["dense"].isNotNull(), F.size(a["dense"])), F.when(a["sparse"].isNotNull(), sparse_dimension(a["sparse"])), F.when(a["multi"].isNotNull(), F.greatest(first, F.lit(0))), F.lit(0))
+
+
 def sign_bits(a: Column) -> Column:
     """Binary code: whether each component is above zero."""
     return F.transform(a, lambda x: (x > 0).cast("int"))

@@ -1,8 +1,9 @@
 """Boolean and phrase conditions as sets of documents.
 
 A condition is built from Term, Phrase, And, Or and Not. Each one tells for a row of the documents
-whether it holds, over the array of the row's words: one pass over the text and no join. With an index,
-``matching`` gives the same documents from postings, for conditions that hold on few of them.
+whether it holds, over the array of the row's words, which is worked out once a row however many parts the
+condition has: one pass over the text and no join. With an index, ``matching`` gives the same documents
+from postings, for conditions that hold on few of them.
 """
 
 from __future__ import annotations
@@ -17,6 +18,12 @@ from lexigrove.operators.index import Index
 
 class Condition:
     def holds(self, words: Column) -> Column:
+        """Column: whether the condition holds for an array of words. The array is bound to a name first, so that
+        the expression it comes from is not repeated for each part and each place."""
+        return F.element_at(F.transform(F.array(words), self.over), 1)
+
+    def over(self, words: Column) -> Column:
+        """Column: the same over an array that is already at hand."""
         raise NotImplementedError
 
     def __and__(self, other: Condition) -> Condition:
@@ -37,7 +44,7 @@ class Condition:
 class Term(Condition):
     term: str
 
-    def holds(self, words: Column) -> Column:
+    def over(self, words: Column) -> Column:
         return F.array_contains(words, self.term.lower())
 
     def terms(self) -> list[str]:
@@ -50,11 +57,17 @@ class Phrase(Condition):
     def __init__(self, *words: str) -> None:
         self.words = tuple(w.lower() for w in words)
 
-    def holds(self, words: Column) -> Column:
-        n = len(self.words)
-        phrase = F.array(*map(F.lit, self.words))
-        starts = F.filter(F.transform(words, lambda w, i: F.when(w == self.words[0], i + 1)), lambda i: i.isNotNull())
-        return F.exists(starts, lambda i: F.slice(words, i, n) == phrase)
+    def over(self, words: Column) -> Column:
+        first, *rest = self.words
+        places = F.sequence(F.lit(1), F.size(words) - len(rest))
+
+        def stands(i: Column) -> Column:
+            out = F.element_at(words, i) == first
+            for n, w in enumerate(rest, 1):
+                out = out & (F.element_at(words, i + n) == w)
+            return out
+
+        return F.array_contains(words, first) & (F.size(words) >= len(self.words)) & F.exists(F.when(F.size(words) >= len(self.words), places), stands)
 
     def terms(self) -> list[str]:
         return sorted(set(self.words))
@@ -64,10 +77,10 @@ class And(Condition):
     def __init__(self, *parts: Condition) -> None:
         self.parts = parts
 
-    def holds(self, words: Column) -> Column:
-        out = self.parts[0].holds(words)
+    def over(self, words: Column) -> Column:
+        out = self.parts[0].over(words)
         for p in self.parts[1:]:
-            out = out & p.holds(words)
+            out = out & p.over(words)
         return out
 
     def terms(self) -> list[str]:
@@ -75,10 +88,10 @@ class And(Condition):
 
 
 class Or(And):
-    def holds(self, words: Column) -> Column:
-        out = self.parts[0].holds(words)
+    def over(self, words: Column) -> Column:
+        out = self.parts[0].over(words)
         for p in self.parts[1:]:
-            out = out | p.holds(words)
+            out = out | p.over(words)
         return out
 
 
@@ -86,8 +99,8 @@ class Or(And):
 class Not(Condition):
     part: Condition
 
-    def holds(self, words: Column) -> Column:
-        return ~self.part.holds(words)
+    def over(self, words: Column) -> Column:
+        return ~self.part.over(words)
 
 
 def matching(index: Index, condition: Condition) -> DataFrame:

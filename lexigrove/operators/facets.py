@@ -4,20 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def values(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """(field, value): values as text; arrays give one row for each element, a null gives "null"."""
-    kinds = dict(rows.dtypes)
+def _flat(value: Column, kind: T.DataType) -> Column:
+    """Array of texts: the value's, or those of all elements of arrays at any depth; objects give none, a null "null"."""
+    if isinstance(kind, T.ArrayType):
+        inner = F.flatten(F.transform(value, lambda x: _flat(x, kind.elementType)))
+        return F.when(value.isNull(), F.array(F.lit("null"))).otherwise(inner)
+    if isinstance(kind, T.StructType | T.MapType):
+        return F.when(value.isNull(), F.array(F.lit("null"))).otherwise(F.array().cast("array<string>"))
+    return F.array(F.coalesce(value.cast("string"), F.lit("null")))
 
-    def of(f: str):
-        if kinds[f].startswith("array"):
-            return F.transform(F.coalesce(F.col(f).cast("array<string>"), F.array(F.lit("null"))), lambda v: F.struct(F.lit(f).alias("field"), F.coalesce(v, F.lit("null")).alias("value")))
-        return F.array(F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("null")).alias("value")))
 
+def values(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """(field, value): values as text. Arrays, also inside arrays, give one row for each element, objects give none,
+    and a null gives "null"."""
+    of = lambda f: F.transform(_flat(F.col(f), rows.schema[f].dataType), lambda v: F.struct(F.lit(f).alias("field"), v.alias("value")))
     return rows.select(F.explode(F.concat(*map(of, fields))).alias("x")).select("x.field", "x.value")
 
 

@@ -6,13 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lexigrove.sources import shared
+
 K = 60.0
 
 
-def ranked(scored: DataFrame, by: str | None = None) -> DataFrame:
-    """``scored`` (doc_id, score) with rank from 1, best first, ties by doc_id; inside ``by`` if given."""
-    window = (W.partitionBy(by) if by else W.partitionBy()).orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(window))
+def ranked(scored: DataFrame, by: str | None = None, most: int | None = None) -> DataFrame:
+    """``scored`` (doc_id, score) with rank from 1, best first, ties by doc_id; inside ``by`` if given.
+
+    With ``most``, only so many ranks, which are cut before rows meet. Without either, all rows are ranked over
+    ranges of scores: ranges are counted, and a running sum over the ranges places each, so no task sorts everything.
+    """
+    order = [F.desc("score"), F.col("doc_id").asc()]
+    if by:
+        out = scored.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order)))
+        return out if most is None else out.where(F.col("rank") <= most)
+    if most is not None:
+        top = scored.orderBy(*order).limit(most)  # ``most`` rows from here on
+        return top.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)))
+    rows = shared.stored(scored.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part, place = F.shiftright("__at", 33), F.col("__at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__part", before.alias("__before"))  # a row for each range
+    out = rows.withColumn("__part", part).join(F.broadcast(sizes), "__part")
+    return out.withColumn("rank", (F.col("__before") + place + 1).cast("int")).drop("__part", "__before", "__at")
 
 
 def reciprocal_ranks(first: DataFrame, second: DataFrame, weights: tuple[float, float] = (1.0, 1.0), k: float = K, by: str | None = None) -> DataFrame:

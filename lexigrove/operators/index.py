@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexigrove.functions import text
@@ -23,6 +23,7 @@ class Index:
     dictionary: DataFrame | None = None
     by_doc: DataFrame | None = None
     numbers: tuple[int, float] | None = None
+    dealt: bool = False  # whether postings already lie by term and share of the documents
 
     def terms(self) -> DataFrame:
         """(term, doc_freq, total_tf). A term's postings are summed by document before they meet."""
@@ -60,41 +61,73 @@ class Index:
     def plus(self, other: Index) -> Index:
         return Index(self.postings.unionByName(other.postings), self.lengths.unionByName(other.lengths))
 
-    def stored(self) -> Index:
-        """The tables written out, sorted by term within files so that reads of a term skip most of them.
+    def write(self, path: str) -> Index:
+        """Writes the tables to a folder and reads them back; ``load`` reads them in any other session.
 
-        Statistics are taken from the tables once, so that a query reads its postings and the lengths of
-        its documents and nothing else.
+        Postings are dealt out by term and a share of the documents, so that no task gets a common term whole, and
+        sorted by term within files, so that reads of a term skip most of each. Statistics are taken from the tables
+        once, so that a query reads its postings and the lengths of its documents and nothing else.
         """
         spark = self.postings.sparkSession
-        path = shared.new_path(spark, "postings")
-        self.postings.repartition("term").sortWithinPartitions("term").write.parquet(path)
-        kept = Index(spark.read.parquet(path), shared.stored(self.lengths, "lengths"))
-        terms = shared.stored(kept.terms().sortWithinPartitions("term"), "terms")
-        by_doc = shared.stored(kept.doc_lengths(), "doc-lengths")
-        return replace(kept, dictionary=terms, by_doc=by_doc, numbers=kept.size())
+        dealt = self.postings if self.dealt else self.postings.repartition(F.col("term"), _share())
+        dealt.sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
+        self.lengths.write.parquet(f"{path}/lengths")
+        kept = Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        kept.terms().sortWithinPartitions("term").write.parquet(f"{path}/terms")
+        kept.doc_lengths().write.parquet(f"{path}/doc-lengths")
+        replace(kept, by_doc=spark.read.parquet(f"{path}/doc-lengths")).stats().write.parquet(f"{path}/numbers")
+        return load(spark, path)
+
+    def stored(self) -> Index:
+        """``write`` to a new folder of the shared one."""
+        return self.write(shared.new_path(self.postings.sparkSession, "index"))
+
+
+SHARES = 16  # shares of the documents by which a term's postings are dealt out
+
+
+def _share():
+    return F.pmod(F.hash("doc_id"), F.lit(SHARES))
+
+
+def load(spark: SparkSession, path: str) -> Index:
+    """The index that ``Index.write`` has written to a folder."""
+    read = lambda name: spark.read.parquet(f"{path}/{name}")
+    one = read("numbers").first()
+    return Index(read("postings"), read("lengths"), read("terms"), read("doc-lengths"), (one["doc_count"], one["avg_length"]))
 
 
 def build(
-    docs: DataFrame, fields: Sequence[str], key: str = "doc_id", pattern: str = text.SIMPLE_WORDS, stop_words: Sequence[str] = (), stem: bool = False
+    docs: DataFrame, fields: Sequence[str], key: str = "doc_id", pattern: str = text.SIMPLE_WORDS, stop_words: Sequence[str] = (), stem: bool = False, separator: str = " "
 ) -> Index:
-    """Index of the given text fields. ``docs`` is read once for words and once for its keys."""
-    words = text.tokens(docs.select(F.col(key).alias("doc_id"), *fields), fields, "doc_id", pattern, stop_words)
-    postings = words.groupBy("term", "doc_id", "field").agg(F.count("*").alias("tf"))
+    """Index of the given fields. ``docs`` is read once for words and once for its keys.
+
+    Words meet in one shuffle, by term and a share of the documents, in which they are counted and then stay.
+    """
+    docs = spread(docs.select(F.col(key).alias("doc_id"), *fields))
+    words = text.tokens(docs, fields, "doc_id", pattern, stop_words, separator)
     if stem:
-        postings = text.stemmed(postings).groupBy(F.col("stem").alias("term"), "doc_id", "field").agg(F.sum("tf").alias("tf"))
-    counted = docs.select(
-        F.col(key).alias("doc_id"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), _length(f, pattern, stop_words).alias("length")) for f in fields))).alias("f")
-    )
-    return Index(postings, counted.select("doc_id", "f.field", "f.length"))
+        words = text.stemmed(words).select("doc_id", "field", F.col("stem").alias("term"))
+    dealt = words.withColumn("share", _share()).repartition("term", "share")
+    postings = dealt.groupBy("term", "share", "doc_id", "field").agg(F.count("*").alias("tf")).drop("share")
+    of = lambda f: _length(text.as_text(F.col(f), separator, docs.schema[f].dataType), pattern, stop_words)
+    counted = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), of(f).alias("length")) for f in fields))).alias("f"))
+    return Index(postings, counted.select("doc_id", "f.field", "f.length"), dealt=True)
 
 
-def _length(field: str, pattern: str, stop_words: Sequence[str]):
-    found = text.words(text.normal(text.as_text(F.col(field))), pattern)
+def _length(value, pattern: str, stop_words: Sequence[str]):
+    found = text.words(text.normal(value), pattern)
     found = F.filter(found, lambda w: ~w.isin(list(stop_words))) if stop_words else found
     return F.size(found).cast("long")
 
 
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores: a small file of one row group is one task, however many cores there are. A table
+    of at least as many partitions as cores stays as it is."""
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def upsert(old: DataFrame, new: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with the same key, whole."""
     return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)

@@ -14,18 +14,22 @@ from lexigrove.functions import vectors
 from lexigrove.sources import shared
 
 
+BLOCK_ROWS = 50_000
+
+
 def nearest(rows: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """(key, score) of the k best for one query; distances count as negative scores; ties by key."""
     score = vectors.METRICS[metric](F.col(column), vectors.literal(query))
     return rows.select(key, score.alias("score")).orderBy(F.desc("score"), key).limit(k)
 
 
-def nearest_batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", column: str = "embedding", blocks: int = 16) -> DataFrame:
+def nearest_batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", column: str = "embedding", blocks: int | None = None) -> DataFrame:
     """(query_id, key, score) of the k best for each query (columns query_id, q).
 
-    Vectors fall into blocks by a hash, queries go to every block, and a task keeps the k best of a query
-    that it holds before they meet: what is sorted for a query is k times the number of tasks.
+    Vectors fall into blocks of about BLOCK_ROWS by a hash, queries go to every block, and a task keeps the k best of
+    a query that it holds before they meet: what is sorted for a query is k times the number of tasks.
     """
+    blocks = blocks or max(16, -(-rows.count() // BLOCK_ROWS))
     dealt = rows.select(F.pmod(F.hash(key), F.lit(blocks)).alias("block"), key, column)
     asked = queries.select("query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     scored = asked.join(dealt, "block").select("query_id", key, vectors.METRICS[metric](F.col(column), F.col("q")).alias("score"))
@@ -50,21 +54,67 @@ def scalar_coded(rows: DataFrame, column: str = "embedding") -> DataFrame:
     return rows.withColumn("code", vectors.scalar_code(F.col(column), low, span)).withColumn("low", low).withColumn("span", span)
 
 
+class ScalarQuantiser:
+    """One byte for each component, on the range that it has over all vectors."""
+
+    name = "scalar-int8"
+
+    def __init__(self, dimensions: int) -> None:
+        self.code_bytes = dimensions
+        self.low = self.span = None
+
+    def calibrate(self, rows: DataFrame, key: str = "vec_id", column: str = "embedding") -> ScalarQuantiser:
+        low, span = scalar_ranges(rows, column).first()
+        self.low, self.span = vectors.literal(low), vectors.literal(span)
+        return self
+
+    def code(self, column: Column) -> Column:
+        return vectors.scalar_code(column, self.low, self.span)
+
+    def distance(self, query: Sequence[float], code: Column) -> Column:
+        """Column: Euclidean distance of a query to what a code stands for."""
+        return vectors.euclidean(vectors.scalar_value(code, self.low, self.span), vectors.literal(query))
+
+
+class BinaryQuantiser:
+    """One bit for each component, its sign; nothing to calibrate."""
+
+    name = "binary"
+
+    def __init__(self, dimensions: int) -> None:
+        self.code_bytes = -(-dimensions // 8)
+
+    def calibrate(self, rows: DataFrame, key: str = "vec_id", column: str = "embedding") -> BinaryQuantiser:
+        return self
+
+    def code(self, column: Column) -> Column:
+        return vectors.sign_bits(column)
+
+    def distance(self, query: Sequence[float], code: Column) -> Column:
+        """Column: -1 for equal codes, 1 for opposite ones."""
+        return vectors.sign_distance(code, vectors.sign_bits(vectors.literal(query)))
+
+
 class ProductQuantiser:
     """Sub-vectors coded by the nearest of at most ``codes`` centres of their sub-space.
 
     Lloyd's steps run over all rows: a task assigns its vectors and sums them by centre, Spark adds the
     sums, and the driver gets one row for each sub-space and centre. Centres begin at evenly strided
-    vectors; the first of equally near centres counts; a centre without vectors stays.
+    vectors; the first of equally near centres counts; a centre without vectors stays. Dimensions that parts do not
+    divide are filled up with zeros.
     """
 
+    name = "product"
+
     def __init__(self, dimensions: int, parts: int | None = None, codes: int = 256, rounds: int = 8) -> None:
         self.parts = min(8, max(1, dimensions)) if parts is None else parts
-        if dimensions % self.parts:
-            raise ValueError(f"{self.parts} parts do not divide {dimensions} dimensions")
-        self.width, self.codes, self.rounds = dimensions // self.parts, codes, rounds
+        self.dimensions, self.width, self.codes, self.rounds = dimensions, -(-dimensions // self.parts), codes, rounds
+        self.code_bytes = self.parts
         self.centres = np.zeros((self.parts, 0, self.width))
 
+    def _filled(self, rows: np.ndarray) -> np.ndarray:
+        return np.pad(rows, ((0, 0), (0, self.parts * self.width - rows.shape[1])))
+
     def calibrate(self, rows: DataFrame, key: str = "vec_id", column: str = "embedding") -> ProductQuantiser:
         n = rows.count()
         k = min(self.codes, n)
@@ -80,7 +130,8 @@ class ProductQuantiser:
         place = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))[part] + at
         picks = ordered.select(place.alias("place"), column).where((F.col("place") % stride == 0) & (F.col("place") < stride * k))
         firsts = [r[column] for r in sorted(picks.collect(), key=lambda r: r["place"])]
-        self.centres = np.array(firsts, float).reshape(len(firsts), self.parts, self.width).transpose(1, 0, 2)
+        self.centres = self._filled(np.array(firsts, float)).reshape(len(firsts), self.parts, self.width).transpose(1, 0, 2)
+        filled = self._filled
         for _ in range(self.rounds):
             centres, width = self.centres, self.width
 
@@ -88,7 +139,7 @@ class ProductQuantiser:
                 total, count = np.zeros_like(centres), np.zeros(centres.shape[:2])
                 for frame in frames:
                     if len(frame):
-                        x = np.stack(frame[column].to_numpy()).astype(float)
+                        x = filled(np.stack(frame[column].to_numpy()).astype(float))
                         for p, c in enumerate(centres):
                             part = x[:, p * width : (p + 1) * width]
                             near = ((c**2).sum(1) - 2 * part @ c.T).argmin(1)
@@ -107,11 +158,11 @@ class ProductQuantiser:
 
     def code(self, column: Column) -> Column:
         """Column: the number of the nearest centre in each sub-space."""
-        centres, width = self.centres, self.width
+        centres, width, filled = self.centres, self.width, self._filled
 
         @F.pandas_udf("array<int>")
         def encode(v: pd.Series) -> pd.Series:
-            x = np.stack(v.to_numpy()).astype(float)
+            x = filled(np.stack(v.to_numpy()).astype(float))
             near = [((c**2).sum(1) - 2 * x[:, p * width : (p + 1) * width] @ c.T).argmin(1) for p, c in enumerate(centres)]
             return pd.Series(list(np.stack(near, 1).astype(np.int32)))
 
@@ -119,9 +170,18 @@ class ProductQuantiser:
 
     def distance(self, query: Sequence[float], code: Column) -> Column:
         """Column: squared distance of a query to what a code stands for, from a table of look-ups."""
-        q = np.asarray(query, float).reshape(self.parts, 1, self.width)
+        q = self._filled(np.asarray(query, float)[None, :]).reshape(self.parts, 1, self.width)
         table = ((q - self.centres) ** 2).sum(2)
         total = F.lit(0.0)
         for p in range(self.parts):
             total = total + F.element_at(vectors.literal(table[p]), F.element_at(code, p + 1) + 1)
         return total
+
+
+#: Quantisers by name; all have ``calibrate(rows)``, ``code(column)``, ``distance(query, code)`` and ``code_bytes``.
+QUANTISERS = {q.name: q for q in (ScalarQuantiser, ProductQuantiser, BinaryQuantiser)}
+
+
+def kmeans(rows: DataFrame, k: int, dimensions: int, rounds: int = 8, key: str = "vec_id", column: str = "embedding") -> np.ndarray:
+    """(k, dimensions): centres of all vectors by Lloyd's steps, as the product quantiser takes them in one sub-space."""
+    return ProductQuantiser(dimensions, 1, k, rounds).calibrate(rows, key, column).centres[0]

@@ -1,7 +1,8 @@
 """Synonyms of query terms as tables.
 
-Equivalent words and one-way replacements are links between words; expanding terms is a join with the
-links, repeated until nothing new comes or the depth is reached. Tables of synonyms can be of any size.
+Equivalent words are stars around one word that stands for their group, one-way replacements are links;
+expanding terms is a join with the links, repeated until nothing new comes or the depth is reached. Tables of
+synonyms can be of any size: a group of n words is n links and never n times n.
 """
 
 from __future__ import annotations
@@ -9,27 +10,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexigrove.sources import shared
+
 DEPTH = 4
+MOST_ROUNDS = 60
+
+
+def groups(equivalent: DataFrame) -> DataFrame:
+    """(word, name): for each word of ``equivalent`` (group, word) the least word of its group, where groups that
+    share a word are one. A group without words is refused."""
+    if not equivalent.where(F.col("word").isNull() | (F.trim("word") == "")).isEmpty():
+        raise ValueError("a group of synonyms holds no word, or an empty one")
+    members = shared.stored(equivalent.select("group", "word").distinct(), "synonyms")
+    names = members.groupBy("word").agg(F.min("word").alias("name"))
+    for _ in range(MOST_ROUNDS):  # the least name goes around in each group until none gets smaller
+        of_group = members.join(names, "word").groupBy("group").agg(F.min("name").alias("low"))
+        least = members.join(of_group, "group").groupBy("word").agg(F.min("low").alias("name"))
+        least = shared.stored(least, "synonym-names")
+        moved = least.join(names.withColumnRenamed("name", "old"), "word").where("name <> old")
+        if moved.isEmpty():
+            return least
+        names = least
+    raise RuntimeError(f"groups of synonyms did not settle in {MOST_ROUNDS} rounds")
 
 
 def links(equivalent: DataFrame, one_way: DataFrame) -> DataFrame:
-    """(term, other). ``equivalent``: group, word. ``one_way``: source, word.
+    """(term, other, kind). ``equivalent``: group, word. ``one_way``: source, word.
 
-    Words of a group lead to each other; a source leads to its words; a word leads back to its source
-    unless it is itself a source. Groups that share a word meet through it when terms are expanded.
+    Kind "name" leads from a word to the name of its group, "word" from the name to the group's words, "way" along
+    one-way replacements: a source leads to its words; a word leads back to its source unless it is itself a source.
     """
-    a, b = equivalent.select("group", F.col("word").alias("term")), equivalent.select("group", F.col("word").alias("other"))
-    same = a.join(b, "group").where("term <> other").select("term", "other")
-    forth = one_way.select(F.col("source").alias("term"), F.col("word").alias("other"))
+    named = groups(equivalent)
+    up = named.select(F.col("word").alias("term"), F.col("name").alias("other"), F.lit("name").alias("kind"))
+    down = named.select(F.col("name").alias("term"), F.col("word").alias("other"), F.lit("word").alias("kind"))
+    forth = one_way.select(F.col("source").alias("term"), F.col("word").alias("other"), F.lit("way").alias("kind"))
     sources = one_way.select(F.col("source").alias("term")).distinct()
-    back = one_way.select(F.col("word").alias("term"), F.col("source").alias("other")).join(sources, "term", "left_anti")
-    return same.unionByName(forth).unionByName(back).distinct()
+    back = one_way.select(F.col("word").alias("term"), F.col("source").alias("other"), F.lit("way").alias("kind")).join(sources, "term", "left_anti")
+    return up.unionByName(down).unionByName(forth).unionByName(back).distinct()
 
 
 def expanded(terms: DataFrame, synonyms: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(query_id, term): the terms of each query and all that they lead to within ``depth`` steps."""
+    """(query_id, term): the terms of each query and all that they lead to within ``depth`` steps; a step goes to
+    all words of a term's group, and along the one-way links."""
     out = terms.select("query_id", "term").distinct()
+    up, down, way = (synonyms.where(F.col("kind") == kind).select("term", "other") for kind in ("name", "word", "way"))
     for _ in range(depth):
-        more = out.join(synonyms, "term").select("query_id", F.col("other").alias("term"))
-        out = out.unionByName(more).distinct()
+        names = out.join(up, "term").select("query_id", F.col("other").alias("term")).distinct()
+        same = names.join(down, "term").select("query_id", F.col("other").alias("term"))
+        ways = out.join(way, "term").select("query_id", F.col("other").alias("term"))
+        out = out.unionByName(same).unionByName(ways).distinct()
     return out

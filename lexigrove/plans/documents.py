@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexigrove.functions import text, typos
 from lexigrove.operators import index, synonyms
-from lexigrove.plans.common import INDEX, TOKENS, documents, table, text_index
+from lexigrove.plans.common import INDEX, TOKENS, UNICODE_WORDS, WORDS, documents, letters_sql, table, text_index
 from lexigrove.sources import documents as source
 from lexigrove.sources import shared
 from lexigrove.sources.catalog import Catalog, Settings
@@ -73,11 +73,6 @@ def partial_merge(spark, d):
     return index.merge(docs, new)
 
 
-def delete_many(spark, d):
-    docs = documents(spark, d).select("doc_id", "source")
-    return docs.join(docs.where("doc_id % 5 < 2").select("doc_id"), "doc_id", "left_anti")
-
-
 def duplicate_keys(spark, d):
     return index.repeated_keys(documents(spark, d), "source").withColumnRenamed("count", "n")
 
@@ -105,33 +100,57 @@ def sanitize(spark, d):
     return pages.select("page_id", F.length(text.without_controls(F.col("html"))).alias("clean"), F.length(text.trimmed(F.col("html"))).alias("trimmed"))
 
 
-def typo_candidates(spark, d):
-    words = documents(spark, d).select(F.explode(F.expr("slice(split(lower(regexp_replace(text, '[^A-Za-z ]', '')), ' +'), 1, 3)")).alias("term"))
-    words = words.where("term <> ''").distinct()
-    each = words.select("term", F.posexplode(typos.substitutions(F.col("term"))).alias("place", "candidate"))
-    return each.groupBy("term").agg(F.count("*").alias("n"), F.min("candidate").alias("low"), F.max("candidate").alias("high"), F.max(typos.allowed(F.length("term"))).alias("allowed"))
+def token_offsets(spark, d):
+    """Every word of every text, as it stood there and where."""
+    found = text.analysed(documents(spark, d), ["text"], stop_words=STOP)
+    return found.groupBy("doc_id").agg(
+        F.count("*").alias("n"), F.sum("pos").cast("long").alias("pos"), F.sum("start").alias("start"), F.sum("end").alias("end"),
+        F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "original"))), lambda x: x["original"]), " ").cast("binary")).alias("originals"),
+    )
 
 
-def typo_candidates_whole(spark, d):
-    """The candidates of every distinct word of whole texts, where ``typo_candidates`` takes three words a text, as its SQL does."""
+def typo_candidates(spark, d):
     words = text.tokens(documents(spark, d), ["text"]).select("term").distinct()
     made = words.select("term", typos.substitutions(F.col("term")).alias("made"))
     each = made.select("term", F.size("made").cast("long").alias("n"), F.array_min("made").alias("low"), F.array_max("made").alias("high"))
     return each.withColumn("allowed", typos.allowed(F.length("term")))
 
 
+def typo_helpers(spark, d):
+    """Distance of each word to the word with its first letters swapped, what that costs, and prefixes."""
+    words = text_index(spark, d).terms().where(F.length("term") >= 4)
+    other = F.concat(F.substring("term", 2, 1), F.substring("term", 1, 1), F.substring("term", 3, 1000), F.when(F.length("term") % 2 == 0, "q").otherwise(""))
+    rows = words.select("term", other.alias("other")).withColumn("distance", typos.edit_distance("term", "other"))
+    return rows.select("term", "distance", typos.penalty(F.col("distance")).alias("penalty"), typos.is_prefix(F.upper("term"), F.substring("term", 1, 3)).alias("begins"))
+
+
+def _asked(spark, d):
+    return text.tokens(table(spark, d, "conversations"), ["text"], "conv_id").select(F.col("term").alias("query")).distinct()
+
+
 def typo_fuzzy_dict(spark, d):
-    terms = text_index(spark, d).terms()
-    asked = terms.orderBy(F.desc("total_tf"), "term").limit(50).select(F.concat("term", F.lit("xa")).alias("query"))
-    return typos.fuzzy(asked, terms)
+    """For every word of all conversations, its best words of the documents' dictionary."""
+    return typos.fuzzy(_asked(spark, d), text_index(spark, d).terms())
+
+
+def typo_fuzzy_all(spark, d):
+    """The same for one typo at most, and all words within it."""
+    return typos.fuzzy(_asked(spark, d), text_index(spark, d).terms(), "min", None)
+
+
+def synonym_links(spark, d):
+    """Synonyms from the documents: words with the same first five letters are a group, and a word leads one way to
+    itself with an s."""
+    terms = text_index(spark, d).terms().select("term").where(F.length("term") >= 7)
+    groups = terms.select(F.concat(F.lit("<"), F.substring("term", 1, 5)).alias("group"), F.col("term").alias("word"))
+    one_way = terms.alias("a").join(terms.alias("b"), F.concat("a.term", F.lit("s")) == F.col("b.term"))
+    return synonyms.links(groups, one_way.select(F.col("a.term").alias("source"), F.col("b.term").alias("word")))
 
 
 def synonym_terms(spark, d):
-    nation, region = table(spark, d, "nation"), table(spark, d, "region")
-    groups = nation.select(F.col("n_regionkey").alias("group"), F.lower("n_name").alias("word"))
-    one_way = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.lower("r_name").alias("source"), F.lower("n_name").alias("word"))
-    asked = region.select(F.col("r_regionkey").alias("query_id"), F.lower("r_name").alias("term"))
-    return synonyms.expanded(asked, synonyms.links(groups, one_way))
+    """What the long words of all conversations lead to."""
+    asked = _asked(spark, d).select(F.col("query").alias("query_id"), F.col("query").alias("term")).where(F.length("term") >= 7)
+    return synonyms.expanded(asked, synonym_links(spark, d), 2)
 
 
 def snapshot_restore(spark, d):
@@ -169,33 +188,37 @@ def stream_upsert(spark, d):
 
 def stream_windows(spark, d):
     stream = _event_stream(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
-    out, progress = shared.new_path(spark, "windows"), shared.new_path(spark, "progress")
-    counts = ingest.windowed_counts(stream, "ts", "event_type", "1 day", "3650 days")
-    name = "w" + out.rsplit("-", 1)[1]
-    query = counts.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", progress).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name).select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    kept = Table(spark, shared.new_path(spark, "windows"))
+    ingest.counting(stream, kept, "ts", "event_type", shared.new_path(spark, "progress"), "1 day", "3650 days").awaitTermination()
+    return kept.read().select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
-_WORDS = r"regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+')"
 _LETTERS = "'" + "', '".join("abcdefghijklmnopqrstuvwxyz") + "'"
 _NEW = "SELECT doc_id + 1 AS doc_id, 'xx' AS lang, NULL::VARCHAR AS source FROM documents WHERE doc_id % 2 = 0"
 
 QUERIES = {
     "tokenize_counts": (tokenize_counts, f"WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM tokens GROUP BY doc_id"),
-    "unicode_token_counts": (unicode_token_counts, None),
+    "unicode_token_counts": (unicode_token_counts, f"WITH t AS (SELECT doc_id, nfc_normalize(text) AS text FROM documents) SELECT doc_id, len({UNICODE_WORDS})::BIGINT AS n_tokens FROM t"),
+    "token_offsets": (
+        token_offsets,
+        rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}]+') AS words, regexp_split_to_array(text, '[\p{{L}}\p{{M}}\p{{N}}]+') AS gaps FROM documents),
+each AS (SELECT doc_id, unnest(words) AS original, unnest(gaps[1:len(words)]) AS gap, generate_subscripts(words, 1) - 1 AS pos FROM t),
+placed AS (SELECT *, sum(length(gap) + length(original)) OVER (PARTITION BY doc_id ORDER BY pos) AS ending FROM each)
+SELECT doc_id, count(*) AS n, sum(pos)::BIGINT AS pos, sum(ending - length(original))::BIGINT AS start, sum(ending)::BIGINT AS "end", md5(string_agg(original, ' ' ORDER BY pos)) AS originals
+FROM placed WHERE lower(original) NOT IN {STOP} GROUP BY doc_id""",
+    ),
     "stopword_filter": (stopword_filter, f"WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens FROM tokens WHERE term NOT IN {STOP} GROUP BY doc_id"),
     "build_postings": (build_postings, f"WITH {INDEX} SELECT * FROM postings"),
     "term_stats": (term_stats, f"WITH {INDEX} SELECT term, count(*) AS doc_freq, sum(tf)::BIGINT AS total_tf FROM postings GROUP BY term"),
     "field_term_stats": (
         field_term_stats,
         rf"""WITH every AS (
-  SELECT 'text' AS field, unnest({_WORDS}) AS term FROM documents UNION ALL
+  SELECT 'text' AS field, unnest({WORDS}) AS term FROM documents UNION ALL
   SELECT 'source', unnest(regexp_extract_all(lower(source), '[\p{{L}}\p{{M}}\p{{N}}]+')) FROM documents),
 sums AS (SELECT term, field, count(*) AS n FROM every GROUP BY ALL)
 SELECT term, '{{' || string_agg('"' || field || '":' || n, ',' ORDER BY field) || '}}' AS by_field FROM sums GROUP BY term""",
     ),
-    "doc_lengths": (doc_lengths, f"SELECT doc_id, len({_WORDS})::BIGINT AS length FROM documents"),
+    "doc_lengths": (doc_lengths, f"SELECT doc_id, len({WORDS})::BIGINT AS length FROM documents"),
     "collection_stats": (
         collection_stats,
         f"WITH {INDEX} SELECT count(*) AS doc_count, sum(length)::BIGINT AS total_length, round(avg(length), 6) AS avg_length FROM lengths",
@@ -214,7 +237,6 @@ SELECT term, '{{' || string_agg('"' || field || '":' || n, ',' ORDER BY field) |
         f"WITH new AS ({_NEW}) SELECT coalesce(n.doc_id, o.doc_id) AS doc_id, coalesce(n.lang, o.lang) AS lang, coalesce(n.source, o.source) AS source "
         "FROM documents o FULL OUTER JOIN new n ON o.doc_id = n.doc_id",
     ),
-    "delete_many": (delete_many, "SELECT doc_id, source FROM documents WHERE doc_id % 5 >= 2"),
     "duplicate_keys": (duplicate_keys, "SELECT source, count(*) AS n FROM documents GROUP BY source HAVING count(*) > 1 OR source IS NULL OR source = ''"),
     "list_docs": (list_docs, "SELECT doc_id, lang FROM documents ORDER BY doc_id::VARCHAR LIMIT 50 OFFSET 100"),
     "export_json": (
@@ -238,19 +260,44 @@ SELECT term, '{{' || string_agg('"' || field || '":' || n, ',' ORDER BY field) |
     ),
     "typo_candidates": (
         typo_candidates,
-        rf"""WITH words AS (
-  SELECT DISTINCT unnest(regexp_split_to_array(lower(regexp_replace(text, '[^A-Za-z ]', '', 'g')), ' +')[1:3]) AS term FROM documents),
-places AS (SELECT term, unnest(range(1, length(term) + 1)) AS i FROM words WHERE term <> ''),
-every AS (SELECT term, i, unnest([{_LETTERS}]) AS c FROM places),
-made AS (SELECT term, substr(term, 1, i - 1) || c || substr(term, i + 1) AS candidate FROM every WHERE c <> substr(term, i, 1))
-SELECT term, count(*) AS n, min(candidate) AS low, max(candidate) AS high,
-       CASE WHEN length(term) >= 9 THEN 2 WHEN length(term) >= 5 THEN 1 ELSE 0 END AS allowed FROM made GROUP BY term""",
+        rf"""WITH {TOKENS}, words AS (SELECT DISTINCT term FROM tokens),
+made AS (SELECT term, flatten(list_transform(range(1, length(term) + 1), lambda i: list_transform(list_filter([{_LETTERS}], lambda c: c <> substr(term, i, 1)),
+  lambda c: substr(term, 1, i - 1) || c || substr(term, i + 1)))) AS made FROM words)
+SELECT term, len(made)::BIGINT AS n, list_min(made) AS low, list_max(made) AS high,
+       CASE WHEN length(term) >= 9 THEN 2 WHEN length(term) >= 5 THEN 1 ELSE 0 END AS allowed FROM made""",
+    ),
+    "typo_helpers": (
+        typo_helpers,
+        rf"""WITH {TOKENS}, words AS (SELECT DISTINCT term FROM tokens WHERE length(term) >= 4),
+plain AS (SELECT term, {letters_sql('term')} AS p FROM words),
+far AS (SELECT term, damerau_levenshtein(p, substr(p, 2, 1) || substr(p, 1, 1) || substr(p, 3) || CASE WHEN length(p) % 2 = 0 THEN 'q' ELSE '' END)::INTEGER AS distance FROM plain)
+SELECT term, distance, CASE WHEN distance = 0 THEN 0.0 ELSE 0.5 / distance END::DOUBLE AS penalty, true AS begins FROM far""",
     ),
-    "typo_candidates_whole": (typo_candidates_whole, None),
     "typo_fuzzy_dict": (typo_fuzzy_dict, None),
+    "typo_fuzzy_all": (
+        typo_fuzzy_all,
+        rf"""WITH {TOKENS}, terms AS (SELECT DISTINCT term FROM tokens), asked AS (SELECT DISTINCT unnest({WORDS}) AS query FROM conversations),
+t AS (SELECT term, {letters_sql('term')} AS p FROM terms), a AS (SELECT query, {letters_sql('query')} AS q FROM asked)
+SELECT query, term, damerau_levenshtein(q, p)::INTEGER AS distance FROM a JOIN t
+ON (length(q) < 5 AND q = p) OR (length(q) >= 5 AND length(p) BETWEEN length(q) - 1 AND length(q) + 1 AND damerau_levenshtein(q, p) <= 1)""",
+    ),
+    "synonym_links": (
+        synonym_links,
+        rf"""WITH {TOKENS}, terms AS (SELECT DISTINCT term FROM tokens WHERE length(term) >= 7),
+named AS (SELECT term, min(term) OVER (PARTITION BY substr(term, 1, 5)) AS name FROM terms),
+ways AS (SELECT a.term AS source, b.term AS word FROM terms a JOIN terms b ON b.term = a.term || 's')
+SELECT term, name AS other, 'name' AS kind FROM named UNION SELECT name, term, 'word' FROM named UNION SELECT source, word, 'way' FROM ways
+UNION SELECT word, source, 'way' FROM ways WHERE word NOT IN (SELECT source FROM ways)""",
+    ),
     "synonym_terms": (
         synonym_terms,
-        "SELECT r_regionkey AS query_id, lower(r_name) AS term FROM region UNION SELECT n_regionkey, lower(n_name) FROM nation",
+        rf"""WITH {TOKENS}, terms AS (SELECT DISTINCT term FROM tokens WHERE length(term) >= 7),
+ways AS (SELECT a.term AS source, b.term AS word FROM terms a JOIN terms b ON b.term = a.term || 's'),
+links AS (SELECT a.term, b.term AS other FROM terms a JOIN terms b ON substr(a.term, 1, 5) = substr(b.term, 1, 5) UNION SELECT source, word FROM ways
+  UNION SELECT word, source FROM ways WHERE word NOT IN (SELECT source FROM ways)),
+asked AS (SELECT query_id, query_id AS term FROM (SELECT DISTINCT unnest({WORDS}) AS query_id FROM conversations) WHERE length(query_id) >= 7),
+one AS (SELECT * FROM asked UNION SELECT query_id, other FROM asked JOIN links USING (term))
+SELECT * FROM one UNION SELECT query_id, other FROM one JOIN links USING (term)""",
     ),
     "snapshot_restore": (snapshot_restore, "SELECT doc_id, lang, source FROM documents"),
     "collection_upkeep": (
@@ -260,3 +307,6 @@ SELECT term, count(*) AS n, min(candidate) AS low, max(candidate) AS high,
     "stream_upsert": (stream_upsert, "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id"),
     "stream_windows": (stream_windows, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL"),
 }
+
+#: The same query under the name that it had where "typo_candidates" took the first words of a text only.
+QUERIES["typo_candidates_whole"] = QUERIES["typo_candidates"]

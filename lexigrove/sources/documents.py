@@ -24,6 +24,13 @@ def as_json(docs: DataFrame) -> DataFrame:
     return docs.select(F.to_json(F.struct(*docs.columns), {"ignoreNullFields": "false"}).alias("json"))
 
 
+def page_as_json(page: DataFrame, *order: str) -> DataFrame:
+    """One row, ``json``: the rows of a page as one JSON array, in the order of its columns ``order``. A page is
+    small; ``export`` writes tables of any size."""
+    rows = F.array_sort(F.collect_list(F.struct(*(F.col(c) for c in order), F.struct(*page.columns).alias("__row"))))
+    return page.agg(F.to_json(F.transform(rows, lambda r: r["__row"]), {"ignoreNullFields": "false"}).alias("json"))
+
+
 def csv_text(column: Column) -> Column:
     """Column: a value as a CSV field; quoted if it holds a comma, a quote or a line feed; null is empty."""
     value = F.coalesce(column.cast("string"), F.lit(""))

@@ -2,7 +2,7 @@
 
 A table is a folder of Parquet folders ``v=<number>``; the highest complete one counts. Writers add a
 version and readers see the old one until the new one is complete, as Spark marks it with ``_SUCCESS``.
-A snapshot is a version of its own under ``snapshots`` with the number of rows and a content hash.
+A snapshot is a version of its own under ``snapshots`` with the number of rows, a content hash and a time.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexigrove.sources import shared
+
 
 class Table:
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -47,19 +49,37 @@ class Table:
         """One row: number of rows and a hash that does not depend on their order."""
         return rows.select(F.xxhash64(*rows.columns).alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash"))
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Removes all but the newest ``keep`` versions, which readers may still have open; returns how many went."""
+        gone = self.versions()[: -max(1, keep)]
+        for number in gone:
+            shared.delete(self.spark, f"{self.path}/v={number}")
+        return len(gone)
+
     def snapshot(self, name: str) -> None:
         rows = self.read()
         rows.write.parquet(f"{self.path}/snapshots/{name}")
-        self.content(self.spark.read.parquet(f"{self.path}/snapshots/{name}")).write.parquet(f"{self.path}/manifests/{name}")
+        manifest = self.content(self.spark.read.parquet(f"{self.path}/snapshots/{name}")).withColumn("made_at", F.current_timestamp())
+        manifest.write.parquet(f"{self.path}/manifests/{name}")
 
-    def snapshots(self) -> list[str]:
-        return self._folders(f"{self.path}/manifests", "")
+    def snapshots(self) -> DataFrame:
+        """(name, rows, hash, made_at) of all snapshots, newest first."""
+        out = self.spark.createDataFrame([], "name string, rows long, hash long, made_at timestamp")
+        for name in self._folders(f"{self.path}/manifests", ""):
+            out = out.unionByName(self.spark.read.parquet(f"{self.path}/manifests/{name}").withColumn("name", F.lit(name)))
+        return out.orderBy(F.desc("made_at"), "name")
+
+    def delete_snapshot(self, name: str) -> None:
+        if name not in self._folders(f"{self.path}/manifests", ""):
+            raise ValueError(f"no snapshot {name}")
+        for part in ("manifests", "snapshots"):
+            shared.delete(self.spark, f"{self.path}/{part}/{name}")
 
     def restore(self, name: str) -> int:
         """Checks a snapshot against its manifest and makes it the newest version."""
-        if name not in self.snapshots():
+        if name not in self._folders(f"{self.path}/manifests", ""):
             raise ValueError(f"no snapshot {name}")
         rows = self.spark.read.parquet(f"{self.path}/snapshots/{name}")
-        if self.content(rows).first() != self.spark.read.parquet(f"{self.path}/manifests/{name}").first():
+        if self.content(rows).first() != self.spark.read.parquet(f"{self.path}/manifests/{name}").select("rows", "hash").first():
             raise ValueError(f"snapshot {name} does not match its manifest")
         return self.write(rows)

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +7,7 @@ from lexigrove.functions import typos
 from lexigrove.operators import boolean, facets, fusion, index, ranking, synonyms
 from lexigrove.plans import catalogue
 from lexigrove.operators.boolean import Phrase, Term
-from lexigrove.operators.search import Collection, Request, Rule, multi_search
+from lexigrove.operators.search import Collection, Request, Rule, RuleSummary, multi_search
 
 
 @pytest.fixture(scope="module")
@@ -74,7 +76,10 @@ def test_pages_rules_and_facets(docs, idx):
     assert counts == {"x": 2, "y": 1}
     assert c.page(Request(terms=["fox"], highlight=["text"])).orderBy("place").first()["text_highlight"] == "the <em>fox</em>"
     assert sorted(r["tag"] for r in c.hits(Request(terms=["the"], distinct="tag")).collect()) == ["x", "y"]
-    assert multi_search([(c, Request(terms=["fox"])), (c, Request(terms=["dog"]))]).count() == 3
+    spark = docs.sparkSession
+    several = [(c, Request(terms=["fox"])), (None, Request()), (c, Request(filter="nothing = 1")), (c, Request(terms=["dog"]))]
+    assert sorted((r["query"], r["doc_id"]) for r in multi_search(spark, several).collect()) == [(0, "1"), (0, "3"), (3, "2")]
+    assert multi_search(spark, []).count() == 0
     assert [r["term"] for r in c.autocomplete("l").collect()] == ["lazy"]
 
 
@@ -116,9 +121,23 @@ def test_typos(spark):
     assert [(r["term"], r["distance"]) for r in found.collect()] == [("quikc", 0), ("quick", 1)]
 
 
+def test_fuzzy_is_all_pairs(spark):
+    """Words that meet by what is left when characters are dropped are all words within the edits."""
+    dice = random.Random(4)
+    words = sorted({"".join(dice.choice("abé") for _ in range(dice.randint(1, 11))) for _ in range(250)} | {"abababababab", "bababababab"})
+    terms = spark.createDataFrame([(w, len(w)) for w in words], "term string, total_tf long")
+    asked = spark.createDataFrame([(w,) for w in words[::4] + words[:3]], "query string")
+    for level in ("default", "min", "disabled"):
+        room = lambda w, level=level: 0 if level == "disabled" else int(len(w) >= 5) + int(level == "default" and len(w) >= 9)
+        want = {(q, w, typos.edits(q, w)) for q in {*words[::4], *words[:3]} for w in words if typos.edits(q, w) <= room(q)}
+        assert {tuple(r) for r in typos.fuzzy(asked, terms, level, None).collect()} == want
+    cut = typos.fuzzy(asked, terms, "default", 3).groupBy("query").count().agg(F.max("count")).first()[0]
+    assert cut == 3
+
+
 def test_typo_candidates_of_whole_texts(spark, tmp_path):
     spark.createDataFrame([(1, "One two three fourthword caf\u00e9"), (2, "one"), (3, None), (4, "")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["term"]: (r["n"], r["low"], r["high"], r["allowed"]) for r in catalogue.queries()["typo_candidates_whole"](spark, str(tmp_path)).collect()}
+    got = {r["term"]: (r["n"], r["low"], r["high"], r["allowed"]) for r in catalogue.queries()["typo_candidates"](spark, str(tmp_path)).collect()}
     want = {}
     for w in ("one", "two", "three", "fourthword", "caf\u00e9"):
         made = [w[:i] + c + w[i + 1 :] for i in range(len(w)) for c in typos.LETTERS if c != w[i]]
@@ -134,3 +153,67 @@ def test_synonyms(spark):
     for r in synonyms.expanded(asked, synonyms.links(groups, one_way)).collect():
         found.setdefault(r["query_id"], set()).add(r["term"])
     assert found == {1: {"fast", "quick", "rapid"}, 2: {"phone", "mobile", "cell"}, 3: {"cell", "mobile"}}
+    with pytest.raises(ValueError):
+        synonyms.groups(groups.union(spark.createDataFrame([(3, "")], groups.schema)))
+    chain = spark.createDataFrame([(i, f"w{j:02}") for i in range(20) for j in (i, i + 1)], "group int, word string")
+    assert {r["name"] for r in synonyms.groups(chain).collect()} == {"w00"}  # groups that share words are one, however many steps apart
+
+
+def test_request_from_a_text(spark, docs, idx):
+    c = Collection(docs, idx)
+    assert c.terms("The, QUICK fox's") == ["the", "quick", "fox", "s"]
+    request = c.request("quikc foxes", typo="min")
+    assert request.terms == ["foxes", "quick", "quikc"] and ("quick", "quikc", 1, False) in request.meant
+    assert ids(c.page(request)) == [1]
+    links = synonyms.links(spark.createDataFrame([(1, "cat"), (1, "dog")], "g int, word string").withColumnRenamed("g", "group"), spark.createDataFrame([], "source string, word string"))
+    assert ids(c.page(c.request("cat", links=links))) == [2]
+    stemmed = Collection(docs, index.build(docs, ["text"], stop_words=["the"], stem=True), stop_words=["the"], stem=True)
+    assert stemmed.terms("the foxes lazily") == ["fox", "lazili"]
+    assert sorted(ids(stemmed.page(stemmed.request("the foxes")))) == [1, 3]
+
+
+def test_named_ranking_rules(spark):
+    rows = [(1, "red", "blue blue blue"), (2, "x", "red and some words blue"), (3, "x", "red blue"), (4, "x", "reds blue")]
+    docs = spark.createDataFrame(rows, "doc_id long, title string, text string")
+    c = Collection(docs, index.build(docs, ["title", "text"]), text_field="title", fields=["title", "text"])
+    place = lambda *names, **more: ids(c.page(c.request("red blue", ranking=names, **more)))
+    assert place("words", "proximity")[-1] == 4 and place("words", "proximity")[:2] != [2, 4]
+    assert place("attribute")[0] == 1
+    assert place("words", "sort", sort=["doc_id:desc"]) == [3, 2, 1, 4]
+    assert place("words", "proximity")[0] in (1, 3)
+    exact = c.request("reds blue", typo="min", ranking=["exactness"])
+    assert ids(c.page(exact))[0] == 4
+    with pytest.raises(ValueError):
+        Request(ranking=["luck"])
+    for bad in ({"limit": 0}, {"offset": -1}):
+        with pytest.raises(ValueError):
+            Request(**bad)
+
+
+def test_conditions_see_all_fields(spark):
+    docs = spark.createDataFrame([(1, "a b", "c d"), (2, "b c", None)], "doc_id long, x string, y string")
+    c = Collection(docs, index.build(docs, ["x", "y"]), text_field="x", fields=["x", "y"])
+    assert ids(c.page(Request(condition=Term("c")))) == [2, 1]
+    assert ids(c.page(Request(condition=Phrase("b", "c")))) == [2]  # no phrase spans two fields
+    assert ids(c.page(Request(condition=~Term("c")))) == []
+
+
+def test_rule_summary():
+    rules = [Rule("fox", hide=(1,), pin=((2, 1),), filter="true", sort=("a:desc", "b"), name="r"), Rule("dog"), Rule("f", enabled=False)]
+    assert Request(terms=["fox"], rules=rules).summary() == RuleSummary(("r",), ((2, 1),), (1,), 1, 2)
+
+
+def test_index_is_loaded_from_its_folder(spark, docs, tmp_path):
+    written = index.build(docs, ["text"]).write(f"file://{tmp_path}/i")
+    again = index.load(spark, f"file://{tmp_path}/i")
+    assert again.numbers == written.numbers == (4, 9 / 4)
+    assert sorted(map(tuple, ranking.bm25(again, ["fox"]).collect())) == sorted(map(tuple, ranking.bm25(written, ["fox"]).collect()))
+    plan = index.build(docs, ["text"]).postings._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(term") == 1 and plan.count("hashpartitioning") == 1  # words meet in one shuffle
+
+
+def test_ranks_over_ranges(spark):
+    rows = [(i, float(i * 7 % 50)) for i in range(200)]
+    out = fusion.ranked(spark.createDataFrame(rows, "doc_id long, score double").repartition(5)).collect()
+    assert [r["doc_id"] for r in sorted(out, key=lambda r: r["rank"])] == [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
+    assert [r["rank"] for r in sorted(out, key=lambda r: r["rank"])] == list(range(1, 201))

@@ -1,7 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lexigrove.functions import text
+from lexigrove.functions import checks, text
 from lexigrove.functions.stemming import english_stem
 from lexigrove.sources import documents as source
 
@@ -25,6 +26,7 @@ def one(spark, column, value=None):
 def test_words(spark):
     assert one(spark, text.words(F.lower("t")), "Hello world! It's 3.14, e-mail") == ["hello", "world", "it's", "3.14", "e", "mail"]
     assert one(spark, text.words(F.col("t"))) == []
+    assert one(spark, text.words(F.col("t")), "漢字かな カタカナ x漢y a.b 1,5") == ["漢", "字", "か", "な", "カタカナ", "x", "漢", "y", "a.b", "1,5"]
     assert one(spark, text.words(text.normal(F.col("t"), nfc=True)), "Café") == ["café"]
 
 
@@ -53,7 +55,7 @@ def test_highlight_keeps_the_text(spark):
 
 def test_readable_bytes(spark):
     df = spark.createDataFrame([(5,), (2048,), (3 * 1024**3,)], "n long")
-    assert [r[0] for r in df.select(text.readable_bytes(F.col("n"))).collect()] == ["5 B", "2.00 KiB", "3.00 GiB"]
+    assert [r[0] for r in df.select(text.readable_bytes(F.col("n"))).collect()] == ["5 B", "2.00 KB", "3.00 GB"]
 
 
 def test_csv_and_json(spark):
@@ -65,3 +67,42 @@ def test_csv_and_json(spark):
 def test_json_lines_without_objects_are_left_out(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"a": 1}\n[1]\n5\n{"a": 2}\n')
     assert sorted(r["a"] for r in source.read_json(spark, str(tmp_path), "a int").collect()) == [1, 2]
+
+
+def test_text_of_nested_values(spark):
+    schema = "x struct<b: string, a: array<array<int>>, c: map<string, boolean>>, y array<string>"
+    df = spark.createDataFrame([((("q"), [[1, 2], None, [3]], {"z": True, "k": None}), ["a", None, "b"]), (None, None)], schema)
+    of = lambda c, sep: [r[0] for r in df.select(text.as_text(F.col(c), sep, df.schema[c].dataType)).collect()]
+    assert of("x", "-") == ["1-2--3-q--true", ""] and of("y", " ") == ["a  b", ""]
+
+
+def test_original_forms_and_places(spark):
+    value = "  The QUICK, brown\nfoxes! é "
+    docs = spark.createDataFrame([(1, value), (1, value), (2, None), (3, "")], "doc_id long, body string")
+    rows = text.analysed(docs, ["body"], stop_words=["the"], stem=True).where("doc_id = 1").orderBy("pos").collect()
+    assert [(r["pos"], r["term"], r["original"]) for r in rows[::2]] == [(1, "quick", "QUICK"), (2, "brown", "brown"), (3, "fox", "foxes"), (4, "é", "é")]
+    assert all(value[r["start"] : r["end"]] == r["original"] for r in rows) and len(rows) == 8
+
+
+def test_durations(spark):
+    texts = ["250ms", "1.5h", "2", " 3d ", "5us", "7µs", "x", "", "4 s", "-1s", ".5m", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    got = [r[0] for r in df.select(text.duration_seconds(F.col("t"))).collect()]
+    assert got == [0.25, 5400.0, 2.0, 259200.0, pytest.approx(5e-6), pytest.approx(7e-6), None, None, None, None, 30.0, None]
+
+
+def test_checks(spark):
+    names = ["a-b_1", "stats", "a b", "", None, "x" * 513, "f.g"]
+    df = spark.createDataFrame([(t,) for t in names], "t string").coalesce(1)
+    of = lambda f: [r[0] for r in df.select(f(F.col("t"))).collect()]
+    assert of(checks.collection_name) == [True, False, False, False, False, False, False]
+    assert of(checks.field_name) == [False, True, False, False, False, False, True]
+    assert of(checks.key_text) == [True, True, True, False, False, False, True]
+    assert of(checks.query_text) == [True, True, True, True, False, True, True]
+    with pytest.raises(TypeError):
+        checks.as_key("t", T.BooleanType())
+
+
+def test_page_as_json(spark):
+    df = spark.createDataFrame([(2, None), (1, "x")], "i int, s string")
+    assert source.page_as_json(df, "i").first()[0] == '[{"i":1,"s":"x"},{"i":2,"s":null}]'

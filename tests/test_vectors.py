@@ -63,8 +63,35 @@ def test_product_quantiser(rows):
     for r in got[:10]:
         parts = np.array(r["embedding"]).reshape(4, 2)
         assert r["code"] == [int(((c - x) ** 2).sum(1).argmin()) for c, x in zip(model.centres, parts, strict=True)]
-    with pytest.raises(ValueError):
-        neighbours.ProductQuantiser(9, parts=8)
+    odd = rows.withColumn("embedding", F.slice("embedding", 1, 7))  # filled up with zeros
+    model = neighbours.ProductQuantiser(7, parts=4, codes=60, rounds=1).calibrate(odd)
+    one = odd.first()["embedding"]
+    assert odd.select(F.min(model.distance(one, model.code(F.col("embedding"))))).first()[0] == pytest.approx(0, abs=1e-9)
+
+
+def test_kmeans(rows):
+    x = np.array([r["embedding"] for r in rows.orderBy("vec_id").collect()])
+    centres = x[[i * (60 // 5) for i in range(5)]]
+    for _ in range(4):
+        near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
+        centres = np.array([x[near == c].mean(0) if (near == c).any() else centres[c] for c in range(5)])
+    assert np.allclose(neighbours.kmeans(rows, 5, 8, rounds=4), centres)
+
+
+def test_quantisers_by_name(rows):
+    assert {name: q(8).code_bytes for name, q in neighbours.QUANTISERS.items()} == {"scalar-int8": 8, "product": 8, "binary": 1}
+    for q in neighbours.QUANTISERS.values():
+        model = q(8).calibrate(rows)
+        one = rows.first()["embedding"]
+        near = rows.select("vec_id", model.distance(one, model.code(F.col("embedding"))).alias("d")).orderBy("d", "vec_id").first()
+        assert near["d"] <= 0.1
+
+
+def test_kinds_of_embeddings(spark):
+    schema = "k int, e struct<dense: array<double>, sparse: map<int, double>, multi: array<array<double>>>"
+    df = spark.createDataFrame([(1, ([3.0, 4.0], None, None)), (2, (None, {5: 2.0}, None)), (3, (None, None, [[1.0, 0.0], [0.0, 2.0]])), (4, (None, None, None))], schema)
+    got = {r["k"]: (r["c"], r["d"], r["e"], r["n"]) for r in df.select("k", v.similarity(F.col("e"), F.col("e")).alias("c"), v.similarity(F.col("e"), F.col("e"), "dot").alias("d"), v.similarity(F.col("e"), F.col("e"), "euclidean").alias("e"), v.embedding_dimension(F.col("e")).alias("n")).collect()}
+    assert got == {1: (1.0, 25.0, 0.0, 2), 2: (1.0, 4.0, 0.0, 6), 3: (5.0, 5.0, 5.0, 2), 4: (0.0, 0.0, 0.0, 0)}
 
 
 def test_product_quantiser_begins_at_strided_rows(rows, spark):
