@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexigrove.llm import common
+from lexigrove.sources import shared
 
 MOST_ROUNDS = 60
+LEAST_FILES, FILE_LINKS = 8, 500_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -36,18 +38,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(links: DataFrame, first: str = "a", second: str = "b") -> DataFrame:
     """(node, component): for every document with a link, the least id that it can be reached from.
 
-    Ends when a round changes no link, that is when the links form stars around least ids.
+    Ends when a round changes no link, that is when the links form stars around least ids. A round makes no
+    more links than there were, so their number says how many files are enough for them.
     """
     edges = links.select(F.greatest(first, second).alias("a"), F.least(first, second).alias("b"))
     edges = common.stored(edges.where(F.col("a") != F.col("b")).distinct(), "links")
-    before = None
-    for _ in range(MOST_ROUNDS):
-        edges = common.stored(_star(_star(edges, large=True), large=False), "links")
-        now = edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
+    sums = F.count("*").alias("n"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.col("b").cast("decimal(38,0)"))
+    before = edges.agg(*sums).first()
+    for _ in range(MOST_ROUNDS if before["n"] else 0):
+        last, edges = edges, common.stored(_star(_star(edges, large=True), large=False).coalesce(LEAST_FILES + before["n"] // FILE_LINKS), "links")
+        shared.drop(last)  # what is left reads the new table only
+        now = edges.agg(*sums).first()
         if now == before:
             break
         before = now
     else:
-        raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
+        if before["n"]:
+            raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

@@ -213,26 +213,29 @@ def similar_across(rows: DataFrame, percent: int) -> DataFrame:
     buckets comes from the first of its bands only.
     """
     spread = rows.where(F.col("size") > CELL)
+    # Blocks of a bucket: one or more for each component of more than CELL members, and those that the others share. A
+    # bucket's list has a name for each CELL members.
     parts = spread.groupBy("key", "component").agg(F.count("*").alias("n"))
-    # Blocks of a bucket: one or more for each component of more than CELL members, and those that the others share.
-    large = parts.where(F.col("n") > CELL).select("key", "component", F.ceil(F.col("n") / CELL).cast("int").alias("blocks"))
-    mixed = parts.where(F.col("n") <= CELL).groupBy("key").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("blocks"))
-    mixed = mixed.select("key", F.lit(None).cast("long").alias("component"), "blocks")
-    blocks = large.unionByName(mixed).withColumn("no", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    named = blocks.select("key", F.concat_ws("-", F.coalesce(F.col("component").cast("string"), F.lit("")), F.col("no").cast("string")).alias("block"), "component")
+    blocks = F.ceil(F.col("n") / CELL).cast("int")
+    large = F.when(F.col("n") > CELL, F.struct("component", blocks.alias("blocks")))
+    mixed = F.ceil(F.sum(F.when(F.col("n") <= CELL, F.col("n"))) / CELL).cast("int")
+    layout = parts.groupBy("key").agg(F.map_from_entries(F.collect_list(large)).alias("own"), F.coalesce(mixed, F.lit(0)).alias("shared"))
+    numbered = lambda name, n: F.transform(F.when(n > 0, F.sequence(F.lit(0), n - 1)), lambda i: F.concat(name, F.lit("-"), i.cast("string")))
+    members = spread.join(layout, "key").withColumn("mine", F.col("own")[F.col("component")])
+    share = F.when(F.col("mine").isNotNull(), F.pmod(F.hash("node"), F.col("mine"))).otherwise(F.pmod(F.hash("component"), F.col("shared")))
+    name = F.when(F.col("mine").isNotNull(), F.col("component").cast("string")).otherwise(F.lit(""))
     # A component's own blocks do not meet; all others do, and the shared ones also meet themselves.
-    met = named.alias("x").join(named.alias("y"), "key").where("x.component is null or y.component is null or x.component <> y.component")
-    others = met.groupBy("key", F.col("x.block").alias("block")).agg(F.collect_list("y.block").alias("others"))  # a name for each CELL members
-    members = spread.join(large.withColumnRenamed("blocks", "own"), ["key", "component"], "left").join(mixed.select("key", F.col("blocks").alias("shared")), "key", "left")
-    block = F.when(F.col("own").isNotNull(), F.concat(F.col("component").cast("string"), F.lit("-"), F.pmod(F.hash("node"), F.col("own")).cast("string")))
-    block = F.coalesce(block, F.concat(F.lit("-"), F.pmod(F.hash("component"), F.col("shared")).cast("string")))
-    dealt = members.withColumn("block", block).join(others, ["key", "block"]).withColumn("other", F.explode("others"))
+    foreign = F.filter(F.map_entries("own"), lambda e: F.col("mine").isNull() | (e["key"] != F.col("component")))
+    others = F.concat(F.flatten(F.transform(foreign, lambda e: numbered(e["key"].cast("string"), e["value"]))), F.coalesce(numbered(F.lit(""), F.col("shared")), F.array().cast("array<string>")))
+    dealt = members.withColumn("block", F.concat(name, F.lit("-"), share.cast("string"))).withColumn("other", F.explode(others))
     columns = ["key", "low", "high", "block", "node", "component", "n_shingles", "samples", "sketch", "bands"]
     dealt = dealt.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other")).select(columns)
     whole = rows.where(F.col("size") <= CELL)
     for name in ("low", "high", "block"):
         whole = whole.withColumn(name, F.lit("-0"))
-    cells = whole.select(columns).unionByName(dealt)
+    cells = whole.select(columns)
+    if not spread.isEmpty():
+        cells = cells.unionByName(dealt)
     cells = cells.withColumn("cell", F.xxhash64("key", "low", "high")).withColumn("is_low", F.col("block") == F.col("low")).withColumn("alone", F.col("low") == F.col("high"))
     cells = cells.select("cell", "key", "is_low", "alone", "node", "component", "n_shingles", "samples", "sketch", "bands")
     cells = cells.repartition("cell").sortWithinPartitions("cell", "key", "alone")
@@ -298,11 +301,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, miss: fl
     sig = common.stored(signatures(docs, width, band_count(percent, miss=miss)), "minhash")
     real = sig.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     sets_of = ["f1", "f2", "n_shingles"]
+    of_id = sig.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("rows"), *(g(c).alias(f"{n}_{c}") for c in sets_of for n, g in (("min", F.min), ("max", F.max))))
+    differs = F.expr(" or ".join(f"min_{c} <> max_{c}" for c in sets_of))
+    found = of_id.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows"), F.coalesce(F.max(differs), F.lit(False)).alias("several")).first()
+    repeated, several = found["rows"] > 1, found["several"]  # whether an id has several rows, and several sets
     classes = real.groupBy(*sets_of).agg(F.min("doc_id").alias("rep"))
-    classes = common.stored(classes.withColumn("node", F.monotonically_increasing_id()), "set-classes")  # numbered once, when written
+    # Where each id has one set, a class can go by its least id; else it gets a number, once, when it is written.
+    classes = common.stored(classes.withColumn("node", F.monotonically_increasing_id() if several else F.col("rep")), "set-classes")
 
     # Buckets of classes, without those that hold one member only. Rows of a class are alike, so one stands for it.
-    reps = real.join(classes, sets_of).where(F.col("doc_id") == F.col("rep")).dropDuplicates(["node"])
+    once = lambda df: df.dropDuplicates(["node"]) if repeated else df
+    reps = once(real.join(classes, sets_of).where(F.col("doc_id") == F.col("rep")))
     buckets = reps.select("node", F.explode("bands").alias("key"))
     sizes = buckets.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = common.stored(buckets.join(sizes, "key"), "buckets")
@@ -315,9 +324,13 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, miss: fl
     roots = roots.select("key", (-F.col("top.minus")).alias("root"))
     star = shared.join(roots, "key").where(F.col("node") != F.col("root"))
     star = common.stored(star.select(F.least("node", "root").alias("a"), F.greatest("node", "root").alias("b")).distinct(), "root-pairs")
-    sets = full_sets(docs.join(mates.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi"), width)
-    sets = sets.join(mates.select("node", F.col("rep").alias("doc_id"), *sets_of), ["doc_id", *sets_of])
-    sets = common.stored(sets.select("node", "shingles").dropDuplicates(["node"]), "sets")
+    wanted = mates.select(F.col("rep").alias("doc_id"))
+    sets = full_sets(docs.join(wanted.distinct() if several else wanted, "doc_id", "left_semi"), width)
+    if several:
+        sets = sets.join(mates.select("node", F.col("rep").alias("doc_id"), *sets_of), ["doc_id", *sets_of])
+    else:
+        sets = sets.withColumnRenamed("doc_id", "node")
+    sets = common.stored(once(sets.select("node", "shingles")), "sets")
     links = common.stored(confirmed(star, sets, percent), "root-links")
 
     # Pairs of a bucket that the roots have not joined.
@@ -327,24 +340,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, percent: int = 85, miss: fl
     rows = labelled.join(open_keys, "key", "left_semi").join(mates.select("node", "n_shingles", "samples", "sketch", "bands"), "node")
     more = confirmed(common.stored(similar_across(common.stored(rows, "open-buckets"), percent), "sketch-pairs"), sets, percent)
 
-    # Classes that share an id are linked, and a component is named by the least id of its classes.
-    several = real.groupBy("doc_id").agg(*(g(c).alias(f"{n}_{c}") for c in sets_of for n, g in (("min", F.min), ("max", F.max))))
-    several = several.where(" or ".join(f"min_{c} <> max_{c}" for c in sets_of)).select("doc_id")
-    twice = real.join(several, "doc_id", "left_semi").join(classes, sets_of).select("doc_id", "node").distinct()
-    twice = twice.join(twice.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
-    final = components(links.union(more).union(twice))
-    linked = classes.join(final, "node")
-    names = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    linked = linked.join(names, "component").select("node", "component_id")
-    named = classes.join(linked, "node", "left").select(*sets_of, F.coalesce("component_id", "rep").alias("component_id"))
+    # Components of components. Classes that share an id are linked too, and a component is named by its least id.
+    links = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+    if several:
+        ids = of_id.where(differs).select("doc_id")
+        twice = real.join(ids, "doc_id", "left_semi").join(classes, sets_of).select("doc_id", "node").distinct()
+        twice = twice.join(twice.groupBy("doc_id").agg(F.min("node").alias("b")), "doc_id").where("node <> b").select(F.col("node").alias("a"), "b")
+        links = links.union(twice)
+    final = components(links)
+    if several:
+        linked = classes.join(final, "node")
+        final = linked.join(linked.groupBy("component").agg(F.min("rep").alias("least")), "component").select("node", F.col("least").alias("component"))
+    named = classes.join(final, "node", "left").select(*sets_of, F.coalesce("component", "rep").alias("component_id"))
     out = sig.select("doc_id", *sets_of).join(named, sets_of, "left")
-
-    # An empty text has the component of its id's other texts, if there are any.
-    empty = F.col("n_shingles") == 0
-    full_too = out.where(~empty).join(out.where(empty).select("doc_id").distinct(), "doc_id", "left_semi")
-    full_too = full_too.groupBy("doc_id").agg(F.min("component_id").alias("other"))
-    blank = out.where(empty).join(full_too, "doc_id", "left").withColumn("component_id", F.coalesce("other", "doc_id")).drop("other")
-    out = out.where(~empty).unionByName(blank)
+    if several:  # an empty text has the component of its id's other texts, if there are any
+        empty = F.col("n_shingles") == 0
+        other = out.where(~empty).join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("other"))
+        out = out.join(other, "doc_id", "left").withColumn("component_id", F.when(empty, F.col("other")).otherwise(F.col("component_id")))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))

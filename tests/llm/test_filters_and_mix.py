@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -118,6 +119,67 @@ def test_quality_against_labels(spark):
     assert scores.where("label = 0 and kept").count() <= 0.25 * scores.where("label = 0").count()
 
 
+def plain_vector(text):
+    """{feature: value} of a text, word by word: the word, the pair with the word before, its shape and last byte."""
+    one = lambda x: int(common.mix(np.array([x % 2**64], np.uint64))[0])
+    kind = lambda b: 1 if 65 <= b <= 90 else 2 if 48 <= b <= 57 else 0 if 97 <= b <= 122 or b >= 128 else 3
+    found, before = Counter(), None
+    for w in (text or "").encode().split():
+        data, offsets = common.text_buffer(pa.array([w.decode()]))
+        h = int(common.split_words(data, offsets)[0][0])
+        pair = h if before is None else h * 3 + before
+        shape = kind(w[0]) * 64 + kind(w[-1]) * 16 + min(3, sum(kind(b) == 1 for b in w)) * 4 + min(3, sum(kind(b) == 3 for b in w))
+        for f in (h, one(pair % 2**64 ^ 0x1D), one(shape + 0x5A5A00), one(w[-1] + 0xA5A50000)):
+            found[f % quality_classifier.DIMENSIONS] += 1
+        before = h
+    norm = math.sqrt(sum(found.values()))
+    return {f: math.sqrt(n) / norm for f, n in sorted(found.items())}
+
+
+def plain_fit(rows):
+    """Weights and bias by the steps of the docstring, on (vector, label, weight) rows."""
+    d, epochs = quality_classifier.DIMENSIONS, quality_classifier.EPOCHS
+    w, squares, total, bias, bias_square, total_bias = [0.0] * d, [1e-2] * d, [0.0] * d, 0.0, 1e-2, 0.0
+    order = np.random.default_rng(7)
+    for epoch in range(epochs):
+        for i in order.permutation(len(rows)):
+            vector, label, weight = rows[i]
+            z = sum(w[f] * x for f, x in vector.items()) + bias
+            slope = (1 / (1 + math.exp(-z)) - label) * weight
+            for f, x in vector.items():
+                g = slope * x + quality_classifier.DECAY * w[f]
+                squares[f] += g * g
+                w[f] -= quality_classifier.RATE * 0.1 * g / math.sqrt(squares[f])
+            bias_square += slope * slope
+            bias -= quality_classifier.RATE * 0.1 * slope / math.sqrt(bias_square)
+        if epoch >= epochs // 2:
+            total = [a + b for a, b in zip(total, w, strict=True)]
+            total_bias += bias
+    n = epochs - epochs // 2
+    return [x / n for x in total], total_bias / n
+
+
+def test_scores_match_plain_python(spark, docs, texts):
+    """Labels, sample, fit and scores of the classifier, from the texts on, without its code."""
+    some = docs.where("doc_id is null or doc_id <> 97")
+    labels, _ = quality_rules.judged(some, quality_classifier.labellers())
+    rows = labels.select("votes", "quality", "row_key").collect()
+    for r, p in zip(rows, plain_posteriors([tuple(r["votes"]) for r in rows]), strict=True):
+        assert r["quality"] == pytest.approx(p, abs=1e-4)
+    quality = {r["row_key"]: r["quality"] for r in rows}
+    text_of = {r["k"]: r["text"] for r in some.select(quality_rules.row_key().alias("k"), "text").collect()}
+    sample = [(plain_vector(text_of[k]), quality[k], 1.0) for k in sorted(quality)]  # all rows fit in the sample, alike ones once
+    w, bias = plain_fit(sample)
+    for r in quality_classifier.classified(some)[0].collect():
+        text = next(t for i, t, *_ in texts if i == r["doc_id"])
+        z = sum(w[f] * x for f, x in plain_vector(text).items()) + bias
+        want = 1 / (1 + math.exp(-z)) if (text or "").split() else 0.0
+        if r["n_words"] == 0:
+            want = 0.0
+        assert r["score"] == pytest.approx(want, abs=1e-3)
+        assert r["kept"] == (r["n_words"] > 0 and r["score"] >= 0.5)
+
+
 # ---------------------------------------------------------------- URLs
 
 
