@@ -196,6 +196,30 @@ def stream_windows(spark, d):
 _LETTERS = "'" + "', '".join("abcdefghijklmnopqrstuvwxyz") + "'"
 _NEW = "SELECT doc_id + 1 AS doc_id, 'xx' AS lang, NULL::VARCHAR AS source FROM documents WHERE doc_id % 2 = 0"
 
+def _left(word: str, times: int) -> str:
+    """SQL: list of what is left of a word when up to so many characters are dropped."""
+    i = f"i{times}"
+    one = lambda w: f"list_append(list_transform(range(1, length({w}) + 1), lambda {i}: substr({w}, 1, {i} - 1) || substr({w}, {i} + 1)), {w})"
+    return one(word) if times == 1 else f"list_distinct(flatten(list_transform({_left(word, times - 1)}, lambda x: {one('x')})))"
+
+
+#: SQL: words within the default allowance. The engine's distance lets a swapped pair be parted by an insertion; so a
+#: distance of 2 counts if it is one of plain edits, or of a swap with one more edit on either side of it.
+_FUZZY = rf"""WITH {TOKENS}, terms AS (SELECT term, count(*) AS n FROM tokens GROUP BY term), asked AS (SELECT DISTINCT unnest({WORDS}) AS query FROM conversations),
+t AS (SELECT term, n, {letters_sql('term')} AS p FROM terms), a AS (SELECT query, {letters_sql('query')} AS q FROM asked),
+pairs AS (
+  SELECT DISTINCT query, term, n, q, p FROM (SELECT *, unnest({_left('q', 1)}) AS rest FROM a WHERE length(q) BETWEEN 5 AND 8)
+    JOIN (SELECT *, unnest({_left('p', 1)}) AS rest FROM t WHERE length(p) BETWEEN 4 AND 9) USING (rest)
+  UNION SELECT query, term, n, q, p FROM (SELECT *, unnest({_left('q', 2)}) AS rest FROM a WHERE length(q) >= 9)
+    JOIN (SELECT *, unnest({_left('p', 2)}) AS rest FROM t WHERE length(p) >= 7) USING (rest)
+  UNION SELECT query, term, n, q, p FROM a JOIN t ON q = p),
+near AS (SELECT *, damerau_levenshtein(q, p) AS d FROM pairs WHERE damerau_levenshtein(q, p) <= CASE WHEN length(q) >= 9 THEN 2 WHEN length(q) >= 5 THEN 1 ELSE 0 END),
+sure AS (
+  SELECT *, d <= 1 OR levenshtein(q, p) <= 2 OR len(list_filter(range(1, length(q)), lambda i: len(list_filter(range(greatest(1, i - 1), i + 2), lambda j:
+    substr(q, i, 1) = substr(p, j + 1, 1) AND substr(q, i + 1, 1) = substr(p, j, 1)
+    AND damerau_levenshtein(substr(q, 1, i - 1), substr(p, 1, j - 1)) + damerau_levenshtein(substr(q, i + 2), substr(p, j + 2)) <= 1)) > 0)) > 0 AS holds FROM near)
+SELECT query, term, d::INTEGER AS distance FROM sure WHERE holds QUALIFY row_number() OVER (PARTITION BY query ORDER BY d, n DESC, term) <= 8"""
+
 QUERIES = {
     "tokenize_counts": (tokenize_counts, f"WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM tokens GROUP BY doc_id"),
     "unicode_token_counts": (unicode_token_counts, f"WITH t AS (SELECT doc_id, nfc_normalize(text) AS text FROM documents) SELECT doc_id, len({UNICODE_WORDS})::BIGINT AS n_tokens FROM t"),
@@ -273,13 +297,16 @@ plain AS (SELECT term, {letters_sql('term')} AS p FROM words),
 far AS (SELECT term, damerau_levenshtein(p, substr(p, 2, 1) || substr(p, 1, 1) || substr(p, 3) || CASE WHEN length(p) % 2 = 0 THEN 'q' ELSE '' END)::INTEGER AS distance FROM plain)
 SELECT term, distance, CASE WHEN distance = 0 THEN 0.0 ELSE 0.5 / distance END::DOUBLE AS penalty, true AS begins FROM far""",
     ),
-    "typo_fuzzy_dict": (typo_fuzzy_dict, None),
+    "typo_fuzzy_dict": (typo_fuzzy_dict, _FUZZY),
     "typo_fuzzy_all": (
         typo_fuzzy_all,
         rf"""WITH {TOKENS}, terms AS (SELECT DISTINCT term FROM tokens), asked AS (SELECT DISTINCT unnest({WORDS}) AS query FROM conversations),
-t AS (SELECT term, {letters_sql('term')} AS p FROM terms), a AS (SELECT query, {letters_sql('query')} AS q FROM asked)
-SELECT query, term, damerau_levenshtein(q, p)::INTEGER AS distance FROM a JOIN t
-ON (length(q) < 5 AND q = p) OR (length(q) >= 5 AND length(p) BETWEEN length(q) - 1 AND length(q) + 1 AND damerau_levenshtein(q, p) <= 1)""",
+t AS (SELECT term, {letters_sql('term')} AS p FROM terms), a AS (SELECT query, {letters_sql('query')} AS q FROM asked),
+tv AS (SELECT term, p, unnest(list_append(list_transform(range(1, length(p) + 1), lambda i: substr(p, 1, i - 1) || substr(p, i + 1)), p)) AS rest FROM t),
+av AS (SELECT query, q, unnest(list_append(list_transform(range(1, length(q) + 1), lambda i: substr(q, 1, i - 1) || substr(q, i + 1)), q)) AS rest FROM a WHERE length(q) >= 5),
+pairs AS (SELECT DISTINCT query, term, q, p FROM av JOIN tv USING (rest))
+SELECT query, term, damerau_levenshtein(q, p)::INTEGER AS distance FROM pairs WHERE damerau_levenshtein(q, p) <= 1
+UNION ALL SELECT query, term, 0 FROM a JOIN t ON q = p WHERE length(q) < 5""",
     ),
     "synonym_links": (
         synonym_links,
