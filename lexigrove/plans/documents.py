@@ -104,7 +104,7 @@ def token_offsets(spark, d):
     """Every word of every text, as it stood there and where."""
     found = text.analysed(documents(spark, d), ["text"], stop_words=STOP)
     return found.groupBy("doc_id").agg(
-        F.count("*").alias("n"), F.sum("pos").cast("long").alias("pos"), F.sum("start").alias("start"), F.sum("end").alias("end"),
+        F.count("*").alias("n"), F.sum("pos").cast("long").alias("pos"), F.sum("start").alias("first_char"), F.sum("end").alias("last_char"),
         F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "original"))), lambda x: x["original"]), " ").cast("binary")).alias("originals"),
     )
 
@@ -228,7 +228,7 @@ QUERIES = {
         rf"""WITH t AS (SELECT doc_id, regexp_extract_all(text, '[\p{{L}}\p{{M}}\p{{N}}]+') AS words, regexp_split_to_array(text, '[\p{{L}}\p{{M}}\p{{N}}]+') AS gaps FROM documents),
 each AS (SELECT doc_id, unnest(words) AS original, unnest(gaps[1:len(words)]) AS gap, generate_subscripts(words, 1) - 1 AS pos FROM t),
 placed AS (SELECT *, sum(length(gap) + length(original)) OVER (PARTITION BY doc_id ORDER BY pos) AS ending FROM each)
-SELECT doc_id, count(*) AS n, sum(pos)::BIGINT AS pos, sum(ending - length(original))::BIGINT AS start, sum(ending)::BIGINT AS "end", md5(string_agg(original, ' ' ORDER BY pos)) AS originals
+SELECT doc_id, count(*) AS n, sum(pos)::BIGINT AS pos, sum(ending - length(original))::BIGINT AS first_char, sum(ending)::BIGINT AS last_char, md5(string_agg(original, ' ' ORDER BY pos)) AS originals
 FROM placed WHERE lower(original) NOT IN {STOP} GROUP BY doc_id""",
     ),
     "stopword_filter": (stopword_filter, f"WITH {TOKENS} SELECT doc_id, count(*) AS n_tokens FROM tokens WHERE term NOT IN {STOP} GROUP BY doc_id"),

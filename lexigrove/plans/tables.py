@@ -106,7 +106,7 @@ def snapshot_list(spark, d):
         kept.snapshot(name)
     kept.delete_snapshot("two")
     newest = kept.snapshots()
-    return newest.select("name", "rows", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("made_at"))).alias("place"))
+    return newest.select("name", F.col("rows").alias("n_rows"), F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("made_at"))).alias("place"))
 
 
 def json_round_trip(spark, d):
@@ -124,8 +124,8 @@ def valid_values(spark, d):
     rows = table(spark, d, "conversations")
     first = F.regexp_extract("text", r"^(\S*)", 1)
     return rows.select(
-        "conv_id", "turn", checks.collection_name(first).alias("collection"), checks.field_name(first).alias("field"),
-        checks.key_text(F.col("text")).alias("key"), checks.query_text(F.col("text"), 200).alias("short"), checks.filter_text(F.col("text")).alias("filter"),
+        "conv_id", "turn", checks.collection_name(first).alias("ok_collection"), checks.field_name(first).alias("ok_field"),
+        checks.key_text(F.col("text")).alias("ok_key"), checks.query_text(F.col("text"), 200).alias("ok_query"), checks.filter_text(F.col("text")).alias("ok_filter"),
     )
 
 
@@ -147,8 +147,8 @@ def nested_text(spark, d):
 def filter_constants(spark, d):
     """All of nothing is true, any of nothing is false."""
     part = table(spark, d, "part")
-    every = part.where(predicates.all_of()).agg(F.count("*").alias("every"))
-    return every.join(part.where(predicates.any_of()).agg(F.count("*").alias("none")))
+    every = part.where(predicates.all_of()).agg(F.count("*").alias("all_rows"))
+    return every.join(part.where(predicates.any_of()).agg(F.count("*").alias("no_rows")))
 
 
 QUERIES = {
@@ -200,7 +200,7 @@ SELECT field, coalesce(value, 'null') AS value, count(*) AS n FROM every GROUP B
     "index_swap": (index_swap, "SELECT 'docs' AS name, count(*) AS documents FROM conversations UNION ALL SELECT 'talks', count(*) FROM documents"),
     "documents_by_key": (documents_by_key, "SELECT doc_id, lang, length(text)::INTEGER AS length FROM documents WHERE doc_id % 10 = 7"),
     "delete_many": (delete_many, "SELECT doc_id, source FROM documents WHERE doc_id % 5 >= 2"),
-    "snapshot_list": (snapshot_list, "SELECT 'one' AS name, count(*) AS rows, 2 AS place FROM documents UNION ALL SELECT 'three', count(*), 1 FROM documents WHERE doc_id % 3 = 2"),
+    "snapshot_list": (snapshot_list, "SELECT 'one' AS name, count(*) AS n_rows, 2 AS place FROM documents UNION ALL SELECT 'three', count(*), 1 FROM documents WHERE doc_id % 3 = 2"),
     "json_round_trip": (json_round_trip, "SELECT doc_id, lang, source, md5(text) AS text FROM documents"),
     "export_json_page": (
         export_json_page,
@@ -210,8 +210,8 @@ FROM (SELECT * FROM documents ORDER BY doc_id::VARCHAR LIMIT 30 OFFSET 20)""",
     "valid_values": (
         valid_values,
         r"""WITH f AS (SELECT *, regexp_extract(text, '^(\S*)', 1) AS one FROM conversations)
-SELECT conv_id, turn, regexp_matches(one, '^[a-zA-Z0-9_-]{1,512}$') AND one NOT IN ('all', 'system', 'internal', 'metrics', 'health', 'version', 'stats') AS collection,
-       regexp_matches(one, '^[a-zA-Z0-9_.]{1,512}$') AS field, strlen(text) BETWEEN 1 AND 512 AS key, strlen(text) <= 200 AS short, strlen(text) <= 2048 AS filter FROM f""",
+SELECT conv_id, turn, regexp_matches(one, '^[a-zA-Z0-9_-]{1,512}$') AND one NOT IN ('all', 'system', 'internal', 'metrics', 'health', 'version', 'stats') AS ok_collection,
+       regexp_matches(one, '^[a-zA-Z0-9_.]{1,512}$') AS ok_field, strlen(text) BETWEEN 1 AND 512 AS ok_key, strlen(text) <= 200 AS ok_query, strlen(text) <= 2048 AS ok_filter FROM f""",
     ),
     "durations_and_sizes": (
         durations_and_sizes,
@@ -224,5 +224,5 @@ SELECT l_orderkey, l_linenumber, round(q * CASE l_linenumber WHEN 1 THEN 0.001 W
         nested_text,
         """SELECT c_custkey, c_mktsegment || '|' || CASE WHEN c_custkey % 5 = 0 THEN '' ELSE c_name END || '|' || c_name || '|' || CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END AS text FROM customer""",
     ),
-    "filter_constants": (filter_constants, 'SELECT count(*) AS every, 0::BIGINT AS "none" FROM part'),
+    "filter_constants": (filter_constants, "SELECT count(*) AS all_rows, 0::BIGINT AS no_rows FROM part"),
 }
