@@ -23,8 +23,13 @@ def _flat(value: Column, kind: T.DataType) -> Column:
 def values(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
     """(field, value): values as text. Arrays, also inside arrays, give one row for each element, objects give none,
     and a null gives "null"."""
-    of = lambda f: F.transform(_flat(F.col(f), rows.schema[f].dataType), lambda v: F.struct(F.lit(f).alias("field"), v.alias("value")))
-    return rows.select(F.explode(F.concat(*map(of, fields))).alias("x")).select("x.field", "x.value")
+    pair = lambda f, v: F.struct(F.lit(f).alias("field"), v.alias("value"))
+    nested = [f for f in fields if isinstance(rows.schema[f].dataType, T.ArrayType | T.StructType | T.MapType)]
+    plain = [pair(f, F.coalesce(F.col(f).cast("string"), F.lit("null"))) for f in fields if f not in nested]
+    parts = [F.array(*plain)] if plain else []
+    each = lambda f: F.transform(_flat(F.col(f), rows.schema[f].dataType), lambda v: pair(f, v))
+    parts += map(each, nested)
+    return rows.select(F.explode(F.concat(*parts) if nested else parts[0]).alias("x")).select("x.field", "x.value")
 
 
 def counts(rows: DataFrame, fields: Sequence[str]) -> DataFrame:

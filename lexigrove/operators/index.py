@@ -24,11 +24,14 @@ class Index:
     by_doc: DataFrame | None = None
     numbers: tuple[int, float] | None = None
     dealt: bool = False  # whether postings already lie by term and share of the documents
+    one_field: bool = False  # whether a term has one posting for each document
 
     def terms(self) -> DataFrame:
         """(term, doc_freq, total_tf). A term's postings are summed by document before they meet."""
         if self.dictionary is not None:
             return self.dictionary
+        if self.one_field:
+            return self.postings.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("total_tf"))
         by_doc = self.postings.groupBy("term", "doc_id").agg(F.sum("tf").alias("tf"))
         return by_doc.groupBy("term").agg(F.count("*").alias("doc_freq"), F.sum("tf").alias("total_tf"))
 
@@ -72,7 +75,7 @@ class Index:
         dealt = self.postings if self.dealt else self.postings.repartition(F.col("term"), _share())
         dealt.sortWithinPartitions("term", "doc_id").write.parquet(f"{path}/postings")
         self.lengths.write.parquet(f"{path}/lengths")
-        kept = Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"))
+        kept = Index(spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths"), one_field=self.one_field)
         kept.terms().sortWithinPartitions("term").write.parquet(f"{path}/terms")
         kept.doc_lengths().write.parquet(f"{path}/doc-lengths")
         replace(kept, by_doc=spark.read.parquet(f"{path}/doc-lengths")).stats().write.parquet(f"{path}/numbers")
@@ -112,7 +115,7 @@ def build(
     postings = dealt.groupBy("term", "share", "doc_id", "field").agg(F.count("*").alias("tf")).drop("share")
     of = lambda f: _length(text.as_text(F.col(f), separator, docs.schema[f].dataType), pattern, stop_words)
     counted = docs.select("doc_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), of(f).alias("length")) for f in fields))).alias("f"))
-    return Index(postings, counted.select("doc_id", "f.field", "f.length"), dealt=True)
+    return Index(postings, counted.select("doc_id", "f.field", "f.length"), dealt=True, one_field=len(fields) == 1)
 
 
 def _length(value, pattern: str, stop_words: Sequence[str]):
