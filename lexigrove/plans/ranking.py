@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexigrove.functions import text, vectors
+from lexigrove.functions import text
 from lexigrove.operators import boolean, fusion, index, neighbours, ranking, synonyms
 from lexigrove.operators.boolean import Not, Phrase, Term
 from lexigrove.operators.search import Collection, Request, Rule, multi_search
-from lexigrove.plans.common import INDEX, TOKENS, WORDS, bm25_sql, documents, table, text_index
+from lexigrove.plans.common import TOKENS, WORDS, bm25_sql, documents, table, text_index
 from lexigrove.sources import shared
 from lexigrove.sources.catalog import Catalog, Settings
 
