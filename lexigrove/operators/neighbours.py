@@ -101,7 +101,8 @@ class ProductQuantiser:
     Lloyd's steps run over all rows: a task assigns its vectors and sums them by centre, Spark adds the
     sums, and the driver gets one row for each sub-space and centre. Centres begin at evenly strided
     vectors; the first of equally near centres counts; a centre without vectors stays. Dimensions that parts do not
-    divide are filled up with zeros.
+    divide are filled up with zeros. Vectors that are null, of other dimensions, or hold null or non-finite components
+    take no part: their code and distance are null.
     """
 
     name = "product"
@@ -112,10 +113,14 @@ class ProductQuantiser:
         self.code_bytes = self.parts
         self.centres = np.zeros((self.parts, 0, self.width))
 
+    def _valid(self, v: Column) -> Column:
+        return F.coalesce((F.size(v) == self.dimensions) & F.forall(v, lambda x: x.isNotNull() & (F.abs(x) < float("inf"))), F.lit(False))
+
     def _filled(self, rows: np.ndarray) -> np.ndarray:
         return np.pad(rows, ((0, 0), (0, self.parts * self.width - rows.shape[1])))
 
     def calibrate(self, rows: DataFrame, key: str = "vec_id", column: str = "embedding") -> ProductQuantiser:
+        rows = rows.where(self._valid(F.col(column)))
         n = rows.count()
         k = min(self.codes, n)
         if not k:
@@ -159,23 +164,32 @@ class ProductQuantiser:
     def code(self, column: Column) -> Column:
         """Column: the number of the nearest centre in each sub-space."""
         centres, width, filled = self.centres, self.width, self._filled
+        if not centres.shape[1]:
+            return F.lit(None).cast("array<int>")
 
         @F.pandas_udf("array<int>")
         def encode(v: pd.Series) -> pd.Series:
-            x = filled(np.stack(v.to_numpy()).astype(float))
-            near = [((c**2).sum(1) - 2 * x[:, p * width : (p + 1) * width] @ c.T).argmin(1) for p, c in enumerate(centres)]
-            return pd.Series(list(np.stack(near, 1).astype(np.int32)))
+            there = np.flatnonzero(v.notna().to_numpy())
+            out = np.full(len(v), None, object)
+            if len(there):
+                x = filled(np.stack(v.iloc[there].to_numpy()).astype(float))
+                near = [((c**2).sum(1) - 2 * x[:, p * width : (p + 1) * width] @ c.T).argmin(1) for p, c in enumerate(centres)]
+                for i, row in zip(there, np.stack(near, 1).astype(np.int32), strict=True):
+                    out[i] = row
+            return pd.Series(out, dtype=object)
 
-        return encode(column)
+        return encode(F.when(self._valid(column), column))
 
     def distance(self, query: Sequence[float], code: Column) -> Column:
         """Column: squared distance of a query to what a code stands for, from a table of look-ups."""
+        if not self.centres.shape[1]:
+            return F.lit(None).cast("double")
         q = self._filled(np.asarray(query, float)[None, :]).reshape(self.parts, 1, self.width)
         table = ((q - self.centres) ** 2).sum(2)
         total = F.lit(0.0)
         for p in range(self.parts):
             total = total + F.element_at(vectors.literal(table[p]), F.element_at(code, p + 1) + 1)
-        return total
+        return F.when(code.isNotNull(), total)  # a null place in an array of constants does not give null by itself
 
 
 #: Quantisers by name; all have ``calibrate(rows)``, ``code(column)``, ``distance(query, code)`` and ``code_bytes``.

@@ -116,3 +116,18 @@ def test_nearest_batch_holds_no_lists(rows):
     queries = rows.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
     plan = neighbours.nearest_batch(rows, queries, 4, "euclidean")._jdf.queryExecution().toString()
     assert "collect_list" not in plan and "WindowGroupLimit" in plan
+
+
+def test_product_quantiser_leaves_out_vectors_that_are_none(spark):
+    good = [(i, [float(i % 7), float(i % 5), 1.0, float(i % 3)]) for i in range(40)]
+    odd = [(90, None), (91, []), (92, [1.0, 2.0]), (93, [1.0] * 5), (94, [1.0, None, 1.0, 1.0]), (95, [float("nan")] * 4), (96, [float("inf"), 0.0, 0.0, 0.0])]
+    schema = "vec_id long, embedding array<float>"
+    rows = spark.createDataFrame(good + odd, schema).repartition(8)
+    model = neighbours.ProductQuantiser(4, 2, 8, 3).calibrate(rows)
+    alone = neighbours.ProductQuantiser(4, 2, 8, 3).calibrate(spark.createDataFrame(good, schema))
+    assert np.allclose(model.centres, alone.centres)
+    of = lambda m: {r[0]: r[1] for r in rows.select("vec_id", m.distance([0.0] * 4, m.code(rows["embedding"]))).collect()}
+    found = of(model)
+    assert len(found) == 47 and {i for i, d in found.items() if d is None} == {i for i, _ in odd}
+    none = neighbours.ProductQuantiser(4, 2, 8).calibrate(rows.where("vec_id >= 90"))
+    assert set(of(none).values()) == {None}
