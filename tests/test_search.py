@@ -217,3 +217,31 @@ def test_ranks_over_ranges(spark):
     out = fusion.ranked(spark.createDataFrame(rows, "doc_id long, score double").repartition(5)).collect()
     assert [r["doc_id"] for r in sorted(out, key=lambda r: r["rank"])] == [i for i, _ in sorted(rows, key=lambda r: (-r[1], r[0]))]
     assert [r["rank"] for r in sorted(out, key=lambda r: r["rank"])] == list(range(1, 201))
+
+
+def test_reached_groups_are_what_terms_lead_to(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    equivalent = [(f"g{rng.randrange(18)}", w) for w in words[:40]] + [("g3", "w7"), ("g4", "w7")]
+    one_way = [(rng.choice(words), rng.choice(words)) for _ in range(25)]
+    links = synonyms.links(spark.createDataFrame(equivalent, "group string, word string"), spark.createDataFrame(one_way, "source string, word string"))
+    rows = [tuple(r) for r in links.select("term", "other", "kind").collect()]
+    name = {a: b for a, b, kind in rows if kind == "name"}
+    asked = [(i % 9, rng.choice([*words, "none"])) for i in range(14)]
+    for depth in (1, 2, 4):
+        plain = set(asked)
+        for _ in range(depth):
+            plain |= {(q, w) for q, t in plain if t in name for w in name if name[w] == name[t]} | {(q, b) for q, t in plain for a, b, kind in rows if kind == "way" and a == t}
+        terms = spark.createDataFrame(asked, "query_id int, term string")
+        found = [tuple(r) for r in synonyms.reached(terms, links, depth).select("query_id", "kind", "term").collect()]
+        assert len(found) == len(set(found))
+        whole = {(q, w) for q, kind, t in found if kind == "group" for w in name if name[w] == t} | {(q, t) for q, kind, t in found if kind == "word"}
+        assert whole == plain
+        assert {tuple(r) for r in synonyms.expanded(terms, links, depth).collect()} == plain
+
+
+def test_reached_names_a_group_once_for_each_query(spark):
+    equivalent = [("g", f"w{i}") for i in range(100)]
+    links = synonyms.links(spark.createDataFrame(equivalent, "group string, word string"), spark.createDataFrame([], "source string, word string"))
+    terms = spark.createDataFrame([(w, w) for _, w in equivalent], "query_id string, term string")
+    assert synonyms.reached(terms, links, 2).count() == 100  # and not 10,000
