@@ -245,3 +245,18 @@ def test_reached_names_a_group_once_for_each_query(spark):
     links = synonyms.links(spark.createDataFrame(equivalent, "group string, word string"), spark.createDataFrame([], "source string, word string"))
     terms = spark.createDataFrame([(w, w) for _, w in equivalent], "query_id string, term string")
     assert synonyms.reached(terms, links, 2).count() == 100  # and not 10,000
+
+
+def test_fuzzy_sends_no_side_of_variants_to_all_tasks(spark, tmp_path):
+    """A file far below the size that Spark broadcasts holds words that are many times larger with characters dropped."""
+    spark.createDataFrame([(f"internation{i}", i) for i in range(50)], "term string, total_tf long").write.parquet(f"{tmp_path}/words")
+    words = spark.read.parquet(f"{tmp_path}/words")
+    found = typos.fuzzy(words.select(F.col("term").alias("query")), words)
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") == 1  # that of the few lengths
+
+
+def test_swapped(spark):
+    pairs = [("abcd", "bacd"), ("abcd", "abdc"), ("abcd", "badc"), ("abcd", "abcd"), ("ab", "ba"), ("aab", "aba"), ("abcde", "edcba")]
+    rows = spark.createDataFrame(pairs, "a string, b string")
+    assert [r[0] for r in rows.select(typos.swapped(F.col("a"), F.col("b"))).collect()] == [True, True, False, False, True, True, False]
