@@ -260,3 +260,14 @@ def test_swapped(spark):
     pairs = [("abcd", "bacd"), ("abcd", "abdc"), ("abcd", "badc"), ("abcd", "abcd"), ("ab", "ba"), ("aab", "aba"), ("abcde", "edcba")]
     rows = spark.createDataFrame(pairs, "a string, b string")
     assert [r[0] for r in rows.select(typos.swapped(F.col("a"), F.col("b"))).collect()] == [True, True, False, False, True, True, False]
+
+
+def test_documents_with_the_same_words_have_the_same_score(spark):
+    rng = random.Random(3)
+    terms = {f"t{i}": i * i + 1 for i in range(9)}
+    rows = [(t, i, "text", n) for i in range(80) for t, n in terms.items()]
+    rng.shuffle(rows)
+    postings = spark.createDataFrame(rows, "term string, doc_id long, field string, tf long")
+    lengths = spark.createDataFrame([(i, "text", 300) for i in range(80)], "doc_id long, field string, length long")
+    found = ranking.bm25(index.Index(postings, lengths), list(terms)).collect()
+    assert len(found) == 80 and len({r["score"] for r in found}) == 1
