@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lexigrove.functions import vectors
 from lexigrove.sources import shared
 
 
-BLOCK_ROWS = 50_000
+#: Vectors and queries of a task, and pairs of them whose products it holds at once.
+BLOCK_ROWS, BLOCK_QUERIES, BLOCK_PAIRS = 20_000, 8_192, 4_000_000
 
 
 def nearest(rows: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", key: str = "vec_id", column: str = "embedding") -> DataFrame:
@@ -26,16 +28,85 @@ def nearest(rows: DataFrame, query: Sequence[float], k: int, metric: str = "cosi
 def nearest_batch(rows: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", key: str = "vec_id", column: str = "embedding", blocks: int | None = None) -> DataFrame:
     """(query_id, key, score) of the k best for each query (columns query_id, q).
 
-    Vectors fall into blocks of about BLOCK_ROWS by a hash, queries go to every block, and a task keeps the k best of
-    a query that it holds before they meet: what is sorted for a query is k times the number of tasks.
+    Vectors fall into blocks of about BLOCK_ROWS by a hash and queries into blocks of BLOCK_QUERIES; a task takes one of
+    each and keeps the k best of a query before they meet: what is sorted for a query is k times the number of blocks.
+    Products of matrices tell which rows can be among the best, with a margin for rounding; these get the metric itself,
+    its sums in the same order. Null vectors and keys, and components that are null, not finite or extreme, take the
+    metric's expression pair by pair.
     """
     blocks = blocks or max(16, -(-rows.count() // BLOCK_ROWS))
-    dealt = rows.select(F.pmod(F.hash(key), F.lit(blocks)).alias("block"), key, column)
-    asked = queries.select("query_id", "q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    scored = asked.join(dealt, "block").select("query_id", key, vectors.METRICS[metric](F.col(column), F.col("q")).alias("score"))
+    parts = max(1, -(-queries.count() // BLOCK_QUERIES))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = rows.select(F.pmod(F.hash(key), F.lit(blocks)).alias("block"), F.col(key).alias("key"), F.col(column).alias("v"), (_plain(F.col(column)) & F.col(key).isNotNull()).alias("plain"))
+    asked = queries.select("query_id", "q", _plain(F.col("q")).alias("plain"))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("key", rows.schema[key].dataType), T.StructField("score", T.DoubleType())])
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _best(left, right, k, metric)
+
+    left = asked.where("plain").select(F.pmod(F.hash("query_id"), F.lit(parts)).alias("part"), "query_id", "q").withColumn("block", every(blocks))
+    right = dealt.where("plain").select("block", "key", "v").withColumn("part", every(parts))
+    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInPandas(best, schema)
+    for these, those in ((asked.where("plain"), dealt.where("not plain")), (asked.where("not plain"), dealt)):
+        pairs = these.select("query_id", "q").withColumn("block", every(blocks)).join(those.select("block", "key", "v"), "block")
+        found = found.unionByName(pairs.select("query_id", "key", vectors.METRICS[metric](F.col("v"), F.col("q")).alias("score")))
     # Spark cuts groups before the shuffle for a rank that a filter bounds by a small number.
-    rank = F.row_number().over(W.partitionBy("query_id").orderBy((-F.col("score")).asc(), F.col(key).asc()))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", key, "score")
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy((-F.col("score")).asc(), F.col("key").asc()))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", F.col("key").alias(key), "score")
+
+
+def _plain(v: Column) -> Column:
+    """Whether no square or product of components can be lost or infinite."""
+    return F.coalesce(F.forall(v, lambda x: x.isNotNull() & ((x == 0) | F.abs(x).between(1e-30, 1e30))), F.lit(False))
+
+
+def _added(products: np.ndarray) -> np.ndarray:
+    """Sums of rows, component after component, as the metrics' expressions add them."""
+    out = np.zeros(len(products))
+    for column in products.T:
+        out = out + column
+    return out
+
+
+def _scores(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """What ``vectors.METRICS`` gives for plain vectors of the query's length."""
+    if metric == "euclidean":
+        return -np.sqrt(_added((x - q) * (x - q)))
+    dots = _added(x * q)
+    if metric == "dot":
+        return dots
+    both = np.sqrt(_added(x * x)) * np.sqrt(_added((q * q)[None, :]))
+    return np.divide(dots, both, out=np.zeros(len(x)), where=both > 0)
+
+
+def _best(asked: pd.DataFrame, rows: pd.DataFrame, k: int, metric: str) -> pd.DataFrame:
+    """The k best rows of a block for each query of a block; all vectors are plain."""
+    out: list[tuple] = []
+    rows = rows.sort_values("key", ignore_index=True)  # so places go by key
+    keys, sizes, asked_sizes = rows["key"], rows["v"].map(len).to_numpy(int), asked["q"].map(len).to_numpy(int)
+    for n in np.unique(asked_sizes):
+        ids, q = asked["query_id"][asked_sizes == n].tolist(), np.stack(asked["q"][asked_sizes == n].to_numpy()).astype(float)
+        other, at = np.flatnonzero(sizes != n)[:k], np.flatnonzero(sizes == n)  # those of another length are all alike
+        x = np.stack(rows["v"].iloc[at].to_numpy()).astype(float) if len(at) else np.zeros((0, n))
+        lengths, q_lengths = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
+        longest = lengths.max(initial=0.0)
+        if metric == "cosine":
+            near, margin = (x / np.where(lengths > 0, lengths, 1.0)[:, None]).T, np.full(len(q), 1e-11)
+            wanted = q / np.where(q_lengths > 0, q_lengths, 1.0)[:, None]
+        else:
+            near, wanted, margin = x.T, q, 1e-11 * (q_lengths * longest if metric == "dot" else (q_lengths + longest) ** 2)
+        step = max(1, BLOCK_PAIRS // max(1, len(at)))
+        for first in range(0, len(q), step):
+            about = wanted[first : first + step] @ near
+            if metric == "euclidean":
+                about = 2 * about - (lengths**2)[None, :]  # the query's own square is the same for all
+            for i, row in enumerate(about, first):
+                able = np.flatnonzero(row >= np.partition(row, -k)[-k] - 2 * margin[i]) if len(row) > k else np.arange(len(row))
+                exact = np.concatenate([_scores(x[able], q[i], metric), np.full(len(other), float("-inf") if metric == "euclidean" else 0.0)])
+                place = np.concatenate([at[able], other])
+                for j in np.lexsort((place, -exact))[:k]:
+                    out.append((ids[i], keys.iloc[place[j]], exact[j]))
+    return pd.DataFrame(out, columns=["query_id", "key", "score"])
 
 
 def scalar_ranges(rows: DataFrame, column: str = "embedding") -> DataFrame:

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lexigrove.functions import vectors as v
@@ -131,3 +132,20 @@ def test_product_quantiser_leaves_out_vectors_that_are_none(spark):
     assert len(found) == 47 and {i for i, d in found.items() if d is None} == {i for i, _ in odd}
     none = neighbours.ProductQuantiser(4, 2, 8).calibrate(rows.where("vec_id >= 90"))
     assert set(of(none).values()) == {None}
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
+def test_nearest_batch_is_brute_force_on_odd_vectors(spark, metric, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 9)
+    rng = np.random.default_rng(4)
+    some = [(i, rng.normal(size=6).astype(np.float32).tolist()) for i in range(120)]
+    some += [(200 + i, some[7][1]) for i in range(12)] + [(300 + i, [0.0] * 6) for i in range(3)] + [(310 + i, [1.0] * 4) for i in range(8)]
+    odd = [(400, None), (401, []), (402, [1.0, None, 1.0, 1.0, 1.0, 1.0]), (403, [float("nan")] * 6), (404, [float("inf")] + [1.0] * 5), (405, [1e-38] * 6)]
+    rows = spark.createDataFrame(some + odd, "vec_id long, embedding array<float>").repartition(5)
+    queries = rows.where("vec_id % 5 = 0 or vec_id >= 300").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    found = neighbours.nearest_batch(rows, queries, 4, metric, blocks=3)
+    assert "CoGroup" in found._jdf.queryExecution().analyzed().toString()  # blocks of queries meet blocks of vectors
+    pairs = queries.crossJoin(rows).select("query_id", "vec_id", v.METRICS[metric](F.col("embedding"), F.col("q")).alias("score"))
+    rank = F.row_number().over(W.partitionBy("query_id").orderBy((-F.col("score")).asc(), F.col("vec_id").asc()))
+    plain = pairs.withColumn("rank", rank).where("rank <= 4").drop("rank")
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, plain.collect()))
