@@ -106,3 +106,13 @@ def test_checks(spark):
 def test_page_as_json(spark):
     df = spark.createDataFrame([(2, None), (1, "x")], "i int, s string")
     assert source.page_as_json(df, "i").first()[0] == '[{"i":1,"s":"x"},{"i":2,"s":null}]'
+
+
+def test_only_texts_with_marks_reach_python(spark):
+    texts = [("caf\u00e9",), ("cafe\u0301",), ("plain",), (None,), ("",), ("n\u0303o \u00e5",)]
+    rows = spark.createDataFrame(texts, "text string")
+    found = rows.select(text.composed(F.col("text")).alias("t"))
+    assert [r["t"] for r in found.collect()] == ["caf\u00e9", "caf\u00e9", "plain", None, "", "\u00f1o \u00e5"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    given = next(line for line in plan.splitlines() if "_composed(" in line)
+    assert "_composed(CASE WHEN RLIKE(" in given or "_composed(text" not in given
