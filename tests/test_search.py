@@ -271,3 +271,24 @@ def test_documents_with_the_same_words_have_the_same_score(spark):
     lengths = spark.createDataFrame([(i, "text", 300) for i in range(80)], "doc_id long, field string, length long")
     found = ranking.bm25(index.Index(postings, lengths), list(terms)).collect()
     assert len(found) == 80 and len({r["score"] for r in found}) == 1
+
+
+def test_stored_index_counts_where_texts_lie(spark):
+    """Words of documents that come from their texts never meet in a shuffle, and terms of two fields count a document once."""
+    rows = [(i, f"fox {i % 7} the the", "fox tail" if i % 2 else None) for i in range(40)] + [(40, None, ""), (41, "The É2 été", "the")]
+    made = index.build(spark.createDataFrame(rows, "doc_id long, a string, b string").repartition(3), ["a", "b"], stop_words=["tail"])
+    plan = made.texts.postings(100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "hashpartitioning(doc_id" in plan
+    kept = made.stored()
+    for ours, plain in ((kept.postings, made.postings), (kept.lengths, made.lengths), (kept.terms(), made.terms()), (kept.doc_lengths(), made.doc_lengths())):
+        assert sorted(map(tuple, ours.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    assert {r["term"]: (r["doc_freq"], r["total_tf"]) for r in kept.terms().collect()}["fox"] == (40, 60)
+    assert kept.numbers == made.size()
+
+
+def test_stored_index_with_stems_and_repeated_keys(spark, docs):
+    plain = index.build(docs, ["text"], stem=True)
+    assert sorted(map(tuple, plain.stored().terms().collect())) == sorted(map(tuple, plain.terms().collect()))
+    twice = index.build(docs.unionByName(docs.where("doc_id < 3")), ["text"])
+    assert twice.texts.size() is None
+    assert {r["term"]: (r["doc_freq"], r["total_tf"]) for r in twice.stored().terms().collect()}["the"] == (3, 5)
