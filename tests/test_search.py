@@ -292,3 +292,13 @@ def test_stored_index_with_stems_and_repeated_keys(spark, docs):
     twice = index.build(docs.unionByName(docs.where("doc_id < 3")), ["text"])
     assert twice.texts.size() is None
     assert {r["term"]: (r["doc_freq"], r["total_tf"]) for r in twice.stored().terms().collect()}["the"] == (3, 5)
+
+
+def test_ranking_reads_texts_once(spark, tmp_path):
+    rows = [(i, f"fox {i % 7} the the", "fox tail" if i % 2 else None) for i in range(40)] + [(40, None, ""), (3, "the fox again", "the")]
+    spark.createDataFrame(rows, "doc_id long, a string, b string").write.parquet(f"{tmp_path}/docs")
+    made = index.build(spark.read.parquet(f"{tmp_path}/docs"), ["a", "b"])
+    found = ranking.bm25(made, ["fox", "the", "none"], weights={"b": 2.0})
+    assert not any(f"{tmp_path}/docs" in f for f in found.inputFiles())
+    plain = ranking.bm25(index.Index(made.postings, made.lengths), ["fox", "the", "none"], weights={"b": 2.0})
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
