@@ -302,3 +302,26 @@ def test_ranking_reads_texts_once(spark, tmp_path):
     assert not any(f"{tmp_path}/docs" in f for f in found.inputFiles())
     plain = ranking.bm25(index.Index(made.postings, made.lengths), ["fox", "the", "none"], weights={"b": 2.0})
     assert sorted(map(tuple, found.collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_fuzzy_tells_one_edit_by_places(spark):
+    """With one edit at most pairs are neither measured in Python nor made single after the join, and come once."""
+    words = ["aaaaa", "aaaaaa", "aaaa", "aaaab", "aaaba", "abaaa", "baaaa", "aabba", "ababa", "babaa", "ab", "ba", "", "caféé", "cafée", "café", "cfaéé", "\U0001d52baaaa", "abcde", "abdce", "bacde", "abecd", "abcd"]
+    terms = spark.createDataFrame([(w, 1) for w in words], "term string, total_tf long")
+    asked = spark.createDataFrame([(w,) for w in words * 2] + [(None,)], "query string")
+    found = typos.fuzzy(asked, terms, "min", None)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EvalPython" not in plan and "levenshtein" not in plan and "Aggregate" not in plan.split("SortMergeJoin")[0]
+    want = sorted((q, w, typos.edits(q, w)) for q in words for w in words if typos.edits(q, w) <= int(len(q) >= 5))
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_fuzzy_reads_queries_once(spark, tmp_path):
+    """Lengths of the queries come from the same reading as the queries."""
+    spark.createDataFrame([(f"internation{i}",) for i in range(50)], "query string").write.parquet(f"{tmp_path}/words")
+    asked = spark.read.parquet(f"{tmp_path}/words")
+    found = typos.fuzzy(asked, asked.select(F.col("query").alias("term"), F.lit(1).alias("total_tf")), "min", None)
+    assert found.count() > 0
+    found = typos.fuzzy(asked, spark.createDataFrame([("internation1", 1)], "term string, total_tf long"), "min", None)
+    found.collect()
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
