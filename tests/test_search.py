@@ -325,3 +325,22 @@ def test_fuzzy_reads_queries_once(spark, tmp_path):
     found = typos.fuzzy(asked, spark.createDataFrame([("internation1", 1)], "term string, total_tf long"), "min", None)
     found.collect()
     assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_pairs_that_swaps_may_join_are_measured_in_python(spark):
+    dice = random.Random(7)
+    words = sorted({"".join(dice.choice("abcé") for _ in range(dice.randint(8, 11))) for _ in range(150)})
+    for w in words[:60]:  # near words by two edits of any kind
+        for _ in range(2):
+            i = dice.randrange(len(w) - 1)
+            w = dice.choice([w[:i] + w[i + 1] + w[i] + w[i + 2 :], w[:i] + "d" + w[i + 1 :], w[:i] + w[i + 1 :], w[:i] + "b" + w[i:]])
+        words.append(w)
+    rows = spark.createDataFrame([(q, w) for q in words[::3] for w in words], "query string, term string")
+    plain = rows.withColumn("plain", F.levenshtein("query", "term")).where("plain BETWEEN 3 AND 4").withColumn("may", typos._swaps_may_join(F.col("plain"))).collect()
+    assert all(r["may"] for r in plain if typos.edits(r["query"], r["term"]) <= 2)
+    assert sum(r["may"] for r in plain) < len(plain) / 2
+    asked = rows.select("query").distinct()
+    terms = spark.createDataFrame([(w, 1) for w in sorted(set(words))], "term string, total_tf long")
+    room = lambda q: 2 if len(q) >= 9 else 1
+    want = sorted((q, w, typos.edits(q, w)) for q in {*words[::3]} for w in {*words} if typos.edits(q, w) <= room(q) and len(q) >= 5)
+    assert sorted(tuple(r) for r in typos.fuzzy(asked, terms, "default", None).collect() if len(r["query"]) >= 5) == want
