@@ -222,7 +222,8 @@ class ProductQuantiser:
                             np.add.at(total[p], near, part)
                             count[p] += np.bincount(near, minlength=len(c))
                 at = np.argwhere(count > 0)
-                yield pd.DataFrame({"p": at[:, 0], "c": at[:, 1], "n": count[at[:, 0], at[:, 1]], "s": [total[p, c].tolist() for p, c in at]})
+                if len(at):  # Arrow takes no column without a list for lists: a split can be without vectors
+                    yield pd.DataFrame({"p": at[:, 0], "c": at[:, 1], "n": count[at[:, 0], at[:, 1]], "s": [total[p, c].tolist() for p, c in at]})
 
             parts = rows.select(column).mapInPandas(sums, "p int, c int, n double, s array<double>")
             each = parts.select("p", "c", "n", F.posexplode("s").alias("pos", "s")).groupBy("p", "c", "pos").agg(F.sum("s").alias("s"), F.sum("n").alias("n"))

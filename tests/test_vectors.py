@@ -134,6 +134,14 @@ def test_product_quantiser_leaves_out_vectors_that_are_none(spark):
     assert set(of(none).values()) == {None}
 
 
+def test_product_quantiser_takes_tasks_without_vectors(rows):
+    few = rows.where("vec_id < 5")
+    model = neighbours.ProductQuantiser(8, 4, 3, 2).calibrate(few.repartition(9))
+    alone = neighbours.ProductQuantiser(8, 4, 3, 2).calibrate(few.coalesce(1))
+    assert np.allclose(model.centres, alone.centres)
+    assert np.allclose(neighbours.kmeans(few.repartition(9), 3, 8, 2), neighbours.kmeans(few.coalesce(1), 3, 8, 2))
+
+
 @pytest.mark.parametrize("metric", ["cosine", "dot", "euclidean"])
 def test_nearest_batch_is_brute_force_on_odd_vectors(spark, metric, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 9)
